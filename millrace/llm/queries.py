@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
