@@ -5,9 +5,11 @@ from __future__ import annotations
 from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
+from .suffix_dedup import op2_suffix_dedup
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
