@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
 from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 
