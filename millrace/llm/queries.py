@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .language import op9_language
 from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op7_toxicity
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op7_toxicity": op7_toxicity,
+    "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
 }
 
