@@ -8,15 +8,19 @@ from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
 from .suffix_dedup import op2_suffix_dedup
+from .token_files import op6_token_counts
 from .toxicity import op7_toxicity
 from .warc import OP3_SQL, op3_warc
+from .weak_labels import op1_weak_labels
 
 QUERIES = {
+    "op1_weak_labels": op1_weak_labels,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,

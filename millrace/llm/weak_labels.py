@@ -38,59 +38,69 @@ def labellers() -> dict[str, Column]:
 
     n = F.col("n_words")
     return {
-        "length": vote(n < 50, n >= 100),
+        "length": vote(n < 5, n >= 30),
         "repeats": vote(F.col("repeat_share") > 0.3, F.col("repeat_share") < 0.1),
         "variety": vote((F.col("distinct_share") < 0.25) & (n < 2000), F.col("distinct_share") > 0.5),
         "symbols": vote(F.col("symbols_per_char") > 0.03, F.col("symbols_per_char") < 0.005),
         "shouting": vote(F.col("upper_share") > 0.3, F.col("upper_share") < 0.1),
         "marks": vote(F.col("mark_share") > 0.2, F.col("mark_share") < 0.05),
         "lines": vote(F.col("dup_line_share") > 0.3, F.col("dup_line_share") < 0.05),
-        "stops": vote(F.col("bare_share") > 0.995, (F.col("bare_share") < 0.97) & (F.col("bare_share") > 0.5)),
+        "stops": vote((F.col("bare_share") > 0.995) & (n >= 50), F.col("bare_share") < 0.97),
+        "word_size": vote((F.col("chars_per_word") > 12) | (F.col("chars_per_word") < 2.5), F.col("chars_per_word").between(3.5, 8)),
     }
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """``table[labeller, class, vote]``: probability of the vote given the class (0 bad, 1 good)."""
+    """Class 0 is good; class 1 + k is the fault that labeller k looks for.
 
-    prior: float
+    ``table[k, c, v]`` is the probability that labeller k casts vote v on a document of class c. One
+    class for all bad documents would not do: a fault that one labeller sees and the others
+    rightly call good would pass for that labeller's error.
+    """
+
+    prior: np.ndarray
     table: np.ndarray
 
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each class for rows of votes."""
+        z = np.log(self.prior)[None, :] + sum(np.log(self.table[k][:, votes[:, k]]).T for k in range(votes.shape[1]))
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of good for rows of votes."""
-        z = np.log(np.array([1 - self.prior, self.prior]))[None, :]
-        for k in range(votes.shape[1]):
-            z = z + np.log(self.table[k][:, votes[:, k]]).T
-        return sigmoid(z[:, 1] - z[:, 0])
+        return self.classes(votes)[:, 0]
 
     def accuracies(self) -> np.ndarray:
         """Of each labeller's votes that are not abstentions, the expected share that is right."""
-        p = np.array([1 - self.prior, self.prior])[None, :]
-        right = p[:, 0] * self.table[:, 0, BAD] + p[:, 1] * self.table[:, 1, GOOD]
-        cast = (p[:, :, None] * self.table[:, :, :2]).sum(axis=(1, 2))
-        return right / np.maximum(cast, 1e-12)
+        cast = self.prior[None, :, None] * self.table[:, :, :2]
+        right = cast[:, 0, GOOD] + cast[:, 1:, BAD].sum(axis=1)
+        return right / np.maximum(cast.sum(axis=(1, 2)), 1e-12)
 
 
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Expectation-maximisation over vote patterns and how often each occurs.
 
-    It starts from the majority of each pattern's votes; every probability is smoothed by one pseudo-count, so none is 0.
+    It starts with patterns without a bad vote as mostly good and others as mostly a fault of those
+    who cast one; every probability is smoothed by one pseudo-count, so none is 0.
     """
     counts = counts.astype(float)
-    good, bad = (votes == GOOD).sum(axis=1), (votes == BAD).sum(axis=1)
-    # One bad vote weighs as much as several good ones: heuristics mostly look for faults.
-    post = np.clip((good + 1) / (good + 4 * bad + 2), 0.02, 0.98)
-    model = LabelModel(0.5, np.full((votes.shape[1], 2, 3), 1 / 3))
+    m = votes.shape[1]
+    bad = votes == BAD
+    any_bad = bad.any(axis=1, keepdims=True)
+    post = np.where(any_bad, np.hstack([np.full((len(votes), 1), 0.1), 0.9 * bad / np.maximum(bad.sum(axis=1, keepdims=True), 1)]), np.hstack([np.full((len(votes), 1), 0.95), np.full((len(votes), m), 0.05 / m)]))
+    model = LabelModel(np.full(m + 1, 1 / (m + 1)), np.full((m, m + 1, 3), 1 / 3))
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - post), counts * post])
-        table = np.ones((votes.shape[1], 2, 3))
-        for k in range(votes.shape[1]):
+        weight = counts[:, None] * post
+        table = np.ones((m, m + 1, 3))
+        for k in range(m):
             for v in (BAD, GOOD, NONE):
-                table[k, :, v] += weight[:, votes[:, k] == v].sum(axis=1)
+                table[k, :, v] += weight[votes[:, k] == v].sum(axis=0)
         table /= table.sum(axis=2, keepdims=True)
-        prior = (weight[1].sum() + 1) / (counts.sum() + 2)
-        model = LabelModel(float(prior), table)
-        new = model.posterior(votes)
+        prior = (weight.sum(axis=0) + 1) / (counts.sum() + m + 1)
+        model = LabelModel(prior, table)
+        new = model.classes(votes)
         moved = np.abs(new - post).max(initial=0)
         post = new
         if moved < TOLERANCE:
