@@ -31,9 +31,11 @@ GRAM = 64
 #: Bytes hashed at once; longer texts are taken in overlapping chunks.
 CHUNK = 1 << 18
 #: Different surroundings of one gram that one task sorts.
-GROUP_ROWS = 1024
+GROUP_ROWS = 8192
 #: Surroundings that are sorted in one go, in whole groups.
 SORT_ROWS = 4096
+#: Strings looked up by hash in one go; beyond it, the places of the anchor in a string are taken in slices.
+STRINGS_AT_ONCE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -224,40 +226,10 @@ def _exact(parts: list[bytes], before: list[int], at: list[int], alone: list[boo
     return out
 
 
-def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndarray, alone: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """``(member, from, to)``: bytes of members covered by a string that another member of its group has too.
-
-    A member is its bytes ``parts`` with the anchor ``before`` bytes in and at ``at`` in its text; strings
-    begin ``lo`` to ``hi`` bytes before the anchor. Only members that stand ``alone`` are answered.
-    """
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    text = PrefixHash(np.frombuffer(b"".join(parts), np.uint8))
-    first = np.cumsum(sizes) - sizes
-    anchor, right = first + before, np.minimum(sizes - before, length)
-    order = suffix_order(text, group, anchor, right)
-    x, y = order[:-1], order[1:]
-    most = np.where(group[x] == group[y], np.minimum(right[x], right[y]), 0)
-    ext = text.common(anchor[x], anchor[y], most)
-    wrong: set[int] = set()
-    # Verify the extensions, and the order of neighbours, on the bytes.
-    for k in range(0, len(ext), 1024):
-        a, b, e, m = anchor[x[k : k + 1024]], anchor[y[k : k + 1024]], ext[k : k + 1024], most[k : k + 1024]
-        step = np.arange(int(e.max(initial=0)) + 1)
-        inside = step[None, :] < e[:, None]
-        last = len(text.data) - 1
-        p, q = text.data[np.minimum(a[:, None] + step, last)], text.data[np.minimum(b[:, None] + step, last)]
-        bad = ((p != q) & inside).any(axis=1)
-        rows = np.arange(len(e))
-        bad |= (e < m) & (p[rows, e] >= q[rows, e])
-        wrong |= set(group[x[k : k + 1024]][bad].tolist())
-    reach = np.zeros(len(parts), np.int64)
-    np.maximum.at(reach, x, ext)
-    np.maximum.at(reach, y, ext)
-    # A string that begins o before the anchor needs a neighbour that agrees for length - o bytes from it.
-    begin = np.maximum(np.maximum(length - reach, lo), length - right)
-    end = np.minimum(before, hi)
+def _lookup(text: PrefixHash, group: np.ndarray, anchor: np.ndarray, at: np.ndarray, alone: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """Strings that begin ``begin`` to ``end`` bytes before members' anchors and that another member has too, as byte ranges; and groups in which hashes misled."""
     count = np.maximum(end - begin + 1, 0)
-    member = np.repeat(np.arange(len(parts)), count)
+    member = np.repeat(np.arange(len(anchor)), count)
     o = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count) + begin[member]
     if len(member):
         value = text.of(anchor[member] - o, length)
@@ -277,6 +249,7 @@ def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndar
     else:
         spot = np.zeros(0, np.int64)
     out: list[tuple[int, int, int]] = []
+    wrong: set[int] = set()
     if len(spot):
         split = np.concatenate([[True], np.diff(spot) != 1]) | np.concatenate([[True], np.diff(member[spot]) != 0])
         starts = np.flatnonzero(split)
@@ -291,7 +264,50 @@ def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndar
                 bad = (p != q).any(axis=1) | (group[member[e]] != group[member[other]]) | (o[e] != o[other])
                 wrong |= set(group[member[e]][bad].tolist())
         m = member[low]
-        out = [r for r, g in zip(zip(m.tolist(), (at[m] - o[high]).tolist(), (at[m] - o[low] + length).tolist()), group[m].tolist()) if g not in wrong]
+        out = list(zip(m.tolist(), (at[m] - o[high]).tolist(), (at[m] - o[low] + length).tolist()))
+    return out, wrong
+
+
+def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndarray, alone: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """``(member, from, to)``: bytes of members covered by a string that another member of its group has too.
+
+    A member is its bytes ``parts`` with the anchor ``before`` bytes in and at ``at`` in its text; strings
+    begin ``lo`` to ``hi`` bytes before the anchor. Only members that stand ``alone`` are answered.
+    """
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    text = PrefixHash(np.frombuffer(b"".join(parts), np.uint8))
+    first = np.cumsum(sizes) - sizes
+    anchor, right = first + before, np.minimum(sizes - before, length)
+    order = suffix_order(text, group, anchor, right)
+    x, y = order[:-1], order[1:]
+    most = np.where(group[x] == group[y], np.minimum(right[x], right[y]), 0)
+    ext = text.common(anchor[x], anchor[y], most)
+    wrong: set[int] = set()
+    # Verify the extensions, and the order of neighbours, on the bytes.
+    for k in range(0, len(ext), 1024):
+        a, b, e, m = anchor[x[k : k + 1024]], anchor[y[k : k + 1024]], ext[k : k + 1024], most[k : k + 1024]
+        step = np.arange(int(e.max(initial=0)) + 1)
+        inside = step[None, :] < e[:, None]
+        last = len(text.data) - 1
+        p, q = text.data[np.minimum(a[:, None] + step, last)], text.data[np.minimum(b[:, None] + step, last)]
+        bad = ((p != q) & inside).any(axis=1)
+        rows = np.arange(len(e))
+        bad |= (e < m) & (p[rows, e] >= q[rows, e])
+        wrong |= set(group[x[k : k + 1024]][bad].tolist())
+    reach = np.zeros(len(parts), np.int64)
+    np.maximum.at(reach, x, ext)
+    np.maximum.at(reach, y, ext)
+    # A string that begins o before the anchor needs a neighbour that agrees for length - o bytes from it.
+    begin = np.maximum(np.maximum(length - reach, lo), length - right)
+    end = np.minimum(before, hi)
+    out: list[tuple[int, int, int]] = []
+    slices = 1 + int(np.maximum(end - begin + 1, 0).sum()) // STRINGS_AT_ONCE
+    step = -(-(length + 1) // slices)
+    for o0 in range(0, length + 1, step):
+        found, bad = _lookup(text, group, anchor, at, alone, np.maximum(begin, o0), np.minimum(end, o0 + step - 1), length)
+        out += found
+        wrong |= bad
+    out = [r for r in out if group[r[0]] not in wrong]
     for g in wrong:
         own = np.flatnonzero(group == g).tolist()
         found = _exact([parts[i] for i in own], before[own].tolist(), at[own].tolist(), alone[own].tolist(), int(lo[own[0]]), int(hi[own[0]]), length)
@@ -370,7 +386,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = keyed.where(F.octet_length("text") >= length)
     anchors = materialise(long.mapInArrow(lambda b: _anchors(b, length, gram), "gram long, k1 long, k2 long, at long"), "anchors")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # A table of its own, so that the join below is of two plain shuffles and a hot gram's rows can be split.
+    twice = materialise(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     places = anchors.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "at")).alias("places"))
     met = long.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     members = materialise(met.mapInArrow(lambda b: _surroundings(b, length, gram), MEMBER), "members")
