@@ -4,8 +4,10 @@ Documents are tokenised where they are read and cut into full sequences and one
 Remainders are dealt into groups of bounded size. In each group the differencing method
 keeps a heap of partial partitions into k windows, and again and again merges the two of
 largest spread with opposing imbalances (the fullest window of one joins the emptiest of the
-other). The windows come out nearly equal; while one exceeds the capacity, k rises and the
-group is partitioned again. Token ids never travel: pieces carry their checksum.
+other). The windows come out nearly equal. What a window holds beyond the capacity is cut off
+and moved to windows with room; while there is not room enough, k rises and the group is
+partitioned again. Token ids never travel: pieces carry checksums of their prefixes, of
+which the checksum of any part that ends at a mark follows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Pieces that one group packs; a larger input makes more groups, never larger ones.
 GROUP_PIECES = 512
+#: Remainders are cut only at multiples of so many tokens.
+GRAIN = 32
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -59,15 +63,16 @@ def encoder(path: str):
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """``(id_col, start, length, ids_crc32, doc_tokens[, ids])``: each document cut at multiples of ``capacity``.
+    """``(id_col, start, length, ids_crc32, doc_tokens, marks[, ids])``: each document cut at multiples of ``capacity``.
 
-    A document is its text's ids and the end id; a null or empty text is the end id alone.
+    A document is its text's ids and the end id; a null or empty text is the end id alone. ``marks`` are
+    the checksums of a remainder's prefixes at multiples of ``GRAIN``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            row, start, length, crc, total, kept = [], [], [], [], [], []
+            row, start, length, crc, total, marks, kept = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 ids = np.array(encode(text.as_py()) + [END_ID], "<u4")
                 for a in range(0, len(ids), capacity):
@@ -76,14 +81,15 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     start.append(a)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
+                    marks.append(prefix_marks(part.tobytes()) if len(part) < capacity else [])
                     total.append(len(ids))
                     if with_ids:
                         kept.append(part.astype(np.int32))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(marks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
 
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "marks"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, marks array<long>" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -114,12 +120,12 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
             continue
         _, _, b_sum, b_head, b_tail = heapq.heappop(heap)
         both = max(0, len(a_sum) + len(b_sum) - k)
-        # The emptiest `both` windows of a meet the fullest of b, in opposite order.
-        cut = len(a_sum) - both
-        follows[a_tail[cut:]] = b_head[:both][::-1]
-        total = np.concatenate([a_sum[:cut], a_sum[cut:] + b_sum[:both][::-1], b_sum[both:]])
-        head = np.concatenate([a_head, b_head[both:]])
-        tail = np.concatenate([a_tail[:cut], b_tail[:both][::-1], b_tail[both:]])
+        # With empty windows at the end of a and, turned round, at the start of b, so many windows have both.
+        cut, split = len(a_sum) - both, len(b_sum) - both
+        follows[a_tail[cut:]] = b_head[split:][::-1]
+        total = np.concatenate([a_sum[:cut], a_sum[cut:] + b_sum[split:][::-1], b_sum[:split]])
+        head = np.concatenate([a_head, b_head[:split]])
+        tail = np.concatenate([a_tail[:cut], b_tail[split:][::-1], b_tail[:split]])
         order = np.argsort(-total, kind="stable")
         total, head, tail = total[order], head[order], tail[order]
         spread = int(total[0] - (total[-1] if len(total) == k else 0))
@@ -135,33 +141,85 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, none fuller than ``capacity``; items are at most that large."""
-    total = int(sizes.sum())
-    k = max(1, math.ceil(total / capacity))
-    while True:
-        window = difference(sizes, k)
-        over = np.maximum(np.bincount(window, sizes, k) - capacity, 0).sum()
-        if over == 0:
-            return window
-        k += max(1, k // 64)
+def prefix_marks(data: bytes) -> list[int]:
+    """Checksums of the first 0, 1, 2, ... times ``GRAIN`` ids."""
+    out, step = [0], 4 * GRAIN
+    for a in range(0, len(data) - len(data) % step, step):
+        out.append(zlib.crc32(data[a : a + step], out[-1]))
+    return out
+
+
+def part_crc(begin_crc: int, end_crc: int, tokens: int) -> int:
+    """Checksum of the ``tokens`` ids between two prefixes of these checksums (CRCs are linear)."""
+    zeros = bytes(4 * tokens)
+    return zlib.crc32(zeros, begin_crc) ^ zlib.crc32(zeros) ^ end_crc
+
+
+Part = tuple[int, int, int, int]  # window, item, begin, end
+
+
+def fit(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, grain: int = GRAIN) -> list[Part] | None:
+    """The items in their windows, what exceeds ``capacity`` cut off and moved to windows with room; None if there is too little."""
+    held: list[list[Part]] = [[] for _ in range(k)]
+    for i, w in enumerate(window.tolist()):
+        held[w].append((w, i, 0, int(sizes[i])))
+    loose: list[tuple[int, int, int]] = []
+    room = []
+    for w, parts in enumerate(held):
+        parts.sort(key=lambda x: x[3])
+        excess = sum(x[3] for x in parts) - capacity
+        while excess > 0:
+            _, i, _, size = parts.pop()
+            keep = max(0, size - excess) // grain * grain
+            loose.append((i, keep, size))
+            excess -= size - keep
+            if keep:
+                parts.append((w, i, 0, keep))
+        room.append((-excess, w))
+    # Large pieces first, so that many go whole.
+    loose.sort(key=lambda x: x[1] - x[2])
+    for free, w in sorted(room, reverse=True):
+        while loose and free >= min(grain, loose[0][2] - loose[0][1]):
+            i, a, b = loose.pop(0)
+            end = b if b - a <= free else a + free // grain * grain
+            held[w].append((w, i, a, end))
+            free -= end - a
+            if end < b:
+                loose.insert(0, (i, end, b))
+    return None if loose else [x for parts in held for x in parts]
+
+
+def pack(sizes: np.ndarray, capacity: int, grain: int = GRAIN) -> list[Part]:
+    """Parts of all items in windows none fuller than ``capacity``; items are at most that large."""
+    k = max(1, math.ceil(int(sizes.sum()) / capacity))
+    while (parts := fit(sizes, difference(sizes, k), k, capacity, grain)) is None:
+        k += 1
+    return parts
 
 
 def _pack_group(capacity: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = table["length"].to_numpy()
         order = np.lexsort([table["ids_crc32"].to_numpy(), table["start"].to_numpy(), -length])
-        length = length[order]
-        window = pack(length, capacity)
-        by_window = np.argsort(window, kind="stable")
-        ends = np.cumsum(length[by_window])
-        begins = ends - length[by_window]
-        first = np.concatenate([[True], np.diff(window[by_window]) > 0])
-        offset = np.empty(len(length), np.int64)
-        offset[by_window] = begins - np.maximum.accumulate(np.where(first, begins, 0))
-        out = table.drop_columns(["group"]).take(pa.array(order))
-        sequence = (key[0].as_py() << 32) | window
-        return out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        table, length = table.take(pa.array(order)), length[order]
+        parts = sorted(pack(length, capacity))
+        marks, crcs = table["marks"].to_pylist(), table["ids_crc32"].to_pylist()
+        window, item, begin, end = (np.array(x, np.int64) for x in zip(*parts))
+        ends = np.cumsum(end - begin)
+        first = np.concatenate([[True], np.diff(window) > 0])
+        offset = ends - (end - begin)
+        offset -= np.maximum.accumulate(np.where(first, offset, 0))
+        crc = []
+        for i, a, b in zip(item.tolist(), begin.tolist(), end.tolist()):
+            at_end = crcs[i] if b == length[i] else marks[i][b // GRAIN]
+            crc.append(at_end if a == 0 else part_crc(marks[i][a // GRAIN], at_end, b - a))
+        out = table.take(pa.array(item))
+        values = {"start": out["start"].to_numpy() + begin, "length": end - begin, "ids_crc32": crc}
+        columns = {n: pa.array(values[n], pa.int64()) if n in values else out[n] for n in out.column_names if n not in ("group", "marks", "ids")}
+        if "ids" in out.column_names:
+            columns["ids"] = pa.array([x[a:b] for x, a, b in zip(out["ids"].to_pylist(), begin, end)], pa.list_(pa.int32()))
+        columns |= {"sequence_id": pa.array((key[0].as_py() << 32) | window, pa.int64()), "offset": pa.array(offset, pa.int64())}
+        return pa.table(columns)
 
     return run
 
@@ -180,10 +238,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if groups >= 1 << 30:
         raise ValueError("too many groups for a sequence id")
     dealt = rest.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    own = [c for c in cut.columns if c != "marks"]
+    fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in own) + ", sequence_id long, offset long"
     packed = dealt.groupBy("group").applyInArrow(_pack_group(capacity), fields)
     # Row numbers of full pieces and group numbers cannot meet: the former have bit 62 set.
-    alone = full.select(*cut.columns, F.col("row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = full.select(*own, F.col("row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 
