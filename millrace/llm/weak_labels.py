@@ -28,6 +28,8 @@ BITS = 14
 TRAIN_ROWS = 6_000
 L2 = 1e-5
 ROUNDS, TOLERANCE = 200, 1e-9
+#: Largest share of good documents that a labeller is taken to call bad.
+FALSE_BAD = 0.003
 
 
 def labellers() -> dict[str, Column]:
@@ -83,7 +85,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS)
     """Expectation-maximisation over vote patterns and how often each occurs.
 
     It starts with patterns without a bad vote as mostly good and others as mostly a fault of those
-    who cast one; every probability is smoothed by one pseudo-count, so none is 0.
+    who cast one; every probability is smoothed by one pseudo-count, so none is 0. A labeller is held to call
+    good documents bad no more than ``FALSE_BAD`` of the time: without it, a fault that one
+    labeller alone sees would be taken for its error, and good would swallow that class.
     """
     counts = counts.astype(float)
     m = votes.shape[1]
@@ -98,6 +102,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS)
             for v in (BAD, GOOD, NONE):
                 table[k, :, v] += weight[votes[:, k] == v].sum(axis=0)
         table /= table.sum(axis=2, keepdims=True)
+        over = np.maximum(table[:, 0, BAD] - FALSE_BAD, 0)
+        table[:, 0, BAD] -= over
+        table[:, 0, GOOD] += over
         prior = (weight.sum(axis=0) + 1) / (counts.sum() + m + 1)
         model = LabelModel(prior, table)
         new = model.classes(votes)
