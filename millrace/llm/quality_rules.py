@@ -253,10 +253,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     n = known.count()
     if n > max_train_rows:
         known = known.where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * max_train_rows / n))
-    labelled = docs.select(id_col, text_col).join(known, docs[id_col] == known["__id"])
-    rules = learn_rules(features(text_stats(labelled, (id_col, "bad"), text_col)).where(~base_failed()), id_col)
+    # At most max_train_rows ids of one number or string each: a bounded broadcast, so the texts stay where they are.
+    labelled = docs.select(id_col, text_col).join(F.broadcast(known), docs[id_col] == known["__id"])
+    rules = learn_rules(materialise(features(text_stats(labelled, (id_col, "bad"), text_col)), "rule_stats").where(~base_failed()), id_col)
     judged = features(text_stats(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), ("__row",), "__text"))
-    return judged.where(verdict(rules)).select("__row.*")
+    # A generator ends the projection: a filter pushed below it would compute each statistic once per mention.
+    once = judged.select("__row", F.explode(F.array(F.struct(*[c for c in judged.columns if c != "__row"]))).alias("__stats"))
+    return once.select("__row", "__stats.*").where(verdict(rules)).select("__row.*")
 
 
 def op10_quality_rules(spark, sf_dir):
