@@ -155,7 +155,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 def resolve(records: DataFrame) -> DataFrame:
     """Join each revisit to its response: ``refers_to`` is that record's page."""
     responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page").alias("refers_to"))
-    return records.join(responses, "refers_to_id", "left")
+    # Responses refer to nothing: in the join, all their null keys would meet in one task.
+    found = records.where("refers_to_id is not null").join(responses, "refers_to_id", "left").select(*records.columns, "refers_to")
+    return found.unionByName(records.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("string")))
 
 
 def op3_warc(spark, sf_dir):
