@@ -16,6 +16,10 @@ from millrace.llm.simhash import keep_one
 from millrace.llm.suffix_dedup import drop_repeats
 
 
+#: Passages of fifty words are longer than this.
+REPEAT_BYTES = 256
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rules or the decision list learned from ``labels`` reject."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes or more that occur twice or more; drop documents of which no word is left."""
-    return drop_repeats(docs)
+    """Cut strings of REPEAT_BYTES or more that occur twice or more; drop documents of which no word is left."""
+    return drop_repeats(docs, length=REPEAT_BYTES)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
