@@ -8,6 +8,7 @@ file then says which document each block begins in and stitches the lengths of t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
     """Tokenise the texts where they lie and write them as flat token files below ``out``.
 
     A null or empty text is the end id alone. Spark's text writer commits the files: a "line" is a document's ids and the
-    end id's two low bytes, the line separator its two high bytes, which are zero; so ``end_id`` is below 65,536 and not in the vocabulary.
+    end id's two low bytes, the line separator its two high bytes, which are zero; files are packed with gzip as they are written. So ``end_id`` is below 65,536 and not in the vocabulary.
     """
     if not 0 <= end_id < 1 << 16:
         raise ValueError("the end id must be below 65,536")
@@ -42,21 +43,43 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
 
     lines = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0\0").option("maxRecordsPerFile", file_documents).text(out)
-
-
-def _scan(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
+    lines.write.option("lineSep", "\0\0").option("compression", "gzip").option("maxRecordsPerFile", file_documents).text(out)
+
+
+def _blocks(content: memoryview, size: int) -> Iterator[bytes]:
+    """The file's bytes, unpacked if it is gzip, in blocks of ``size``; one block is held at a time."""
+    if bytes(content[:2]) != b"\x1f\x8b":
+        yield from (bytes(content[a : a + size]) for a in range(0, len(content), size))
+        return
+    rest, held = bytes(content), bytearray()
+    while rest:
+        one = zlib.decompressobj(31)
+        while not one.eof:
+            part = one.decompress(rest, size)
+            rest = one.unconsumed_tail or one.unused_data
+            if not part and not one.eof and not rest:
+                raise ValueError("a token file ends within its gzip member")
+            held += part
+            while len(held) >= size:
+                yield bytes(held[:size])
+                del held[:size]
+    if held:
+        yield bytes(held)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator[pa.RecordBatch]:
     """Per block: tokens before its first end id (or all), tokens after its last, and the lengths in between."""
     names = ["file", "block", "tokens", "ends", "head", "tail", "inner"]
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids = np.frombuffer(batch.column(2)[i].as_buffer(), "<u4")
-            at = np.flatnonzero(ids == end_id)
-            head = int(at[0]) if len(at) else len(ids)
-            tail = len(ids) - 1 - int(at[-1]) if len(at) else len(ids)
-            values = [[len(ids)], [len(at)], [head], [tail]]
-            columns = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array(v, pa.int64()) for v in values), pa.array([np.diff(at) - 1], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for block, data in enumerate(_blocks(memoryview(content.as_buffer()), size)):
+                ids = np.frombuffer(data, "<u4")
+                at = np.flatnonzero(ids == end_id)
+                head = int(at[0]) if len(at) else len(ids)
+                tail = len(ids) - 1 - int(at[-1]) if len(at) else len(ids)
+                values = [[block], [len(ids)], [len(at)], [head], [tail]]
+                columns = [pa.array([file]), *(pa.array(v, pa.int64()) for v in values), pa.array([np.diff(at) - 1], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -66,11 +89,8 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tok
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     name = F.element_at(F.split("path", "/"), -1)
-    size = 4 * block_tokens
-    numbers = F.sequence(F.lit(0), ((F.col("length") - 1) / size).cast("int"))
-    pieces = F.transform(numbers, lambda b: F.substring("content", b * size + 1, F.lit(size)))
-    blocks = files.select(name.alias("file"), F.posexplode(pieces).alias("block", "bytes"))
-    scanned = blocks.mapInArrow(lambda b: _scan(b, end_id), "file string, block int, tokens long, ends long, head long, tail long, inner array<long>")
+    contents = files.select(name.alias("file"), "content")
+    scanned = contents.mapInArrow(lambda b: _scan(b, end_id, 4 * block_tokens), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>")
     # Prefix scan: the block's first document, and what ran on into it since the last end id.
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
