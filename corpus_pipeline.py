@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near-duplicates over five-word shingles."""
+    """Keep one document, that of the smallest id, of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
     return keep_one(docs)
 
 
