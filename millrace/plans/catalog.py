@@ -226,8 +226,8 @@ def label_mask(spark, d):
 
 @query
 def pad_batch(spark, d):
-    short = V.documents(spark, d).where(F.length("text") <= 500).select("doc_id", V.tokens_hashed(F.col("text")).alias("input_ids"))
-    out = fim.pad_batches(short.withColumn("labels", F.col("input_ids")), "doc_id")
+    whole = V.documents(spark, d).select("doc_id", V.tokens_hashed(F.col("text")).alias("input_ids"))
+    out = fim.pad_batches(whole.withColumn("labels", F.col("input_ids")), "doc_id")
     return out.select("doc_id", "batch_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "labels", "attention_mask")])
 
 
