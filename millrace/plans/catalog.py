@@ -316,7 +316,7 @@ def pass_at_k(spark, d):
 
 @query
 def levenshtein_similarity(spark, d):
-    plain = V.table(spark, d, "conversations").select("conv_id", "turn", F.left(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), F.lit(200)).alias("t"))
+    plain = V.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))
     after = plain.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
     return plain.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.levenshtein_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
