@@ -16,7 +16,7 @@ from millrace.llm.simhash import keep_one
 from millrace.llm.suffix_dedup import drop_repeats
 
 
-#: Passages of fifty words are longer than this.
+#: Most passages of over fifty words are longer than this; repeats of shorter ones stay (see README).
 REPEAT_BYTES = 256
 
 
