@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
 import math
 import re
 import zlib
@@ -62,6 +63,25 @@ def encoder(path: str):
     return lambda text: (whole if wide(text) else plain).encode_ordinary(text)
 
 
+@functools.lru_cache(maxsize=2)
+def added_encoder(path: str):
+    """:func:`encoder`, with the ids of the JSON tokenizer's added tokens where a text holds them literally."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    plain = encoder(path)
+    if not added:
+        return plain
+    cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return [i for k, part in enumerate(parts) if part for i in ([added[part]] if k % 2 else plain(part))]
+
+    return encode
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``(id_col, start, length, ids_crc32, doc_tokens, marks[, ids])``: each document cut at multiples of ``capacity``.
 
@@ -70,7 +90,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = added_encoder(path)
         for batch in batches:
             row, start, length, crc, total, marks, kept = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
