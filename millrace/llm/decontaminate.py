@@ -137,21 +137,23 @@ def found_in(text: str, index: Index, coverage: float) -> list[tuple[int, list[t
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", min_match: int = MIN_MATCH, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
     """The items, read partition by partition, as blocks of about ``block_words`` words.
 
-    Items of fewer than ``min_match`` words, null and empty ones included, hold no seed and are left out.
+    An item of fewer than ``min_match`` words is one seed, so it must occur whole; such items have blocks
+    of their own by number of words. Null items and those without words are left out.
     """
-    rows: list[tuple[object, list[str]]] = []
-    held = 0
+    rows: dict[int, list[tuple[object, list[str]]]] = {}
+    held: dict[int, int] = {}
     for item in benchmark.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).toLocalIterator():
         words = words_of(item["text"])
-        if len(words) < min_match:
+        if not words:
             continue
-        if rows and held + len(words) > block_words:
-            yield Index.of(rows, min_match)
-            rows, held = [], 0
-        rows.append((item["id"], words))
-        held += len(words)
-    if rows:
-        yield Index.of(rows, min_match)
+        seed = min(len(words), min_match)
+        if rows.get(seed) and held[seed] + len(words) > block_words:
+            yield Index.of(rows.pop(seed), seed)
+            held[seed] = 0
+        rows.setdefault(seed, []).append((item["id"], words))
+        held[seed] = held.get(seed, 0) + len(words)
+    for seed, left in rows.items():
+        yield Index.of(left, seed)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
