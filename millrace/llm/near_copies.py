@@ -1,14 +1,19 @@
-"""Near-duplicates by Jaccard similarity of word shingles.
+"""Near-duplicates by Jaccard similarity of word shingles, found by SimHash anchors and checked on the sets.
 
-Texts with the same set of shingles collapse into one node. Each node is dealt to one bucket per
-band of a MinHash sketch; nodes that share a bucket are candidates, and every candidate is decided
-on the whole sets. A pair of similarity s shares no bucket with probability (1 - s^ROWS)^BANDS,
-about 5e-8 at 0.8. Buckets are first compared with their smallest node each; after that only nodes
-of a bucket that are not yet in one component are compared, all with all.
+Texts with the same set of shingles collapse into one node with a SimHash of 512 bits. Sets of Jaccard similarity s
+differ in each bit with probability arccos(2s / (1 + s)) / pi, 0.15 at 0.8. A block of the fingerprint is
+15 code bits and some free bits; its anchors are the words of the (15, 11) Hamming code times all values of the free
+bits, of covering radius 1, and a block's own threshold is 0, so a node goes to the one anchor within 1 + 0 bits. Of
+overlapping blocks there are as many as make two sets of similarity 0.8 meet with a probability of 1 - ``MISS``. Nodes of
+one anchor are candidates if 128 of their bits are near; every candidate is decided on the whole sets.
+
+Candidates are taken in two steps. First every node meets the smallest node of its anchor; links found so
+join large groups of copies. After that only nodes that are not in one component yet are compared, all with all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +22,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import runs, spread
 from .common import byte_spans, letters_mix, materialise, utf8
 from .components import components
+from .shingles import SEED, bit_counts, shingle_hashes
 
-SEED = 42
 SIMILARITY = 0.8
-BANDS = 32
-ROWS = 4
-_A, _B = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
-_A |= np.uint32(1)
+#: 64-bit words of a fingerprint, and how many of them candidates are compared by.
+WORDS, CHECKED = 8, 2
+CODE_BITS = 15
+#: Probability that a pair of just the similarity wanted meets at no anchor.
+MISS = 1e-3
+#: Free bits grow with the nodes, so that an anchor of a block has about so many nodes at most.
+ANCHOR_NODES = 256
+#: Nodes of one anchor that one task compares all with all; larger anchors are dealt out.
+CELL_ROWS = 8192
+PAIRS_AT_ONCE = 1_000_000
+ROWS_AT_ONCE = 200_000
+#: Texts that are found again by broadcasting their names; more are joined by shuffling.
+BROADCAST_NAMES = 2_000_000
+_ODD = letters_mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of the text's word shingles in rising order; words and short texts as in ``simhash``."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    width = min(width, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    first = (ends - sizes)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, ends[width - 1 :].tolist())], np.uint64))
+    """The distinct hashes of the text's word shingles in rising order."""
+    found = [np.unique(h) for h in shingle_hashes(text, width)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]))
 
 
 def name_of(shingles: np.ndarray) -> int:
@@ -47,17 +55,62 @@ def name_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
-    """The set's bucket in each band, signed."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(high), 1024):
-        least = np.minimum(least, (_A * high[k : k + 1024] + _B).min(axis=1))
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        key = letters_mix(key) ^ rows[:, j]
-    return letters_mix(key).view(np.int64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WORDS`` 64-bit words; a bit is 1 if more than half of the shingles' hashes have it."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for k in range(0, len(shingles), 4080):
+        h = (shingles[k : k + 4080, None] * _ODD[None, :]).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(29)
+        counts += bit_counts(h)
+    return np.packbits(2 * counts > len(shingles)).view(np.uint64)
+
+
+def bit_rate(similarity: float) -> float:
+    """Share of bits in which two sets of this Jaccard similarity and of like size differ."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def blocks_for(nodes: int, similarity: float = SIMILARITY, miss: float = MISS) -> np.ndarray:
+    """Places in the fingerprint of each block's bits, the code bits first: as many blocks as the miss rate asks for."""
+    free = max(1, math.ceil(math.log2(max(1, nodes) / ANCHOR_NODES)) - 11)
+    p = bit_rate(similarity)
+    one, two = CODE_BITS * p * (1 - p) ** (CODE_BITS - 1), math.comb(CODE_BITS, 2) * p**2 * (1 - p) ** (CODE_BITS - 2)
+    # Words one or two bits apart lie within one bit of the same code word in one case of eight; further apart, in none.
+    meet = ((1 - p) ** CODE_BITS + (one + two) / 8) * (1 - p) ** free
+    many = math.ceil(math.log(miss) / math.log(1 - meet)) if meet < 1 else 1
+    width = CODE_BITS + free
+    rng = np.random.default_rng(SEED)
+    each = 64 * WORDS // width
+    return np.concatenate([rng.permutation(64 * WORDS)[: each * width].reshape(each, width) for _ in range(-(-many // each))])[:many]
+
+
+def cells_of(fingerprints: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """``(n, blocks)``: the nearest anchor of each fingerprint (rows of bytes) in each block."""
+    bits = np.unpackbits(fingerprints, axis=1)[:, blocks]
+    place = np.concatenate([np.arange(1, CODE_BITS + 1), np.zeros(blocks.shape[1] - CODE_BITS)]).astype(np.uint8)
+    lead = np.bitwise_xor.reduce(bits * place, axis=2)
+    weight = np.int64(1) << np.arange(blocks.shape[1], dtype=np.int64)
+    word = (bits * weight).sum(axis=2)
+    word ^= np.where(lead > 0, np.int64(1) << np.maximum(lead.astype(np.int64) - 1, 0), 0)
+    return word | (np.arange(len(blocks), dtype=np.int64) << 40)
+
+
+def _sketches(docs: DataFrame, id_kind: str, width: int) -> DataFrame:
+    """``(id, mark, node, sketch)`` of each row of ``(id, mark, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = byte_spans(batch.column(2))
+            nodes, made = [], []
+            for a, b in zip(at.tolist(), at[1:].tolist()):
+                found = shingle_set(bytes(data[a:b]), width)
+                nodes.append(name_of(found))
+                made.append(wide_fingerprint(found).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], names=["id", "mark", "node", "sketch"])
+
+    return docs.mapInArrow(run, f"id {id_kind}, mark long, node long, sketch binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -66,26 +119,83 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_spans(batch.column(0))
-            found = [shingle_set(bytes(data[a:b]), width) for a, b in zip(at.tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
+            for k in range(0, batch.num_rows, 256):
+                found = [shingle_set(bytes(data[a:b]), width) for a, b in zip(at[k : k + 256].tolist(), at[k + 1 : k + 257].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(map(name_of, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node long, shingles binary")
 
 
-def _sketches(docs: DataFrame, id_kind: str, width: int) -> DataFrame:
-    """``(id, mark, node, keys)`` of each row of ``(id, mark, text)``."""
+def _deal(nodes: DataFrame, blocks: np.ndarray) -> DataFrame:
+    """``(cell, root, node, w0, w1)``: every node of ``(node, root, sketch)`` at its anchor in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = byte_spans(batch.column(2))
-            nodes, keys = [], []
-            for a, b in zip(at.tolist(), at[1:].tolist()):
-                found = shingle_set(bytes(data[a:b]), width)
-                nodes.append(name_of(found))
-                keys.append(buckets(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "mark", "node", "keys"])
+            node, root = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            raw, at = byte_spans(batch.column(2))
+            sketch = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].reshape(-1, 8 * WORDS)
+            for k in range(0, len(node), 1024):
+                part = sketch[k : k + 1024]
+                cells = cells_of(part, blocks)
+                check = np.ascontiguousarray(part).view(np.int64)[:, :CHECKED]
+                row = np.repeat(np.arange(len(part)), len(blocks))
+                columns = [cells.ravel(), root[k : k + 1024][row], node[k : k + 1024][row], *(check[row, i] for i in range(CHECKED))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "root", "node", "w0", "w1"])
+
+    return nodes.select("node", "root", "sketch").mapInArrow(run, "cell long, root long, node long, w0 long, w1 long")
 
-    return docs.mapInArrow(run, f"id {id_kind}, mark long, node long, keys array<long>")
+
+def _candidates(batches: Iterator[pa.RecordBatch], limit: int, hubs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``(cell, sub, home, root, node, w0, w1)`` in that order; a group of cell and sub may span batches.
+
+    With ``hubs`` every row meets the first of its group, which is all that is kept of a group; else homes meet
+    all rows of the group with another root.
+    """
+    kept: list[list[np.ndarray]] = []
+    rows = 0
+
+    def pairs(cell, sub, home, root, node, w0, w1):
+        starts = runs(cell, sub)
+        size = np.diff(np.append(starts, len(cell)))
+        group = np.repeat(np.arange(len(starts)), size)
+        if hubs:
+            ranges = [(starts, starts + 1, size - 1)]
+        else:
+            own = runs(cell, sub, home, root)
+            run_end = np.repeat(np.append(own[1:], len(cell)), np.diff(np.append(own, len(cell))))
+            guests = np.bincount(group[~home], minlength=len(starts))[group]
+            i = np.flatnonzero(home)
+            ranges = [(i, starts[group][i], guests[i]), (i, run_end[i], (starts + size)[group][i] - run_end[i])]
+        for i, start, count in ranges:
+            for owner, j in spread(start, count, PAIRS_AT_ONCE):
+                a = i[owner]
+                near = np.flatnonzero((np.bitwise_count((w0[a] ^ w0[j]).view(np.uint64)) + np.bitwise_count((w1[a] ^ w1[j]).view(np.uint64)) <= limit) & (node[a] != node[j]) & (root[a] != root[j]))
+                if len(near):
+                    u, v = np.minimum(node[a[near]], node[j[near]]), np.maximum(node[a[near]], node[j[near]])
+                    u, v = np.unique(np.stack([u, v]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def flush(last: bool):
+        nonlocal kept, rows
+        columns = [np.concatenate([x[i] for x in kept]) for i in range(7)]
+        starts = runs(columns[0], columns[1])
+        stop = len(columns[0]) if last else int(starts[-1])
+        ready, rest = [c[:stop] for c in columns], [c[stop:] for c in columns]
+        if hubs and not last and len(rest[0]) > 1:
+            # The group goes on: compare what is here and keep its first row.
+            ready, rest = columns, [c[stop : stop + 1] for c in columns]
+        kept, rows = ([rest] if len(rest[0]) else []), len(rest[0])
+        if len(ready[0]):
+            yield from pairs(*ready)
+
+    for batch in batches:
+        if batch.num_rows:
+            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            rows += batch.num_rows
+            if rows >= ROWS_AT_ONCE:
+                yield from flush(False)
+    if rows:
+        yield from flush(True)
 
 
 def _alike(least: float):
@@ -93,7 +203,7 @@ def _alike(least: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -101,41 +211,68 @@ def _alike(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``(id_col, component_id)``, one row per row of ``docs``.
+def candidates(nodes: DataFrame, blocks: np.ndarray, hubs: bool, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of ``(node, root, sketch)`` that share an anchor, have different roots and are near by 128 bits.
+
+    With ``hubs`` only pairs with one node of the anchor. An anchor of more than ``cell_rows`` nodes is dealt
+    out in parts: each row is at home in one and, unless it has the root that most of the anchor's rows have, a guest in all
+    others, so any two of different roots meet.
+    """
+    spark = nodes.sparkSession
+    limit = int(64 * CHECKED * 2 * bit_rate(similarity))
+    dealt = _deal(nodes, blocks)
+    hot = materialise(dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "hot_anchors")
+    columns = ["cell", "sub", "home", "root", "node", "w0", "w1"]
+    if hot.isEmpty():
+        placed = dealt.withColumns({"sub": F.lit(0), "home": F.lit(True)})
+    else:
+        many = F.ceil(F.col("n") / cell_rows).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.coalesce(many, F.lit(1))).cast("int")
+        if hubs:
+            placed = dealt.join(hot, "cell", "left").withColumns({"sub": own, "home": F.lit(True)})
+        else:
+            by_root = dealt.join(hot.select("cell"), "cell").groupBy("cell", "root").agg(F.count("*").alias("m"))
+            most = materialise(by_root.groupBy("cell").agg(F.max(F.struct("m", "root"))["root"].alias("most")).join(hot, "cell"), "most")
+            there = F.when(F.col("n").isNull() | (F.col("root") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), many - 1))
+            placed = dealt.join(most, "cell", "left").withColumn("own", own).withColumn("sub", F.explode(there)).withColumn("home", F.col("sub") == F.col("own"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["cell", "sub", "node"] if hubs else ["cell", "sub", "home", "root"]
+    ordered = placed.select(*columns).repartition(parts, "cell", "sub").sortWithinPartitions(*order)
+    return ordered.mapInArrow(lambda b: _candidates(b, limit, hubs), "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(id, component_id)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of a Jaccard similarity of ``similarity`` or
     more. Texts without words, null included, are alike. Rows with a null id take part in links but give
-    no component id (null if all ids of a component are null); repeated rows stay.
+    no component id (null if all ids of a component are null); repeated rows stay; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
-    own = materialise(_sketches(texts, dict(docs.dtypes)[id_col], width), "sketches")
-    nodes = own.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("keys").alias("keys"))
-    nodes = materialise(nodes, "nodes")
-    dealt = nodes.select("node", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far")
-    dealt = materialise(dealt.join(shared.select("key", "hub"), "key"), "buckets")
+    own = materialise(_sketches(texts, docs.schema[id_col].dataType.simpleString(), width), "sketches")
+    nodes = materialise(own.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")), "nodes")
+    blocks = blocks_for(nodes.count(), similarity)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialise(pairs.distinct(), f"pairs_{name}")
+        pairs = materialise(pairs, f"pairs_{name}")
         some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        marks = nodes.join(some, "node").select("mark")
+        marks = materialise(nodes.join(some, "node").select("mark").distinct(), f"marks_{name}")
+        if marks.count() <= BROADCAST_NAMES:
+            marks = F.broadcast(marks)
         sets = _sets(texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"]).select("text"), width)
         sets = materialise(sets, f"sets_{name}")
         one, two = sets.toDF("u", "x"), sets.toDF("v", "y")
         both = pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y")
         return materialise(both.mapInArrow(_alike(similarity), "u long, v long"), f"links_{name}")
 
-    links = verified(dealt.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), "hubs")
+    links = verified(candidates(nodes.withColumn("root", F.col("node")), blocks, True, similarity, cell_rows), "hubs")
     roots = materialise(components(links), "roots")
-    rooted = dealt.join(roots, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rooted = materialise(rooted.where("node <> hub").join(open_keys, "key"), "open_buckets")
-    a, b = rooted.select("key", F.col("node").alias("u"), F.col("root").alias("ru")), rooted.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    links = links.union(verified(a.join(b, "key").where("u < v and ru <> rv").select("u", "v"), "rest"))
-
-    found = components(links)
-    named = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = materialise(named, "named")
+    rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", "sketch", F.coalesce("root", "node").alias("root")), "rooted")
+    more = verified(candidates(rooted, blocks, False, similarity, cell_rows), "rest")
+    # Nodes stand for their components from here on: links of links, in the root's names.
+    rename = rooted.select("node", "root")
+    lifted = more.join(rename.toDF("u", "a"), "u").join(rename.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(lifted).toDF("root", "top")
+    named = materialise(rooted.join(found, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+    return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")

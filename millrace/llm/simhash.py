@@ -5,29 +5,30 @@ four bits differ in at most one bit in some block. In each block the anchors are
 covering code of radius 1: the perfect (15, 11) Hamming code on the block's low 15 bits,
 times all values of its other bits. Every fingerprint is at home at its nearest anchor and
 is replicated to every anchor within 1 + 1 = 2 bits; a linked pair therefore meets at the
-home of either one. Fingerprints are compared in full, per anchor.
+home of either one. Fingerprints are compared in full, per anchor. Beyond 2^26 fingerprints
+there are two blocks, a (31, 26) code and a reach of 1 + 2 bits, so that anchors stay small.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import anchors_of, home_of, runs, spread, thin
 from .common import byte_spans, materialise, utf8
 from .components import components
 from .near_copies import near_copies
+from .shingles import bit_counts, shingle_hashes
 
-SEED = 42
 MAX_BITS = 4
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 1
-CODE_BITS = 15
+#: Most fingerprints that are cut into three blocks; of more, each is cut into two.
+THREE_BLOCKS_ROWS = 1 << 26
 #: Fingerprints of one anchor that one task compares at once; larger anchors are dealt over a grid.
 CELL_ROWS = 4096
 PAIRS_AT_ONCE = 2_000_000
@@ -36,21 +37,11 @@ ROWS_AT_ONCE = 200_000
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """64-bit SimHash of the text's word shingles (see :func:`fingerprints`)."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    width = min(width, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    first = (ends - sizes)[: len(words) - width + 1].tolist()
-    last = ends[width - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(first), 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + (1 << 16)], last[k : k + (1 << 16)])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(first)).view(np.uint64)[0])
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
+        counts += bit_counts(h[:, None])
+        n += len(h)
+    return int(np.packbits(2 * counts > n).view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -73,91 +64,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")
 
 
-def _syndrome(low: np.ndarray) -> np.ndarray:
-    """Hamming syndrome of 15-bit words: the XOR of the 1-based places of their set bits."""
-    out = np.zeros(low.shape, np.uint64)
-    for place in range(CODE_BITS):
-        out ^= ((low >> np.uint64(place)) & np.uint64(1)) * np.uint64(place + 1)
-    return out
-
-
-def _masks(bits: int, reach: int) -> list[np.ndarray]:
-    """For each syndrome, the flips of at most ``reach`` bits that lead from such a word to an anchor."""
-    found = [0] + [1 << i for i in range(bits)]
-    if reach > 1:
-        found += [(1 << i) | (1 << j) for i in range(bits) for j in range(i)]
-    flips = np.array(found, np.uint64)
-    leads = _syndrome(flips & np.uint64((1 << CODE_BITS) - 1))
-    return [flips[leads == s] for s in range(1 << 4)]
-
-
-def anchors_of(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(cell, index into fps)`` of all anchors within ``reach`` bits in each block."""
-    cells, rows = [], []
-    for number, (shift, bits) in enumerate(BLOCKS):
-        part = (fps >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        syndrome = _syndrome(part & np.uint64((1 << CODE_BITS) - 1))
-        for s, flips in enumerate(_masks(bits, reach)):
-            own = np.flatnonzero(syndrome == s)
-            if len(own) and len(flips):
-                anchor = (part[own][:, None] ^ flips[None, :]).ravel()
-                cells.append(anchor.astype(np.int64) | (number << 32))
-                rows.append(np.repeat(own, len(flips)))
-    if not cells:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(cells), np.concatenate(rows)
-
-
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Cover:
+    """Blocks of a fingerprint and their code: ``MAX_BITS`` differing bits leave a block with ``tolerance`` at most."""
+
+    blocks: tuple[tuple[int, int], ...]
+    code_bits: int
+
+    @property
+    def tolerance(self) -> int:
+        return MAX_BITS // len(self.blocks)
+
+
+THREE = Cover(((0, 21), (21, 21), (42, 22)), 15)
+TWO = Cover(((0, 32), (32, 32)), 31)
+
+
+def cover_for(fingerprints: int, most: int = THREE_BLOCKS_ROWS) -> Cover:
+    """Longer blocks for more fingerprints: more replicas each, but a hundredth of the pairs. Either finds every link."""
+    return THREE if fingerprints <= most else TWO
+
+
+def _deal(batches: Iterator[pa.RecordBatch], cover: Cover) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for k in range(0, len(fps), 4096):
-            part = fps[k : k + 4096]
-            for home, reach in ((True, RADIUS), (False, RADIUS + MAX_BITS // len(BLOCKS))):
-                cell, row = anchors_of(part.view(np.uint64), reach)
-                if home:  # the free bits take no part: the nearest anchor differs in code bits only
-                    shift = np.array([b[0] for b in BLOCKS], np.uint64)[cell >> 32]
-                    wide = np.array([b[1] for b in BLOCKS], np.uint64)[cell >> 32]
-                    own = (part.view(np.uint64)[row] >> shift) & ((np.uint64(1) << wide) - np.uint64(1))
-                    near = (own >> np.uint64(CODE_BITS)) == ((cell & 0xFFFFFFFF).astype(np.uint64) >> np.uint64(CODE_BITS))
-                    cell, row = cell[near], row[near]
+        for k in range(0, len(fps), 2048):
+            part = fps[k : k + 2048]
+            words = part.view(np.uint64)
+            for home, (cell, row) in ((True, home_of(words, cover.blocks, cover.code_bits)), (False, anchors_of(words, cover.blocks, cover.code_bits, RADIUS + cover.tolerance))):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[row]), pa.array(np.full(len(cell), home))], names=["cell", "fp", "home"])
 
 
-def thin(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components as ``a - b``, fewer than there are nodes."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        la, lb = label[ia], label[ib]
-        if not (la != lb).any():
-            break
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label != label[label]).any():
-            label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
-def _links(homes: np.ndarray, reps: np.ndarray, nh: np.ndarray, nr: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _links(homes: np.ndarray, reps: np.ndarray, nh: np.ndarray, nr: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Compare all homes with all replicas of each group; groups lie one after another."""
-    out = []
-    h0, r0, pairs = np.cumsum(nh) - nh, np.cumsum(nr) - nr, nh * nr
-    total = np.concatenate([[0], np.cumsum(pairs)])
-    for k in range(0, int(total[-1]), PAIRS_AT_ONCE):
-        end = min(int(total[-1]), k + PAIRS_AT_ONCE)
-        lo, hi = np.searchsorted(total, [k, end], side="right") - 1
-        hi = min(hi, len(nh) - 1)
-        groups = np.arange(lo, hi + 1)
-        size = np.minimum(total[groups + 1], end) - np.maximum(total[groups], k)
-        g = np.repeat(groups, size)
-        x = np.arange(k, end) - total[g]
-        a, b = homes[h0[g] + x // nr[g]], reps[r0[g] + x % nr[g]]
+    group = np.repeat(np.arange(len(nh)), nh)
+    for own, other in spread((np.cumsum(nr) - nr)[group], nr[group], PAIRS_AT_ONCE):
+        a, b = homes[own], reps[other]
         near = (np.bitwise_count(a ^ b) <= MAX_BITS) & (a != b)
         if near.any():
-            out.append(thin(a[near].view(np.int64), b[near].view(np.int64)))
-    return out
+            yield thin(a[near].view(np.int64), b[near].view(np.int64))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +113,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(last: bool):
         nonlocal kept, rows
         key, fp, home = (np.concatenate([x[i] for x in kept]) for i in range(3))
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        starts = runs(key[:, 0], key[:, 1])
         if not last:
             tail = starts[-1]
             kept, rows = [(key[tail:], fp[tail:], home[tail:])], len(key) - tail
@@ -193,14 +138,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def links(distinct_fps: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(distinct_fps: DataFrame, cell_rows: int = CELL_ROWS, cover: Cover | None = None) -> DataFrame:
     """Links ``(u, v)`` whose components are those of "at most four bits differ" over ``fp``.
 
     An anchor with more than ``cell_rows`` homes or replicas is dealt over a grid of sub-cells, each home
     meeting each replica in exactly one, so no task compares an unbounded group and no pair is lost.
     """
     spark = distinct_fps.sparkSession
-    dealt = distinct_fps.select("fp").mapInArrow(_deal, "cell long, fp long, home boolean")
+    cover = cover or cover_for(distinct_fps.count())
+    dealt = distinct_fps.select("fp").mapInArrow(lambda b: _deal(b, cover), "cell long, fp long, home boolean")
     sizes = dealt.groupBy("cell").agg(F.count_if("home").alias("nh"), F.count_if(~F.col("home")).alias("nr"))
     hot = materialise(sizes.where((F.col("nh") > cell_rows) | (F.col("nr") > cell_rows)), "anchors")
     if hot.isEmpty():
@@ -240,13 +186,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the smallest id stays.
 
-    Links are pairs whose shingle sets have a Jaccard similarity of 0.8 or more (:mod:`near_copies`); four
-    differing bits, the figure of op5, would miss most of them. Of rows that repeat that id all stay, and
-    rows with a null id are never dropped.
+    Links are pairs whose shingle sets have a Jaccard similarity of 0.8 or more (:mod:`near_copies`): wider
+    fingerprints of ``width`` words meet at anchors and pairs are checked on the sets; four differing bits, the figure
+    of op5, would miss most of them. Rows that repeat an id stay or go together; rows with a null id are
+    never dropped; texts without words are alike; an empty table gives an empty result; columns are unchanged, whatever their names.
     """
     found = near_copies(docs, id_col, text_col, width)
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
+    drop = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__id")).distinct()
+    rows = docs.select(F.col(id_col).alias("__key"), F.struct("*").alias("__row"))
+    return rows.join(drop, F.col("__key") == F.col("__id"), "left_anti").select("__row.*")
 
 
 def op5_simhash(spark, sf_dir):

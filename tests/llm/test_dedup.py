@@ -10,6 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from millrace.llm import anchors as A
+from millrace.llm import shingles as X
 from millrace.llm import simhash as H
 from millrace.llm import suffix_dedup as D
 from millrace.llm.components import components
@@ -124,8 +126,9 @@ def classes(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
+@pytest.mark.parametrize("cover", [H.THREE, H.TWO])
 @pytest.mark.parametrize("cell_rows", [4096, 8])
-def test_links_equal_brute_force(spark, cell_rows):
+def test_links_equal_brute_force(spark, cell_rows, cover):
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(200)}
     for b in list(fps)[:25]:
@@ -137,21 +140,33 @@ def test_links_equal_brute_force(spark, cell_rows):
     fps = np.array(sorted(fps), np.uint64)
     signed = fps.view(np.int64).tolist()
     near = [(signed[i], signed[j]) for i, x in enumerate(fps) for j in np.flatnonzero(np.bitwise_count(fps ^ x) <= 4) if i < j]
-    got = H.links(spark.createDataFrame([(x,) for x in signed], "fp long"), cell_rows).collect()
+    got = H.links(spark.createDataFrame([(x,) for x in signed], "fp long"), cell_rows, cover).collect()
     assert classes(signed, [(r["u"], r["v"]) for r in got]) == classes(signed, near)
     assert len(got) < 20 * len(signed)
 
 
-def test_every_point_is_covered():
-    points = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
-    cells, rows = H.anchors_of(points, 1)
-    for number, (shift, bits) in enumerate(H.BLOCKS):
+@pytest.mark.parametrize("cover", [H.THREE, H.TWO])
+def test_every_point_is_covered(cover):
+    points = np.random.default_rng(1).integers(0, 1 << 63, 200).astype(np.uint64)
+    reached = set(zip(*(x.tolist() for x in A.anchors_of(points, cover.blocks, cover.code_bits, 1))))
+    cells, rows = A.home_of(points, cover.blocks, cover.code_bits)
+    assert set(zip(cells.tolist(), rows.tolist())) <= reached
+    for number, (shift, bits) in enumerate(cover.blocks):
         own = cells >> 32 == number
         part = (points[rows[own]] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        assert set(rows[own].tolist()) == set(range(500))
+        assert set(rows[own].tolist()) == set(range(len(points)))
         assert (np.bitwise_count(part ^ (cells[own] & 0xFFFFFFFF).astype(np.uint64)) <= 1).all()
 
 
+def test_shingles_in_chunks(monkeypatch):
+    rng = random.Random(2)
+    for text in (b"", b" \t", b"One  two", b"a b c d", b" ".join(rng.choice([b"x", b"Yy", b"zzz"]) for _ in range(700)), b"w" * 5000 + b" v u t s"):
+        want = [np.concatenate([*X.shingle_hashes(text, w), np.zeros(0, np.uint64)]).tolist() for w in (1, 4)]
+        monkeypatch.setattr(X, "CHUNK", 50)
+        assert [np.concatenate([*X.shingle_hashes(text, w), np.zeros(0, np.uint64)]).tolist() for w in (1, 4)] == want
+        monkeypatch.undo()
+
+
 def test_near_duplicates_cases(spark):
     text = " ".join(f"word{i}" for i in range(200))
     rows = [(5, text), (3, text.replace("word9 ", "other ")), (None, text), (7, ""), (8, None), (7, ""), (9, "One  two"), (10, "one TWO")]

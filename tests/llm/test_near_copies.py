@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.llm import near_copies as N
 from millrace.llm import simhash as H
 
@@ -43,11 +47,31 @@ def corpus():
     return rows
 
 
-def test_keep_one_equals_brute_jaccard(spark):
+@pytest.mark.parametrize("cell_rows", [8192, 8])
+def test_keep_one_equals_brute_jaccard(spark, cell_rows, monkeypatch):
     rows = corpus()
-    kept = [r["doc_id"] for r in H.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "__id": F.lit(2)})
+    monkeypatch.setattr(N, "ROWS_AT_ONCE", 500)
+    monkeypatch.setattr(H, "near_copies", lambda *a: N.near_copies(*a, cell_rows=cell_rows))
+    out = H.keep_one(df)
+    kept = [r["doc_id"] for r in out.collect()]
+    assert out.columns == df.columns
     assert len(kept) == len(set(kept)) and set(kept) == brute_kept(rows)
 
 
+def test_sets_that_are_alike_meet_at_an_anchor():
+    """The share of pairs of similarity 0.8 that meet, whatever the number of nodes."""
+    rng = np.random.default_rng(5)
+    for nodes in (1000, 1 << 26):
+        blocks = N.blocks_for(nodes)
+        made = []
+        for _ in range(400):
+            shared, own = rng.integers(0, 1 << 63, 160).astype(np.uint64), rng.integers(0, 1 << 63, 40).astype(np.uint64)
+            made += [N.wide_fingerprint(np.concatenate([shared, own[:20]])), N.wide_fingerprint(np.concatenate([shared, own[20:]]))]
+        cells = N.cells_of(np.stack(made).view(np.uint8), blocks)
+        assert (cells[::2] == cells[1::2]).any(axis=1).mean() > 0.985
+        assert (cells[:-2:2] == cells[3::2]).mean() < 0.01
+
+
 def test_near_copies_of_nothing(spark):
     assert N.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
