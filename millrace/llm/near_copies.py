@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 WORDS, CHECKED = 8, 2
 CODE_BITS = 15
 #: Probability that a pair of just the similarity wanted meets at no anchor.
-MISS = 1e-3
+MISS = 1e-4
 #: Free bits grow with the nodes, so that an anchor of a block has about so many nodes at most.
 ANCHOR_NODES = 256
 #: Nodes of one anchor that one task compares all with all; larger anchors are dealt out.
