@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in unit tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = DEFAULT_SHARED
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,6 +35,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Limit Arrow batches to ``BATCH_BYTES`` unless the session sets a limit: the JVM and its Python worker each hold some."""
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+    return spark
+
+
 def utf8(col):
     """Whole text, null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

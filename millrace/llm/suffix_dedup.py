@@ -3,10 +3,10 @@
 Every string of ``length`` bytes holds an anchor: the 64-byte gram of least hash among its
 own. Equal strings hold equal grams at equal places, so only suffixes at anchors, about one in
 170 positions, are looked at, and only those whose gram occurs twice or more. They meet by gram
-with the bytes around them. Equal surroundings collapse first. What is left of a group is
+with the bytes around them. Equal surroundings collapse first, compared byte by byte. What is left of a group is
 suffix-sorted by a mergesort whose comparisons take prefix polynomial hashes and a binary search
-for the common extension; the extensions of neighbours say which strings may repeat, and those are
-looked up by hash. Whatever the hashes claim is verified on the bytes.
+for the common extension, once from the anchors on and once backwards from the anchors; the extensions of
+neighbours in the two orders decide which strings repeat. Orders and extensions are verified on the bytes.
 
 A gram with very many different surroundings is not sorted in one task: the places it can take in
 a string are halved, which lengthens the part that the strings of one half share, and its members
@@ -15,6 +15,7 @@ are dealt anew by that longer part until groups are small. Nothing is capped.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,18 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, letters_mix, materialise, utf8
+from .common import byte_spans, letters_mix, materialise, small_batches, utf8
 
 LENGTH = 400
 GRAM = 64
 #: Bytes hashed at once; longer texts are taken in overlapping chunks.
 CHUNK = 1 << 18
 #: Different surroundings of one gram that one task sorts.
-GROUP_ROWS = 8192
+GROUP_ROWS = 4096
 #: Surroundings that are sorted in one go, in whole groups.
-SORT_ROWS = 4096
-#: Strings looked up by hash in one go; beyond it, the places of the anchor in a string are taken in slices.
-STRINGS_AT_ONCE = 1 << 20
+SORT_ROWS = 2048
+#: Bytes of texts that are cut and handed on at once.
+OUTPUT_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -131,9 +132,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 MEMBER = "gram long, around long, k1 long, k2 long, at long, before int, bytes binary"
 
 
+def _around(part: bytes, before: int) -> int:
+    """A signed 64-bit name of surroundings."""
+    name = xxhash.xxh3_64_intdigest(part, before)
+    return name - (1 << 64) if name >> 63 else name
+
+
 def _surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     names = ["gram", "around", "k1", "k2", "at", "before", "bytes"]
-    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         raw, offsets = byte_spans(batch.column(2))
         k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -145,8 +151,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
                 at = spot["at"]
                 before = min(at, length - gram)
                 part = bytes(text[at - before : at + length])
-                around = digest(part, before)
-                for column, value in zip(out, (spot["gram"], around - (1 << 64) if around >> 63 else around, k1[i], k2[i], at, before, part)):
+                for column, value in zip(out, (spot["gram"], _around(part, before), k1[i], k2[i], at, before, part)):
                     column.append(value)
             if len(out[0]) >= 8192:
                 yield _members(out, names)
@@ -226,46 +231,35 @@ def _exact(parts: list[bytes], before: list[int], at: list[int], alone: list[boo
     return out
 
 
-def _lookup(text: PrefixHash, group: np.ndarray, anchor: np.ndarray, at: np.ndarray, alone: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[list[tuple[int, int, int]], set[int]]:
-    """Strings that begin ``begin`` to ``end`` bytes before members' anchors and that another member has too, as byte ranges; and groups in which hashes misled."""
-    count = np.maximum(end - begin + 1, 0)
-    member = np.repeat(np.arange(len(anchor)), count)
-    o = np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count) + begin[member]
-    if len(member):
-        value = text.of(anchor[member] - o, length)
-        key = letters_mix(value ^ letters_mix((group[member].astype(np.uint64) << np.uint64(10)) + o.astype(np.uint64)))
-        by = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[True], key[by][1:] != key[by][:-1]])
-        run = np.cumsum(fresh) - 1
-        many = np.bincount(run)[run] > 1
-        partner = np.empty(len(by), np.int64)
-        heads = np.flatnonzero(fresh)[run]
-        ahead = np.minimum(np.flatnonzero(fresh)[run] + 1, len(by) - 1)
-        partner[by] = by[np.where(np.arange(len(by)) == heads, ahead, heads)]
-        twice = np.zeros(len(by), bool)
-        twice[by[many]] = True
-        twice &= alone[member]
-        spot = np.flatnonzero(twice)
-    else:
-        spot = np.zeros(0, np.int64)
-    out: list[tuple[int, int, int]] = []
+def sorted_extensions(data: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """Suffix order, the common extension of each suffix with the one before it (-1 for a group's first), and groups in which hashes misled.
+
+    Extensions and order of neighbours are verified on the bytes; with them, those of any two suffixes hold.
+    """
+    text = PrefixHash(data)
+    order = suffix_order(text, group, start, size)
+    x, y = order[:-1], order[1:]
+    near = group[x] == group[y]
+    most = np.where(near, np.minimum(size[x], size[y]), 0)
+    ext = text.common(start[x], start[y], most)
     wrong: set[int] = set()
-    if len(spot):
-        split = np.concatenate([[True], np.diff(spot) != 1]) | np.concatenate([[True], np.diff(member[spot]) != 0])
-        starts = np.flatnonzero(split)
-        low, high = spot[starts], spot[np.append(starts[1:], len(spot)) - 1]
-        # Strings of a run overlap, so its two outer ones cover it: those are verified on the bytes.
-        for edge in (low, high):
-            for k in range(0, len(edge), 1024):
-                e = edge[k : k + 1024]
-                p = text.data[(anchor[member[e]] - o[e])[:, None] + np.arange(length)]
-                other = partner[e]
-                q = text.data[(anchor[member[other]] - o[other])[:, None] + np.arange(length)]
-                bad = (p != q).any(axis=1) | (group[member[e]] != group[member[other]]) | (o[e] != o[other])
-                wrong |= set(group[member[e]][bad].tolist())
-        m = member[low]
-        out = list(zip(m.tolist(), (at[m] - o[high]).tolist(), (at[m] - o[low] + length).tolist()))
-    return out, wrong
+    last = max(0, len(data) - 1)
+    for k in range(0, len(ext), 1024):
+        a, b, e, m = x[k : k + 1024], y[k : k + 1024], ext[k : k + 1024], most[k : k + 1024]
+        step = np.arange(int(e.max(initial=0)) + 1)
+        p, q = data[np.minimum(start[a][:, None] + step, last)], data[np.minimum(start[b][:, None] + step, last)]
+        bad = ((p != q) & (step[None, :] < e[:, None])).any(axis=1)
+        rows = np.arange(len(e))
+        bad |= np.where(e < m, p[rows, e] >= q[rows, e], size[a] > size[b]) & near[k : k + 1024]
+        wrong |= set(group[a][bad].tolist())
+    return order, np.concatenate([[-1], np.where(near, ext, -1)]), wrong
+
+
+def _reach(order: np.ndarray, ext: np.ndarray) -> np.ndarray:
+    """Each suffix's longest common extension with another of its group: that with a neighbour."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(ext, np.append(ext[1:], -1))
+    return out
 
 
 def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndarray, alone: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -273,40 +267,41 @@ def solve(group: np.ndarray, parts: list[bytes], before: np.ndarray, at: np.ndar
 
     A member is its bytes ``parts`` with the anchor ``before`` bytes in and at ``at`` in its text; strings
     begin ``lo`` to ``hi`` bytes before the anchor. Only members that stand ``alone`` are answered.
+
+    Two suffix orders decide, that of the bytes from the anchor on and that of the bytes before it, read backwards. The
+    string that begins o bytes before the anchor is in both of two members if nowhere between them the extensions
+    fall below length - o in the one order and below o in the other: members of such a run in both orders share it.
     """
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    text = PrefixHash(np.frombuffer(b"".join(parts), np.uint8))
-    first = np.cumsum(sizes) - sizes
-    anchor, right = first + before, np.minimum(sizes - before, length)
-    order = suffix_order(text, group, anchor, right)
-    x, y = order[:-1], order[1:]
-    most = np.where(group[x] == group[y], np.minimum(right[x], right[y]), 0)
-    ext = text.common(anchor[x], anchor[y], most)
-    wrong: set[int] = set()
-    # Verify the extensions, and the order of neighbours, on the bytes.
-    for k in range(0, len(ext), 1024):
-        a, b, e, m = anchor[x[k : k + 1024]], anchor[y[k : k + 1024]], ext[k : k + 1024], most[k : k + 1024]
-        step = np.arange(int(e.max(initial=0)) + 1)
-        inside = step[None, :] < e[:, None]
-        last = len(text.data) - 1
-        p, q = text.data[np.minimum(a[:, None] + step, last)], text.data[np.minimum(b[:, None] + step, last)]
-        bad = ((p != q) & inside).any(axis=1)
-        rows = np.arange(len(e))
-        bad |= (e < m) & (p[rows, e] >= q[rows, e])
-        wrong |= set(group[x[k : k + 1024]][bad].tolist())
-    reach = np.zeros(len(parts), np.int64)
-    np.maximum.at(reach, x, ext)
-    np.maximum.at(reach, y, ext)
-    # A string that begins o before the anchor needs a neighbour that agrees for length - o bytes from it.
-    begin = np.maximum(np.maximum(length - reach, lo), length - right)
-    end = np.minimum(before, hi)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    anchor, right = np.cumsum(sizes) - sizes + before, np.minimum(sizes - before, length)
+    order, ext, wrong = sorted_extensions(data, group, anchor, right)
+    begin = np.maximum(np.maximum(length - _reach(order, ext), lo), length - right)
+    # Who shares too little to the right takes no part in anything.
+    live = np.flatnonzero(begin <= np.minimum(before, hi))
     out: list[tuple[int, int, int]] = []
-    slices = 1 + int(np.maximum(end - begin + 1, 0).sum()) // STRINGS_AT_ONCE
-    step = -(-(length + 1) // slices)
-    for o0 in range(0, length + 1, step):
-        found, bad = _lookup(text, group, anchor, at, alone, np.maximum(begin, o0), np.minimum(end, o0 + step - 1), length)
-        out += found
-        wrong |= bad
+    if len(live):
+        ahead, ahead_ext, misled = sorted_extensions(data[::-1], group[live], len(data) - anchor[live], np.minimum(before, hi)[live])
+        wrong |= misled
+        end = _reach(ahead, ahead_ext)
+        first = begin[live]
+        open_ = first <= end
+        marks = np.bincount(first[open_], minlength=length + 2) - np.bincount(end[open_] + 1, minlength=length + 2)
+        hit = np.zeros((len(live), length + 2), bool)
+        run_r, run_l = np.empty(len(order), np.int64), np.empty(len(live), np.int64)
+        for o in np.flatnonzero(np.cumsum(marks) > 1).tolist():
+            run_r[order] = np.cumsum(ext < length - o)
+            run_l[ahead] = np.cumsum(ahead_ext < o)
+            own = np.flatnonzero((first <= o) & (o <= end))
+            key = run_r[live[own]] * (len(live) + 1) + run_l[own]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            hit[own[by[1:][same]], o + 1] = True
+            hit[own[by[:-1][same]], o + 1] = True
+        hit &= alone[live][:, None]
+        member, edge = np.nonzero(hit[:, 1:] != hit[:, :-1])
+        m = live[member[::2]]
+        out = list(zip(m.tolist(), (at[m] - edge[1::2] + 1).tolist(), (at[m] - edge[::2] + length).tolist()))
     out = [r for r in out if group[r[0]] not in wrong]
     for g in wrong:
         own = np.flatnonzero(group == g).tolist()
@@ -370,7 +365,7 @@ def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 node = digest(r["bytes"][a:b], digest(b"%d %d %d" % (r["node"], lo, hi)))
                 left = max(0, r["before"] - hi)
                 part = r["bytes"][left : r["before"] + length - lo]
-                values = (signed(node), signed(digest(part, r["before"] - left)), r["k1"], r["k2"], r["at"], r["before"] - left, part, lo, hi)
+                values = (signed(node), _around(part, r["before"] - left), r["k1"], r["k2"], r["at"], r["before"] - left, part, lo, hi)
                 for column, value in zip(out, values):
                     column.append(value)
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.int32(), pa.int32()]
@@ -382,7 +377,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
     Ranges may overlap or repeat; together they cover exactly those bytes.
     """
-    spark = keyed.sparkSession
+    spark = small_batches(keyed.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = keyed.where(F.octet_length("text") >= length)
     anchors = materialise(long.mapInArrow(lambda b: _anchors(b, length, gram), "gram long, k1 long, k2 long, at long"), "anchors")
@@ -394,10 +389,20 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     rows = members.withColumnRenamed("gram", "node").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     spans = []
     while True:
-        one = F.first(F.struct("k1", "k2", "at", "before", "bytes", "lo", "hi")).alias("one")
-        classes = materialise(rows.groupBy("node", "around").agg(F.count("*").alias("n"), one).select("node", "around", "n", "one.*"), "classes")
-        # Equal surroundings: every string in them repeats.
-        equal = rows.select("node", "around", "k1", "k2", "at", "before", "lo", "hi", F.octet_length("bytes").alias("size")).join(classes.where("n > 1").select("node", "around"), ["node", "around"])
+        fields = ["before", "bytes", "k1", "k2", "at", "lo", "hi"]
+        ends = [F.min(F.struct(*fields)).alias("one"), F.max(F.struct("before", "bytes")).alias("last")]
+        sure = ((F.col("one.before") == F.col("last.before")) & (F.col("one.bytes") == F.col("last.bytes"))).alias("sure")
+        classes = materialise(rows.groupBy("node", "around").agg(F.count("*").alias("n"), *ends).select("node", "around", "n", "one.*", sure), "classes")
+        # Equal surroundings, by hash and then by bytes: every string in them repeats.
+        named = rows.select("node", "around", "k1", "k2", "at", "before", "lo", "hi", F.octet_length("bytes").alias("size"))
+        equal = named.join(classes.where("n > 1 and sure").select("node", "around"), ["node", "around"])
+        odd = classes.where("not sure")
+        if not odd.isEmpty():
+            mixed = materialise(rows.join(odd.select("node", "around"), ["node", "around"]), "mixed")
+            keys = ["node", "around", "before", "bytes"]
+            split = materialise(mixed.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")).select(*keys, "n", "one.*", F.lit(True).alias("sure")), "split")
+            classes = classes.where("sure").unionByName(split)
+            equal = equal.unionByName(mixed.join(split.where("n > 1").select(*keys), keys).select("node", "around", "k1", "k2", "at", "before", "lo", "hi", F.octet_length("bytes").alias("size")))
         left, right = F.least("before", "hi"), F.least(F.col("size") - F.col("before"), F.lit(length) - F.col("lo"))
         spans.append(equal.where(left + right >= length).select("k1", "k2", (F.col("at") - left).alias("from"), (F.col("at") + right).alias("to")))
         nodes = classes.groupBy("node").agg(F.count("*").alias("classes"))
@@ -418,55 +423,77 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _whole(text: memoryview, a: int, b: int) -> tuple[int, int]:
+    """The range widened to whole UTF-8 characters."""
+    while a > 0 and a < len(text) and text[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(text) and text[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], whole: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
     for batch in batches:
         raw, offsets = byte_spans(batch.column(1))
-        kept, removed, runs = [], [], []
-        for i, spans in enumerate(batch.column(2).to_pylist()):
-            text = raw[offsets[i] : offsets[i + 1]]
-            merged: list[list[int]] = []
-            for s in sorted((s["from"], s["to"]) for s in spans or ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append([*s])
-            edges = [0, *(x for m in merged for x in m), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            removed.append(len(text) - len(kept[-1]))
-            runs.append([{"from": a, "to": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((kept, removed, runs), kinds))], names=names)
-
-
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+        places = batch.column(2)
+        row = 0
+        while row < batch.num_rows:
+            begin, kept, removed, runs, held = row, [], [], [], 0
+            while row < batch.num_rows and held < OUTPUT_BYTES:
+                text = raw[offsets[row] : offsets[row + 1]]
+                merged: list[list[int]] = []
+                for s in sorted((s["from"], s["to"]) for s in places[row].as_py() or ()):
+                    if merged and s[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], s[1])
+                    else:
+                        merged.append([*s])
+                runs.append([{"from": a, "to": b} for a, b in merged])
+                removed.append(sum(b - a for a, b in merged))
+                edges, at = [0], 0
+                for a, b in merged:
+                    a, b = _whole(text, a, b) if whole else (a, b)
+                    edges += [max(a, at), b]
+                    at = b
+                edges.append(len(text))
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                held += len(kept[-1])
+                row += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, row - begin), *(pa.array(c, t) for c, t in zip((kept, removed, runs), kinds))], names=names)
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, whole_characters: bool = False) -> DataFrame:
     """``row`` (a struct of the columns of ``docs`` but ``text_col``), ``kept`` (bytes left), ``n_removed``, ``spans`` (maximal removed runs).
 
     Each byte covered by a string of ``length`` bytes that also starts elsewhere, in any text, is
-    removed; null texts are empty. One row per row of ``docs``: repeated rows are texts of their own and so
-    repeat each other; texts under ``length`` bytes keep everything; an empty table gives an empty result.
+    removed (with ``whole_characters``, from ``kept`` also the rest of a character cut in two); null texts are empty. One row
+    per row of ``docs``: repeated rows are texts of their own and so repeat each other; texts under ``length`` bytes keep
+    everything; an empty table gives an empty result; columns may have any name and type.
     """
     others = [c for c in docs.columns if c != text_col]
-    row = F.struct(*others)
-    text = utf8(text_col)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    # Maps and variants have no hash of their own: their text stands for them.
+    named = [F.col(f"`{c}`").cast("string") if re.search(r"\bmap<|\bvariant\b", kinds[c]) else F.col(f"`{c}`") for c in others]
+    text = utf8(F.col(f"`{text_col}`"))
     # Two hashes of row and text name a text; rows equal in all columns share a name and are cut alike.
-    base = docs.select(row.alias("row"), F.xxhash64(F.lit(1), row, text).alias("k1"), F.xxhash64(F.lit(2), row, text).alias("k2"), text.alias("text"))
+    base = docs.select(row.alias("row"), F.xxhash64(F.lit(1), *named, text).alias("k1"), F.xxhash64(F.lit(2), *named, text).alias("k2"), text.alias("text"))
     spans = repeated_spans(base.select("k1", "k2", "text"), length, gram, group_rows)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     joined = base.join(by_text, ["k1", "k2"], "left").select("row", "text", "spans")
-    kind = base.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(lambda b: _cut(b, ["row", "kept", "n_removed", "spans"]), f"row {kind}, kept binary, n_removed long, spans array<struct<from: bigint, to: bigint>>")
+    schema = base.select("row").schema.add("kept", "binary").add("n_removed", "long").add("spans", by_text.schema["spans"].dataType)
+    return joined.mapInArrow(lambda b: _cut(b, schema.names, whole_characters), schema)
 
 
 def drop_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut from the texts and ``length_col``, if there, set anew.
 
-    A character cut in two goes whole; a document of which no word is left goes, unless nothing was cut from it.
+    A character cut in two goes whole; a document of which no word is left goes, unless nothing was cut from it. A
+    null text stays as an empty one; other cases are those of :func:`remove_repeats`.
     """
     columns = docs.columns
-    out = remove_repeats(docs, text_col, length)
-    clean = F.make_valid_utf8(F.col("kept").cast("string"))
-    cut = out.withColumn("__text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.replace(clean, F.lit("�"), F.lit(""))))
-    cut = cut.where((F.col("n_removed") == 0) | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    out = remove_repeats(docs, text_col, length, whole_characters=True)
+    cut = out.withColumn("__text", F.col("kept").cast("string")).where((F.col("n_removed") == 0) | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     picked = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == length_col else F.col(f"row.`{c}`") for c in columns]
     return cut.select(*picked)
 

@@ -63,22 +63,42 @@ def test_repeats_equal_brute_force(spark, group_rows):
     assert D.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_hash_collisions_are_caught(monkeypatch):
-    """With hashes that lie, the bytes still decide."""
+def one_group():
     rng = random.Random(1)
     base = bytes(rng.choice(b"ab") for _ in range(736))
     parts = set()
-    while len(parts) < 12:
+    while len(parts) < 40:
         copy = bytearray(base)
         copy[rng.randrange(736)] = rng.choice(b"xyz")
-        parts.add(bytes(copy))
-    parts, n = sorted(parts), 12
-    args = (np.zeros(n, int), parts, np.full(n, 336), np.arange(n) * 1000 + 336, np.ones(n, bool), np.zeros(n, int), np.full(n, 336))
-    want = {(i, x) for i, a, b in D._exact(parts, [336] * n, list(args[3]), [True] * n, 0, 336, 400) for x in range(a, b)}
-    cover = lambda out: {(i, x) for i, a, b in out for x in range(a, b)}
-    assert cover(D.solve(*args)) == want
-    monkeypatch.setattr(D, "STRINGS_AT_ONCE", 100)
+        cut = rng.choice([0, 0, rng.randrange(300)])
+        parts.add((bytes(copy[cut : 736 - rng.choice([0, rng.randrange(300)])]), 336 - cut))
+    parts, n = sorted(parts), 40
+    before = np.array([b for _, b in parts])
+    return np.zeros(n, int), [p for p, _ in parts], before, np.arange(n) * 1000 + before, np.arange(n) % 5 > 0, np.zeros(n, int), np.full(n, 336)
+
+
+def cover(spans):
+    return {(i, x) for i, a, b in spans for x in range(a, b)}
+
+
+def test_suffix_orders_decide(monkeypatch):
+    """Both orders give what the bytes give; without a right order there is no answer but the fallback's."""
+    args = one_group()
+    want = cover(D._exact(args[1], args[2].tolist(), args[3].tolist(), args[4].tolist(), 0, 336, 400))
+    assert want and cover(D.solve(*args)) == want
+    two = [np.concatenate([args[0], args[0] + 1]), args[1] * 2, *(np.concatenate([x, x]) for x in args[2:])]
+    n = len(args[1])
+    assert cover(D.solve(*two)) == want | {(i + n, x) for i, x in want}
+    monkeypatch.setattr(D, "_exact", lambda *a: [])
     assert cover(D.solve(*args)) == want
+    monkeypatch.setattr(D, "suffix_order", lambda text, group, start, size: np.random.default_rng(0).permutation(len(start)))
+    assert cover(D.solve(*args)) != want
+
+
+def test_hash_collisions_are_caught(monkeypatch):
+    """With hashes that lie, the bytes still decide."""
+    args = one_group()
+    want = cover(D.solve(*args))
     monkeypatch.setattr(D.PrefixHash, "of", lambda self, start, size: np.zeros(len(start), np.uint64))
     assert cover(D.solve(*args)) == want
 
@@ -95,12 +115,23 @@ def test_long_text_in_chunks(monkeypatch):
     assert all(((at >= i) & (at <= i + D.LENGTH - D.GRAM)).any() for i in range(0, len(data) - D.LENGTH, 97))
 
 
+def test_equal_surroundings_are_compared_by_bytes(spark, monkeypatch):
+    """With one hash for all surroundings, classes are told apart by their bytes."""
+    texts = corpus()
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(D, "_around", lambda part, before: before % 2)
+    want = Counter((i, *r) for i, r in enumerate(brute_repeats([(t or "").encode() for t in texts], D.LENGTH)))
+    assert Counter(map(tuple, D.remove_repeats(df).select("row.doc_id", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect())) == want
+
+
 def test_drop_repeats_keeps_columns_and_valid_text(spark):
     shared = "é" * 300
-    df = spark.createDataFrame([(1, "x" + shared, "l", 301), (2, shared + " own words", "l", 310), (3, shared[:250], None, 250), (4, None, None, None), (5, "short", "l", 5)], "doc_id long, text string, lang string, n_chars long")
+    rows = [(1, "x" + shared, "l", 301), (2, shared + " own \ufffd words", "l", 316), (3, shared[:250], None, 250), (4, None, None, None), (5, "short", "l", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").withColumns({"k1": F.lit(1), "m": F.create_map(F.lit("a"), F.lit(2)), "row": F.lit("r"), "a.b": F.lit(0)})
     out = {r["doc_id"]: r for r in D.drop_repeats(df).collect()}
-    assert out[5]["text"] == "short" and out[2]["text"].endswith(" own words") and 3 not in out
-    assert all(r["n_chars"] == len(r["text"]) for r in out.values()) and 4 in out
+    assert D.drop_repeats(df).columns == df.columns
+    assert out[5]["text"] == "short" and out[2]["text"] == " own \ufffd words" and 3 not in out and out[1]["text"] == "x"
+    assert all(r["n_chars"] == len(r["text"]) and r["m"] == {"a": 2} for r in out.values()) and 4 in out
 
 
 def brute_fingerprint(text, width=4):
