@@ -1,13 +1,12 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-Documents are tokenised where they are read and cut into full sequences and one remainder.
-Remainders are dealt into groups of bounded size. In each group the differencing method
-keeps a heap of partial partitions into k windows, and again and again merges the two of
+Documents are tokenised where they are read and cut into full sequences and a remainder, and a remainder of
+more than ``PIECE`` tokens into even pieces. Pieces are dealt into groups of bounded size. In each group the
+differencing method keeps a heap of partial partitions into k windows, and again and again merges the two of
 largest spread with opposing imbalances (the fullest window of one joins the emptiest of the
-other). The windows come out nearly equal. What a window holds beyond the capacity is cut off
-and moved to windows with room; while there is not room enough, k rises and the group is
-partitioned again. Token ids never travel: pieces carry checksums of their prefixes, of
-which the checksum of any part that ends at a mark follows.
+other). The windows come out nearly equal; whenever one exceeds the capacity, k rises and the group is
+partitioned again. Small pieces keep the windows so nearly equal that k seldom rises far. Token ids never
+travel: a piece carries its checksum.
 """
 
 from __future__ import annotations
@@ -25,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import materialise, small_batches, utf8
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces that one group packs; a larger input makes more groups, never larger ones.
-GROUP_PIECES = 512
-#: Remainders are cut only at multiples of so many tokens.
-GRAIN = 32
+#: Pieces that one group packs, about; a larger input makes more groups, never larger ones.
+GROUP_PIECES = 1024
+#: Most tokens of a piece that is not a full sequence.
+PIECE = 512
+#: Low bits of a sequence id that number the windows of a group.
+WINDOW_BITS = 24
 VOCABULARY = "byte_bpe_50k"
 
 
@@ -82,34 +83,43 @@ def added_encoder(path: str):
     return encode
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """``(id_col, start, length, ids_crc32, doc_tokens, marks[, ids])``: each document cut at multiples of ``capacity``.
+def cuts(tokens: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:
+    """``(start, length)`` of a document's pieces: full ones, then the remainder, cut evenly if it is longer than ``piece``."""
+    rest = tokens - tokens % capacity
+    yield from ((a, capacity) for a in range(0, rest, capacity))
+    many = -(-(tokens - rest) // piece)
+    edges = [rest + (tokens - rest) * i // many for i in range(many + 1)] if many else []
+    yield from ((a, b - a) for a, b in zip(edges, edges[1:]))
 
-    A document is its text's ids and the end id; a null or empty text is the end id alone. ``marks`` are
-    the checksums of a remainder's prefixes at multiples of ``GRAIN``.
+
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, piece: int = PIECE) -> DataFrame:
+    """``(id_col, start, length, ids_crc32, doc_tokens[, ids])``: each document cut by :func:`cuts`.
+
+    A document is its text's ids and the end id; a null or empty text is the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = added_encoder(path)
         for batch in batches:
-            row, start, length, crc, total, marks, kept = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.array(encode(text.as_py()) + [END_ID], "<u4")
-                for a in range(0, len(ids), capacity):
-                    part = ids[a : a + capacity]
-                    row.append(i)
-                    start.append(a)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    marks.append(prefix_marks(part.tobytes()) if len(part) < capacity else [])
-                    total.append(len(ids))
-                    if with_ids:
-                        kept.append(part.astype(np.int32))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
-
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "marks"] + ["ids"] * with_ids
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, marks array<long>" + ", ids array<int>" * with_ids
+            for k in range(0, batch.num_rows, 1000):
+                row, start, length, crc, total, kept = [], [], [], [], [], []
+                for i, text in enumerate(batch.column(1).slice(k, 1000)):
+                    ids = np.array(encode(text.as_py()) + [END_ID], "<u4")
+                    for a, n in cuts(len(ids), capacity, piece):
+                        part = ids[a : a + n]
+                        row.append(k + i)
+                        start.append(a)
+                        length.append(n)
+                        crc.append(zlib.crc32(part.tobytes()))
+                        total.append(len(ids))
+                        if with_ids:
+                            kept.append(part.astype(np.int32))
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names=names)
+
+    small_batches(docs.sparkSession)
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -161,108 +171,49 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
-def prefix_marks(data: bytes) -> list[int]:
-    """Checksums of the first 0, 1, 2, ... times ``GRAIN`` ids."""
-    out, step = [0], 4 * GRAIN
-    for a in range(0, len(data) - len(data) % step, step):
-        out.append(zlib.crc32(data[a : a + step], out[-1]))
-    return out
-
-
-def part_crc(begin_crc: int, end_crc: int, tokens: int) -> int:
-    """Checksum of the ``tokens`` ids between two prefixes of these checksums (CRCs are linear)."""
-    zeros = bytes(4 * tokens)
-    return zlib.crc32(zeros, begin_crc) ^ zlib.crc32(zeros) ^ end_crc
-
-
-Part = tuple[int, int, int, int]  # window, item, begin, end
-
-
-def fit(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, grain: int = GRAIN) -> list[Part] | None:
-    """The items in their windows, what exceeds ``capacity`` cut off and moved to windows with room; None if there is too little."""
-    held: list[list[Part]] = [[] for _ in range(k)]
-    for i, w in enumerate(window.tolist()):
-        held[w].append((w, i, 0, int(sizes[i])))
-    loose: list[tuple[int, int, int]] = []
-    room = []
-    for w, parts in enumerate(held):
-        parts.sort(key=lambda x: x[3])
-        excess = sum(x[3] for x in parts) - capacity
-        while excess > 0:
-            _, i, _, size = parts.pop()
-            keep = max(0, size - excess) // grain * grain
-            loose.append((i, keep, size))
-            excess -= size - keep
-            if keep:
-                parts.append((w, i, 0, keep))
-        room.append((-excess, w))
-    # Large pieces first, so that many go whole.
-    loose.sort(key=lambda x: x[1] - x[2])
-    for free, w in sorted(room, reverse=True):
-        while loose and free >= min(grain, loose[0][2] - loose[0][1]):
-            i, a, b = loose.pop(0)
-            end = b if b - a <= free else a + free // grain * grain
-            held[w].append((w, i, a, end))
-            free -= end - a
-            if end < b:
-                loose.insert(0, (i, end, b))
-    return None if loose else [x for parts in held for x in parts]
-
-
-def pack(sizes: np.ndarray, capacity: int, grain: int = GRAIN) -> list[Part]:
-    """Parts of all items in windows none fuller than ``capacity``; items are at most that large."""
+def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The window of each item, none fuller than ``capacity``; items are at most that large, so k ends at one window an item."""
     k = max(1, math.ceil(int(sizes.sum()) / capacity))
-    while (parts := fit(sizes, difference(sizes, k), k, capacity, grain)) is None:
+    while np.bincount(window := difference(sizes, k), sizes, k).max(initial=0) > capacity:
         k += 1
-    return parts
+    return window
 
 
 def _pack_group(capacity: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         length = table["length"].to_numpy()
         order = np.lexsort([table["ids_crc32"].to_numpy(), table["start"].to_numpy(), -length])
-        table, length = table.take(pa.array(order)), length[order]
-        parts = sorted(pack(length, capacity))
-        marks, crcs = table["marks"].to_pylist(), table["ids_crc32"].to_pylist()
-        window, item, begin, end = (np.array(x, np.int64) for x in zip(*parts))
-        ends = np.cumsum(end - begin)
+        window = pack(length[order], capacity)
+        by = np.argsort(window, kind="stable")
+        table, window = table.take(pa.array(order[by])), window[by]
+        length = table["length"].to_numpy()
+        offset = np.cumsum(length) - length
         first = np.concatenate([[True], np.diff(window) > 0])
-        offset = ends - (end - begin)
         offset -= np.maximum.accumulate(np.where(first, offset, 0))
-        crc = []
-        for i, a, b in zip(item.tolist(), begin.tolist(), end.tolist()):
-            at_end = crcs[i] if b == length[i] else marks[i][b // GRAIN]
-            crc.append(at_end if a == 0 else part_crc(marks[i][a // GRAIN], at_end, b - a))
-        out = table.take(pa.array(item))
-        values = {"start": out["start"].to_numpy() + begin, "length": end - begin, "ids_crc32": crc}
-        columns = {n: pa.array(values[n], pa.int64()) if n in values else out[n] for n in out.column_names if n not in ("group", "marks", "ids")}
-        if "ids" in out.column_names:
-            columns["ids"] = pa.array([x[a:b] for x, a, b in zip(out["ids"].to_pylist(), begin, end)], pa.list_(pa.int32()))
-        columns |= {"sequence_id": pa.array((key[0].as_py() << 32) | window, pa.int64()), "offset": pa.array(offset, pa.int64())}
+        columns = {n: table[n] for n in table.column_names if n != "group"}
+        columns |= {"sequence_id": pa.array((key[0].as_py() << WINDOW_BITS) | window, pa.int64()), "offset": pa.array(offset, pa.int64())}
         return pa.table(columns)
 
     return run
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
-    """One row per piece: ``pieces`` and its ``sequence_id`` and ``offset`` there.
+    """One row per piece: :func:`pieces` and its ``sequence_id`` and ``offset`` there.
 
-    Full pieces are sequences of their own; the rest are packed in groups of about ``group_pieces``,
-    dealt evenly whatever their ids. Rows without an id and repeated rows are packed like others; an
-    empty table gives an empty result; other columns are ignored.
+    Full pieces are sequences of their own; the rest are packed in groups of about ``group_pieces`` (a few thousand at
+    most), dealt evenly whatever their ids. Rows without an id and repeated rows are packed like others, a null or empty text is
+    its end id; ties between pieces of equal length go by place and checksum; an empty table gives an empty
+    result; other columns are ignored, whatever their names. A group's number has 38 bits, so there is room for more than 10^14 pieces.
     """
     cut = materialise(pieces(docs, path or vocabulary_path(), id_col, text_col, capacity, with_ids), "pieces")
     rows = cut.withColumn("row", F.monotonically_increasing_id())
     full, rest = rows.where(F.col("length") == capacity), rows.where(F.col("length") < capacity)
     groups = max(1, math.ceil(cut.where(F.col("length") < capacity).count() / group_pieces))
-    if groups >= 1 << 30:
-        raise ValueError("too many groups for a sequence id")
     dealt = rest.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
-    own = [c for c in cut.columns if c != "marks"]
-    fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in own) + ", sequence_id long, offset long"
+    fields = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in cut.columns) + ", sequence_id long, offset long"
     packed = dealt.groupBy("group").applyInArrow(_pack_group(capacity), fields)
     # Row numbers of full pieces and group numbers cannot meet: the former have bit 62 set.
-    alone = full.select(*own, F.col("row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = full.select(*cut.columns, F.col("row").bitwiseOR(F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
 

@@ -27,6 +27,16 @@ def reference():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def json_ids():
+    """The ids that packing promises: the JSON tokenizer as it is, added tokens included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_json_tokenizer(spark, reference):
     encode = P.encoder(P.vocabulary_path())
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -56,17 +66,18 @@ def check_packing(rows, want_ids, capacity):
     return len(by_sequence)
 
 
-def test_packing_every_id_once(spark, reference):
+def test_packing_every_id_once(spark, json_ids):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = {r["doc_id"]: reference(r["text"] or "") + [1] for r in docs.collect()}
+    want = {r["doc_id"]: json_ids(r["text"] or "") + [1] for r in docs.collect()}
     n = check_packing(P.op4_packing(spark, SF).collect(), want, 2048)
     assert sum(map(len, want.values())) > 0.97 * 2048 * n
 
 
-def test_packing_cases(spark, reference):
-    rows = [(1, None), (2, ""), (3, "x " * 5000), (4, "a  b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash"))
-    check_packing(P.pack_documents(df, capacity=64, group_pieces=2).collect(), {i: reference(t or "") + [1] for i, t in rows}, 64)
+def test_packing_cases(spark, json_ids):
+    rows = [(1, None), (2, ""), (3, "x " * 5000), (4, "a  b"), (5, "x <|endoftext|> y"), (6, "long " * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"start": F.lit("clash"), "group": F.lit(1), "row": F.lit(2), "ids": F.lit(3)})
+    check_packing(P.pack_documents(df, capacity=64, group_pieces=2).collect(), {i: json_ids(t or "") + [1] for i, t in rows}, 64)
+    check_packing(P.pack_documents(df).collect(), {i: json_ids(t or "") + [1] for i, t in rows}, 2048)
     twice = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
     rows = P.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), with_ids=True).collect()
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
@@ -83,22 +94,45 @@ def test_differencing():
     assert sorted(np.bincount(P.difference(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
     sums = np.bincount(P.difference(np.full(60, 7), 6), np.full(60, 7))
     assert set(sums) == {70}
-    sizes = rng.integers(1, 2048, 300)
-    parts = P.pack(sizes, 2048)
-    fill = Counter()
-    for w, _, a, b in parts:
-        fill[w] += b - a
-    assert max(fill.values()) <= 2048 and sum(fill.values()) == sizes.sum()
-    for i, size in enumerate(sizes):
-        cuts = sorted((a, b) for _, j, a, b in parts if j == i)
-        assert cuts[0][0] == 0 and cuts[-1][1] == size and all(x[1] == y[0] for x, y in zip(cuts, cuts[1:]))
-
-
-def test_part_checksums():
-    data = np.random.default_rng(0).integers(0, 50_000, 300).astype("<u4")
-    marks = P.prefix_marks(data.tobytes())
-    for a, b in ((0, 3), (2, 5), (1, 9)):
-        assert P.part_crc(marks[a], marks[b], (b - a) * P.GRAIN) == zlib.crc32(data[a * P.GRAIN : b * P.GRAIN].tobytes())
+
+
+def plain_difference(sizes, k):
+    """The method as it is described: lists of k windows, merged by opposing order."""
+    heap = [(-s, i, [(0, [])] * (k - 1) + [(s, [i])]) for i, s in enumerate(sizes)]
+    ticket = len(heap)
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a), (_, _, b) = heap.pop(0), heap.pop(0)
+        both = sorted((x + y, i + j) for (x, i), (y, j) in zip(sorted(a), sorted(b, reverse=True)))
+        heap.append((both[0][0] - both[-1][0], ticket, both))
+        ticket += 1
+    return sorted(s for s, _ in heap[0][2])
+
+
+def test_differencing_decides_the_windows():
+    rng = np.random.default_rng(3)
+    for n, k in ((6, 2), (9, 3), (30, 4), (24, 7)):
+        sizes = np.sort(rng.choice(100_000, n, replace=False))[::-1]
+        assert sorted(np.bincount(P.difference(sizes, k), sizes, k).astype(int)) == plain_difference(sizes.tolist(), k)
+
+
+def test_windows_rise_until_none_is_too_full():
+    rng = np.random.default_rng(4)
+    for sizes in (rng.integers(1, 2048, 300), rng.integers(1, 513, 1000), np.full(10, 2047), np.full(10, 1025), np.array([1])):
+        sizes = np.sort(sizes)[::-1]
+        window = P.pack(sizes, 2048)
+        k = window.max() + 1
+        assert np.bincount(window, sizes).max() <= 2048
+        least = -(-int(sizes.sum()) // 2048)
+        assert all(np.bincount(P.difference(sizes, j), sizes, j).max() > 2048 for j in range(least, k))
+    assert k == 1
+
+
+def test_cuts():
+    for tokens in (1, 512, 513, 2047, 2048, 2049, 5000):
+        got = list(P.cuts(tokens, 2048, 512))
+        assert [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))] and sum(n for _, n in got) == tokens
+        assert all(n == 2048 or 1 <= n <= 512 for _, n in got)
 
 
 def test_archives_equal_sql(spark):
