@@ -1,24 +1,47 @@
-"""Hashed character n-grams of whole UTF-8 texts, and a small logistic fit, in numpy."""
+"""Hashed n-grams of whole texts, by chunks, and a small logistic fit, in numpy."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def ngram_ids(data: bytes, n: int, bits: int) -> np.ndarray:
-    """Hash, below ``2**bits``, of every ``n`` bytes (1 to 8) in a row."""
-    count = len(data) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    raw = np.frombuffer(data, np.uint8)
-    packed = np.full(count, n, np.uint64)
-    for j in range(n):
-        packed += raw[j : j + count].astype(np.uint64) << np.uint64(8 * j)
-    packed ^= packed >> np.uint64(29)
-    return ((packed * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+_STEP, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+#: n-grams of one size that are hashed at once; longer texts are taken in overlapping chunks.
+CHUNK = 1 << 17
+
+
+def code_points(text: str) -> np.ndarray:
+    """The text's characters in lower case, as numbers."""
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def ngram_ids(points: np.ndarray, sizes: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+    """Hashes, below ``2**bits``, of every run of n numbers for each n of the rising ``sizes``, in chunks; each run counts once."""
+    most = max(sizes)
+    for a in range(0, max(1, len(points)), CHUNK):
+        part = points[a : a + CHUNK + most - 1].astype(np.uint64)
+        found, h = [], np.zeros(len(part) + 1, np.uint64)
+        for n in range(1, most + 1):
+            if len(part) < n:
+                break
+            # A run's hash follows from that of the run one shorter.
+            h = h[: len(part) - n + 1] * _STEP + part[n - 1 :]
+            if n in sizes:
+                x = h[:CHUNK] + np.uint64(n)
+                x = x * _ODD
+                x ^= x >> np.uint64(29)
+                found.append(((x * _ODD) >> np.uint64(64 - bits)).astype(np.int64))
+        yield np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def ngram_counts(points: np.ndarray, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a text and how often each occurs."""
+    parts = [np.unique(x, return_counts=True) for x in ngram_ids(points, sizes, bits)]
+    if len(parts) == 1:
+        return parts[0]
+    ids, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return ids, np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def logistic(rows: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, weight: np.ndarray, width: int, l2: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, held_out_fold, utf8
-from .ngrams import LOWER, logistic, ngram_ids, sigmoid
+from .common import held_out_fold, utf8
+from .ngrams import code_points, logistic, ngram_ids, sigmoid
 
 BITS = 20
 SIZES = (4, 5, 6, 7)
@@ -29,11 +29,10 @@ L2 = 1e-4
 FOLDS = 5
 
 
-def _present(text: bytes, sizes: tuple[int, ...], bits: int, among: np.ndarray | None = None) -> np.ndarray:
-    """Distinct hashed n-grams of a text (of those that ``among`` marks), A-Z lower-cased, a space at either end."""
-    text = b" " + text.translate(LOWER) + b" "
-    found = [ngram_ids(text, n, bits) for n in sizes]
-    return np.unique(np.concatenate(found if among is None else [x[among[x]] for x in found]))
+def _present(text: str, sizes: tuple[int, ...], bits: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashed n-grams of a text's characters (of those that ``among`` marks), in lower case, a space at either end."""
+    found = [np.unique(x if among is None else x[among[x]]) for x in ngram_ids(code_points(f" {text} "), sizes, bits)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 @dataclass(frozen=True)
@@ -44,26 +43,33 @@ class Model:
     sizes: tuple[int, ...]
     bits: int
 
-    def score(self, text: bytes) -> float:
+    def score(self, text: str) -> float:
         return float(sigmoid(self.bias + self.weight[_present(text, self.sizes, self.bits, self.used)].sum()))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bits: int) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, 1 << bits), np.int32)
     for batch in batches:
-        data, at = byte_spans(batch.column(1))
-        for y, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
-            seen[y][_present(bytes(data[a:b]), sizes, bits)] += 1
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seen[y][_present(text.as_py(), sizes, bits)] += 1
     used = np.flatnonzero(seen.any(axis=0))
     for k in range(0, len(used), 1 << 16):
         part = used[k : k + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0][part], pa.int64()), pa.array(seen[1][part], pa.int64())], names=["feature", "n0", "n1"])
 
 
+def log_count_ratio(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float) -> np.ndarray:
+    """Log of the ratio of the smoothed odds that a text of class 1 and of class 0 has an n-gram."""
+    p, q = (n1 + SMOOTHING) / (total1 + 2 * SMOOTHING), (n0 + SMOOTHING) / (total0 + 2 * SMOOTHING)
+    return np.log(p / (1 + p)) - np.log(q / (1 + q))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS, sizes: tuple[int, ...] = SIZES, bits: int = BITS, max_features: int = MAX_FEATURES, l2: float = L2) -> Model:
     """Fit on the texts of labelled rows (0 or 1; other, null and conflicting labels of an id are left out).
 
-    At most about ``max_train_rows`` ids a class are read, weighted back to the classes' shares. One class or none gives a constant model.
+    At most about ``max_train_rows`` ids a class are read, weighted back to the classes' shares. One class or none gives a
+    constant model, and so does an empty table. A null text is an empty one; a repeated id's rows all count; long texts
+    are hashed by chunks; features of equal support go by their hash; other columns of either table are ignored, whatever their names.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("__hi"))
     known = known.where("y = __hi").select("__id", F.col("y").cast("int").alias("y"))
@@ -74,12 +80,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 30))
     known = known.where(draw < F.when(F.col("y") == 1, int(rates[1] * (1 << 30))).otherwise(int(rates[0] * (1 << 30))))
     # The drawn ids are bounded by max_train_rows, so they may be broadcast and the texts stay where they are.
-    rows = docs.join(F.broadcast(known), docs[id_col] == known["__id"]).select("y", utf8(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("__key"), utf8(text_col).alias("text")).join(F.broadcast(known), F.col("__key") == F.col("__id")).select("y", "text")
     got = rows.mapInArrow(lambda b: _counts(b, sizes, bits), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     at, n0, n1 = (got[c].to_numpy() for c in ("feature", "n0", "n1"))
-    total = {y: rates[y] * shares[y] for y in shares}
-    p, q = (n1 + SMOOTHING) / (total[1] + 2 * SMOOTHING), (n0 + SMOOTHING) / (total[0] + 2 * SMOOTHING)
-    ratio = np.log(p / (1 + p)) - np.log(q / (1 + q))
+    ratio = log_count_ratio(n0, n1, rates[0] * shares[0], rates[1] * shares[1])
     support = np.abs(ratio) / np.sqrt(1 / (n1 + SMOOTHING) + 1 / (n0 + SMOOTHING))
     order = np.lexsort([at, -support])[:max_features]
     order = order[support[order] > 2]
@@ -90,10 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = byte_spans(batch.column(1))
-            found = []
-            for a, b in zip(offsets, offsets[1:]):
-                found.append(place[_present(bytes(data[a:b]), sizes, bits, kept)])
+            found = [place[_present(text.as_py(), sizes, bits, kept)] for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "features"])
 
     sample = rows.mapInArrow(active, "y int, features array<int>").toArrow()
@@ -107,13 +108,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)``, one row per row of ``docs``; null and empty texts get a score too. The model's size is fixed by its bits."""
+    """``(id_col, score)``, one row per row of ``docs``; repeated rows score alike, null and empty texts get a score too.
+
+    An empty table gives an empty result; other columns are ignored, whatever their names. The model's size is fixed by its bits.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = byte_spans(batch.column(1))
-            scores = [held.value.score(bytes(data[a:b])) for a, b in zip(at, at[1:])]
+            scores = [held.value.score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     return docs.select(F.col(id_col), utf8(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_spans, materialise, utf8
-from .ngrams import logistic, ngram_ids, sigmoid
+from .ngrams import logistic, ngram_counts, sigmoid
 from .quality_rules import features, text_stats
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -28,8 +28,10 @@ BITS = 14
 TRAIN_ROWS = 6_000
 L2 = 1e-5
 ROUNDS, TOLERANCE = 200, 1e-9
-#: Largest share of good documents that a labeller is taken to call bad.
-FALSE_BAD = 0.003
+#: Share of documents without its fault that a labeller is believed to call bad, and the share of all documents that this belief weighs.
+FALSE_BAD, BELIEF = 0.005, 0.05
+#: What each labeller looks for: 0 repetition, 1 noise and fragments, 2 shouting.
+FAMILIES = {"length": 1, "repeats": 0, "variety": 0, "symbols": 1, "shouting": 2, "marks": 2, "lines": 0, "stops": 1, "word_size": 1}
 
 
 def labellers() -> dict[str, Column]:
@@ -54,19 +56,25 @@ def labellers() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Class 0 is good; class 1 + k is the fault that labeller k looks for.
+    """Class 0 is good; class 1 + f is the fault of family f, which labeller k looks for if ``family[k]`` is f.
 
-    ``table[k, c, v]`` is the probability that labeller k casts vote v on a document of class c. One
-    class for all bad documents would not do: a fault that one labeller sees and the others
-    rightly call good would pass for that labeller's error.
+    ``seen[k, v]`` is the probability that labeller k casts vote v on a document that has its fault, ``unseen[k, v]`` on any
+    other. Labellers of one family overlap: where they disagree, their estimated accuracies decide. One
+    class for all bad documents would not do, as a fault that one family sees the others rightly call good.
     """
 
     prior: np.ndarray
-    table: np.ndarray
+    seen: np.ndarray
+    unseen: np.ndarray
+    family: np.ndarray
 
     def classes(self, votes: np.ndarray) -> np.ndarray:
         """Probability of each class for rows of votes."""
-        z = np.log(self.prior)[None, :] + sum(np.log(self.table[k][:, votes[:, k]]).T for k in range(votes.shape[1]))
+        z = np.tile(np.log(self.prior), (len(votes), 1))
+        for k, f in enumerate(self.family):
+            other = np.log(self.unseen[k])[votes[:, k]]
+            z += other[:, None]
+            z[:, 1 + f] += np.log(self.seen[k])[votes[:, k]] - other
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -75,38 +83,38 @@ class LabelModel:
         return self.classes(votes)[:, 0]
 
     def accuracies(self) -> np.ndarray:
-        """Of each labeller's votes that are not abstentions, the expected share that is right."""
-        cast = self.prior[None, :, None] * self.table[:, :, :2]
-        right = cast[:, 0, GOOD] + cast[:, 1:, BAD].sum(axis=1)
-        return right / np.maximum(cast.sum(axis=(1, 2)), 1e-12)
+        """Of each labeller's votes that are not abstentions, the expected share that is right about its fault."""
+        there = self.prior[1:][self.family]
+        right = there * self.seen[:, BAD] + (1 - there) * self.unseen[:, GOOD]
+        cast = there * (1 - self.seen[:, NONE]) + (1 - there) * (1 - self.unseen[:, NONE])
+        return right / np.maximum(cast, 1e-12)
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation over vote patterns and how often each occurs.
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, family: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over vote patterns, how often each occurs, and each labeller's family.
 
-    It starts with patterns without a bad vote as mostly good and others as mostly a fault of those
-    who cast one; every probability is smoothed by one pseudo-count, so none is 0. A labeller is held to call
-    good documents bad no more than ``FALSE_BAD`` of the time: without it, a fault that one
-    labeller alone sees would be taken for its error, and good would swallow that class.
+    It starts with a document's classes in proportion to the bad votes of their families. Every probability is
+    smoothed by one pseudo-count, so none is 0. Thresholds are set where good documents rarely are, so
+    before any vote is seen ``FALSE_BAD`` of them are taken to exceed one; this belief weighs as
+    much as ``BELIEF`` of the documents, and votes that say otherwise outweigh it.
     """
-    counts = counts.astype(float)
-    m = votes.shape[1]
+    counts, family = counts.astype(float), np.asarray(family)
+    m, kinds, total = votes.shape[1], int(family.max(initial=-1)) + 1, counts.sum()
     bad = votes == BAD
-    any_bad = bad.any(axis=1, keepdims=True)
-    post = np.where(any_bad, np.hstack([np.full((len(votes), 1), 0.1), 0.9 * bad / np.maximum(bad.sum(axis=1, keepdims=True), 1)]), np.hstack([np.full((len(votes), 1), 0.95), np.full((len(votes), m), 0.05 / m)]))
-    model = LabelModel(np.full(m + 1, 1 / (m + 1)), np.full((m, m + 1, 3), 1 / 3))
+    post = np.hstack([np.full((len(votes), 1), 0.5), *(bad[:, family == f].sum(axis=1, keepdims=True) for f in range(kinds))]).astype(float)
+    post /= post.sum(axis=1, keepdims=True)
+    model = LabelModel(np.full(kinds + 1, 1 / (kinds + 1)), np.full((m, 3), 1 / 3), np.full((m, 3), 1 / 3), family)
     for _ in range(rounds):
         weight = counts[:, None] * post
-        table = np.ones((m, m + 1, 3))
+        seen, unseen = np.ones((m, 3)), np.ones((m, 3))
+        unseen[:, BAD] += BELIEF * total * FALSE_BAD
+        unseen[:, GOOD] += BELIEF * total * (1 - FALSE_BAD)
         for k in range(m):
-            for v in (BAD, GOOD, NONE):
-                table[k, :, v] += weight[votes[:, k] == v].sum(axis=0)
-        table /= table.sum(axis=2, keepdims=True)
-        over = np.maximum(table[:, 0, BAD] - FALSE_BAD, 0)
-        table[:, 0, BAD] -= over
-        table[:, 0, GOOD] += over
-        prior = (weight.sum(axis=0) + 1) / (counts.sum() + m + 1)
-        model = LabelModel(prior, table)
+            has = weight[:, 1 + family[k]]
+            seen[k] += np.bincount(votes[:, k], has, 3)
+            unseen[k] += np.bincount(votes[:, k], weight.sum(axis=1) - has, 3)
+        prior = (weight.sum(axis=0) + 1) / (total + kinds + 1)
+        model = LabelModel(prior, seen / seen.sum(axis=1, keepdims=True), unseen / unseen.sum(axis=1, keepdims=True), family)
         new = model.classes(votes)
         moved = np.abs(new - post).max(initial=0)
         post = new
@@ -118,14 +126,13 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS)
 def _vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a text: frequencies of raw byte pairs and of byte classes in fours, and bucketed size and compressibility."""
     half = 1 << (BITS - 1)
-    shape = text.translate(_CLASSES)
-    found = [ngram_ids(text, 2, BITS - 1), half + ngram_ids(shape, 4, BITS - 2)]
+    raw, shape = np.frombuffer(text, np.uint8), np.frombuffer(text.translate(_CLASSES), np.uint8)
     index, value = [], []
-    for ids in found:
-        if len(ids):
-            at, n = np.unique(ids, return_counts=True)
-            index.append(at)
-            value.append(np.sqrt(n / n.sum()))
+    for shift, points, n, bits in ((0, raw, 2, BITS - 1), (half, shape, 4, BITS - 2)):
+        at, many = ngram_counts(points, (n,), bits)
+        if len(at):
+            index.append(shift + at)
+            value.append(np.sqrt(many / many.sum()))
     squeezed = sum(len(zlib.compress(text[a : a + (1 << 20)], 1)) for a in range(0, len(text), 1 << 20)) / max(1, len(text))
     buckets = [min(int(squeezed * 32), 63), 64 + len(text).bit_length(), 128 + min(127, len(text) // 32)]
     index.append(half + (half >> 1) + np.array(buckets))
@@ -168,16 +175,18 @@ def _unpack(patterns: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[Scorer, LabelModel, DataFrame]:
-    """The scorer, the label model, and ``(text_key, votes, posterior)`` of every row's text.
+    """The scorer, the label model, and ``(text_key, pattern, posterior)`` of every row's text.
 
-    Votes cover all rows; about ``train_rows`` rows, drawn evenly among good and bad, train the scorer.
+    Votes cover all rows; about ``train_rows`` rows, drawn evenly among good and bad, train the scorer. Null texts are
+    empty; repeated texts are drawn together and weigh as often as they occur; long texts are hashed by chunks; an empty table
+    gives a scorer that calls everything even; other columns are ignored, whatever their names.
     """
     keyed = docs.select(F.xxhash64(utf8(text_col)).alias("text_key"), text_col)
     votes = materialise(features(text_stats(keyed, ("text_key",), text_col)).select("text_key", vote_pattern().alias("pattern")), "votes")
     got = votes.groupBy("pattern").count().toPandas().sort_values("pattern")
     patterns, counts = got["pattern"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
     unpacked = _unpack(patterns)
-    model = fit_label_model(unpacked, counts)
+    model = fit_label_model(unpacked, counts, np.array([FAMILIES[k] for k in labellers()]))
     post = model.posterior(unpacked) if len(patterns) else np.zeros(0)
     known = docs.sparkSession.createDataFrame([(int(p), float(x)) for p, x in zip(patterns, post)], "pattern int, posterior double")
     judged = votes.join(F.broadcast(known), "pattern")
@@ -188,8 +197,8 @@ def train(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS)
     share = F.when(F.col("posterior") >= 0.5, int(rates[True] * (1 << 30))).otherwise(int(rates[False] * (1 << 30)))
     # Equal texts have one key and are drawn together: one of each is taken, weighed by how many there are.
     drawn = judged.where(draw < share).groupBy("text_key").agg(F.first("posterior").alias("posterior"), F.count("*").alias("n"))
-    rows = docs.select(F.xxhash64(utf8(text_col)).alias("text_key"), utf8(text_col).alias("text")).join(F.broadcast(drawn), "text_key")
-    sample = rows.mapInArrow(_vectors, "text_key long, posterior double, n long, index array<int>, value array<double>").dropDuplicates(["text_key"]).toArrow()
+    rows = docs.select(F.xxhash64(utf8(text_col)).alias("text_key"), utf8(text_col).alias("text")).join(F.broadcast(drawn), "text_key").dropDuplicates(["text_key"])
+    sample = rows.select("text_key", "text", "posterior", "n").mapInArrow(_vectors, "text_key long, posterior double, n long, index array<int>, value array<double>").toArrow()
     target, copies = sample["posterior"].to_numpy(), sample["n"].to_numpy().astype(float)
     lists = [np.asarray(x, np.int64) for x in sample["index"].to_pylist()]
     values = [np.asarray(x, float) for x in sample["value"].to_pylist()]
@@ -208,7 +217,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, score)``, one row per row of ``docs``; null and empty texts are scored as empty."""
+    """``(id_col, score)``, one row per row of ``docs``; null and empty texts are scored as empty, repeated rows alike.
+
+    An empty table gives an empty result; other columns are ignored, whatever their names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 """Classifiers by held-out accuracy, quality rules by exact statistics, decontamination by brute force."""
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as B
-from millrace.llm import language, toxicity, weak_labels
+from millrace.llm import language, ngrams, toxicity, weak_labels
 from millrace.llm import quality_rules as Q
 
 SF = "/root/testdata/sf0.01"
@@ -53,12 +55,84 @@ def test_language_cases(spark, edge):
     assert language.predict(edge.limit(0), None).count() == 0
 
 
-def test_language_counts_every_ngram_once(monkeypatch):
-    model = language.Model(["a"], np.zeros(1), np.random.default_rng(0).random((1 << language.BITS, 1)).astype(np.float32))
-    text = bytes(range(97, 123)) * 40
-    whole = model.totals(text)
-    monkeypatch.setattr(language, "CHUNK", 100)
-    assert np.allclose(model.totals(text), whole)
+def brute_id(gram, bits):
+    """The hash of one n-gram, step by step."""
+    h, mask = 0, (1 << 64) - 1
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) & mask
+    x = ((h + len(gram)) * 0x9E3779B97F4A7C15) & mask
+    x ^= x >> 29
+    return (x * 0x9E3779B97F4A7C15 & mask) >> (64 - bits)
+
+
+def brute_grams(text, sizes):
+    text = text.lower()
+    return [text[i : i + n] for n in sizes for i in range(len(text) - n + 1)]
+
+
+def test_ngrams_are_characters_and_count_once(monkeypatch):
+    texts = ["", "a", "Straße Ünï", "日本語のテキスト", "ab" * 60, "e\u0301 😀 Xy"]
+    for chunk in (1 << 17, 7):
+        monkeypatch.setattr(ngrams, "CHUNK", chunk)
+        for t in texts:
+            got = Counter(np.concatenate(list(ngrams.ngram_ids(ngrams.code_points(t), (1, 2, 4), 12))).tolist())
+            assert got == Counter(brute_id(g, 12) for g in brute_grams(t, (1, 2, 4)))
+            assert dict(zip(*(x.tolist() for x in ngrams.ngram_counts(ngrams.code_points(t), (1, 2, 4), 12)))) == got
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    rows = [(1, "der Hund und die Katze", "de"), (2, "the dog and the cat", "en"), (3, "le chien et le chat", "fr"), (4, "der Tag", "de"), (5, "日本語のテキスト", "ja"), (6, None, "en"), (7, "", "fr")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names = sorted({r[2] for r in rows})
+    prior = {x: math.log(sum(r[2] == x for r in rows) / len(rows)) for x in names}
+    count = {x: Counter(brute_id(g, language.BITS) for r in rows if r[2] == x for g in brute_grams(r[1] or "", language.SIZES)) for x in names}
+    room = {x: sum(count[x].values()) + language.SMOOTHING * (1 << language.BITS) for x in names}
+    asked = ["die Katze und der Hund", "and", "語", "le the der", "Ärger", "the cat " * 50]
+    for most in (1 << 19, 10):
+        monkeypatch.setattr(language, "SCORED_AT_ONCE", most)
+        got = model.totals(asked)
+        for t, z in zip(asked, got):
+            want = [prior[x] + sum(math.log((count[x][brute_id(g, language.BITS)] + language.SMOOTHING) / room[x]) for g in brute_grams(t, language.SIZES)) for x in names]
+            assert np.allclose(z, want)
+    out = language.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for r in out:
+        z = got[r["doc_id"]]
+        assert r["lang_pred"] == names[int(np.argmax(z))] and abs(r["score"] - 1 / np.exp(z - z.max()).sum()) < 1e-9
+
+
+def test_many_languages_take_fewer_bits(spark):
+    assert language.bits_for(4) == 15 and all((1 << language.bits_for(n)) * n * 8 <= language.MATRIX_BYTES for n in (300, 5000, 1 << 16))
+    rows = [(i, f"word{i} again", f"l{i}") for i in range(600)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 600 and model.bits == language.bits_for(600)
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Presence counts, ratios and scores of a small model, step by step; and the fit is at its optimum."""
+    rng = random.Random(5)
+    bad, calm = ["Übel", "hässlich", "dumm"], ["schön", "gut", "Tag", "wir", "日本"]
+    rows = [(i, " ".join([rng.choice(calm) for _ in range(8)] + [rng.choice(bad)] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.drop("text"))
+    has = [{brute_id(g, toxicity.BITS) for g in brute_grams(f" {t} ", toxicity.SIZES)} for _, t, _ in rows]
+    n = [Counter(h for s, r in zip(has, rows) if r[2] == y for h in s) for y in (0, 1)]
+    size = [60, 30]
+
+    def ratio(h):
+        p, q = ((n[y][h] + 1) / (size[y] + 2) for y in (1, 0))
+        return math.log(p / (1 + p)) - math.log(q / (1 + q))
+
+    support = {h: abs(ratio(h)) / math.sqrt(1 / (n[1][h] + 1) + 1 / (n[0][h] + 1)) for h in n[0] | n[1]}
+    used = {h for h, s in support.items() if s > 2}
+    assert set(np.flatnonzero(model.used).tolist()) <= used and len(used) <= toxicity.MAX_FEATURES
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for (i, _, _), s in zip(rows, has):
+        assert abs(scores[i] - 1 / (1 + math.exp(-(model.bias + sum(model.weight[h] for h in s & used))))) < 1e-9
+    error = np.array([scores[i] - y for i, _, y in rows]) / len(rows)
+    assert abs(error.sum()) < 0.01
+    for h in list(used)[:50]:
+        slope = sum(e for e, s in zip(error, has) if h in s) * ratio(h) + toxicity.L2 * model.weight[h] / ratio(h)
+        assert abs(slope) < 0.01
 
 
 def brute_stats(text):
@@ -103,19 +177,60 @@ def test_quality_plan_is_native(spark, edge):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_label_model_finds_the_faults():
-    rng = np.random.default_rng(0)
-    truth = rng.random(4000) < 0.8
-    fault = rng.integers(0, 4, 4000)
-    votes = np.full((4000, 4), weak_labels.GOOD)
-    for k in range(4):
-        sees = ~truth & ((fault == k) & (rng.random(4000) < 0.95))
-        votes[sees, k] = weak_labels.BAD
-        votes[rng.random(4000) < 0.1, k] = weak_labels.NONE
+def made_votes(rng, n):
+    """Good documents and two faults; families of three labellers of very different worth, one of them with many false alarms."""
+    kind = rng.choice(3, n, p=[0.8, 0.12, 0.08])
+    family, hit, false = np.array([0, 0, 0, 1, 1, 1]), [0.95, 0.9, 0.5, 0.9, 0.85, 0.6], [0.01, 0.02, 0.15, 0.005, 0.02, 0.1]
+    votes = np.full((n, 6), weak_labels.GOOD)
+    for k in range(6):
+        bad = np.where(kind == 1 + family[k], rng.random(n) < hit[k], rng.random(n) < false[k])
+        votes[bad, k] = weak_labels.BAD
+        votes[rng.random(n) < 0.1, k] = weak_labels.NONE
+    return kind == 0, votes, family
+
+
+def test_label_model_beats_majority_and_any_bad_vote():
+    truth, votes, family = made_votes(np.random.default_rng(0), 6000)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = weak_labels.fit_label_model(patterns, counts, family)
+    right = lambda good: (good == truth).mean()
+    told = model.posterior(votes) > 0.5
+    none_bad = (votes != weak_labels.BAD).all(axis=1)
+    majority = (votes == weak_labels.GOOD).sum(axis=1) > (votes == weak_labels.BAD).sum(axis=1)
+    assert right(told) > 0.95 and right(told) > right(majority) + 0.03 and right(told) > right(none_bad) + 0.1
+    # Where a document has bad votes from a weak labeller alone, the estimated accuracies overrule it.
+    conflict = ~none_bad & truth
+    assert told[conflict].mean() > 0.9
+    worth = model.accuracies()
+    assert worth[0] > worth[1] > worth[2] and worth[3] > worth[5] and np.abs(model.unseen[:, weak_labels.BAD] / 0.9 - [0.01, 0.02, 0.15, 0.005, 0.02, 0.1]).max() < 0.03
+
+
+def test_label_model_equals_brute_force():
+    """EM over patterns equals EM over single documents, step by step."""
+    _, votes, family = made_votes(np.random.default_rng(1), 60)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = weak_labels.fit_label_model(patterns, counts)
-    assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
-    assert model.accuracies().shape == (4,)
+    for rounds in (1, 2, 7):
+        model = weak_labels.fit_label_model(patterns, counts, family, rounds)
+        post = []
+        for v in votes.tolist():
+            start = [0.5, sum(v[k] == 0 for k in range(3)), sum(v[k] == 0 for k in range(3, 6))]
+            post.append([x / sum(start) for x in start])
+        for _ in range(rounds):
+            prior = [(sum(p[c] for p in post) + 1) / (len(votes) + 3) for c in range(3)]
+            tables = []
+            for k in range(6):
+                seen, unseen = [1.0] * 3, [1.0] * 3
+                unseen[0] += weak_labels.BELIEF * len(votes) * weak_labels.FALSE_BAD
+                unseen[1] += weak_labels.BELIEF * len(votes) * (1 - weak_labels.FALSE_BAD)
+                for v, p in zip(votes.tolist(), post):
+                    seen[v[k]] += p[1 + family[k]]
+                    unseen[v[k]] += 1 - p[1 + family[k]]
+                tables.append([[x / sum(t) for x in t] for t in (seen, unseen)])
+            post = []
+            for v in votes.tolist():
+                z = [prior[c] * math.prod(tables[k][0 if c == 1 + family[k] else 1][v[k]] for k in range(6)) for c in range(3)]
+                post.append([x / sum(z) for x in z])
+        assert np.allclose(model.classes(votes), post)
 
 
 def test_weak_labels(spark, edge):
