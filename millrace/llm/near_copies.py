@@ -5,10 +5,12 @@ differ in each bit with probability arccos(2s / (1 + s)) / pi, 0.15 at 0.8. A bl
 15 code bits and some free bits; its anchors are the words of the (15, 11) Hamming code times all values of the free
 bits, of covering radius 1, and a block's own threshold is 0, so a node goes to the one anchor within 1 + 0 bits. Of
 overlapping blocks there are as many as make two sets of similarity 0.8 meet with a probability of 1 - ``MISS``. Nodes of
-one anchor are candidates if 128 of their bits are near; every candidate is decided on the whole sets.
+one anchor are candidates if their bits are near; every candidate is decided on the whole sets.
 
-Candidates are taken in two steps. First every node meets the smallest node of its anchor; links found so
-join large groups of copies. After that only nodes that are not in one component yet are compared, all with all.
+Candidates are taken in two steps. First every node gets the nearest node, by 256 bits, of each of its anchors, which
+makes a number of pairs in proportion to the nodes and joins groups of copies. After that all candidates are taken of
+nodes that are not in one component yet, compared by 1,536 bits, so that few have less than the similarity wanted: a large
+group of copies never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -23,25 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs, spread
-from .common import byte_spans, letters_mix, materialise, utf8
+from .common import byte_spans, letters_mix, materialise, small_batches, utf8
 from .components import components
 from .shingles import SEED, bit_counts, shingle_hashes
 
 SIMILARITY = 0.8
-#: 64-bit words of a fingerprint, and how many of them candidates are compared by.
-WORDS, CHECKED = 8, 2
+#: 64-bit words of a fingerprint, how many of them nearest nodes are compared by, and how many the rest.
+WORDS, CHECKED, WIDE = 8, 4, 24
 CODE_BITS = 15
 #: Probability that a pair of just the similarity wanted meets at no anchor.
 MISS = 1e-4
 #: Free bits grow with the nodes, so that an anchor of a block has about so many nodes at most.
 ANCHOR_NODES = 256
 #: Nodes of one anchor that one task compares all with all; larger anchors are dealt out.
-CELL_ROWS = 8192
-PAIRS_AT_ONCE = 1_000_000
-ROWS_AT_ONCE = 200_000
+CELL_ROWS = 4096
+PAIRS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 16
 #: Texts that are found again by broadcasting their names; more are joined by shuffling.
 BROADCAST_NAMES = 2_000_000
-_ODD = letters_mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = letters_mix(np.arange(1, WIDE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -55,11 +57,12 @@ def name_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """``WORDS`` 64-bit words; a bit is 1 if more than half of the shingles' hashes have it."""
-    counts = np.zeros(64 * WORDS, np.int64)
-    for k in range(0, len(shingles), 4080):
-        h = (shingles[k : k + 4080, None] * _ODD[None, :]).astype(np.uint64)
+def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64-bit words; a bit is 1 if more than half of the shingles' hashes have it. Fewer words are the first of more."""
+    counts = np.zeros(64 * words, np.int64)
+    step = max(255, 32640 // words)
+    for k in range(0, len(shingles), step):
+        h = (shingles[k : k + step, None] * _ODD[None, :words]).astype(np.uint64)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
@@ -72,6 +75,12 @@ def bit_rate(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+def bit_limit(similarity: float, words: int) -> int:
+    """Most bits in which sets of the similarity wanted differ: four deviations above what is expected."""
+    rate, bits = bit_rate(similarity), 64 * words
+    return int(bits * rate + 4 * math.sqrt(bits * rate * (1 - rate)))
+
+
 def blocks_for(nodes: int, similarity: float = SIMILARITY, miss: float = MISS) -> np.ndarray:
     """Places in the fingerprint of each block's bits, the code bits first: as many blocks as the miss rate asks for."""
     free = max(1, math.ceil(math.log2(max(1, nodes) / ANCHOR_NODES)) - 11)
@@ -114,83 +123,95 @@ def _sketches(docs: DataFrame, id_kind: str, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(node, shingles)`` of each row of ``(text,)``."""
+    """``(node, shingles, sketch)`` of each row of ``(text,)``; the sketch has ``WIDE`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_spans(batch.column(0))
             for k in range(0, batch.num_rows, 256):
                 found = [shingle_set(bytes(data[a:b]), width) for a, b in zip(at[k : k + 256].tolist(), at[k + 1 : k + 257].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(map(name_of, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "shingles"])
-
-    return docs.mapInArrow(run, "node long, shingles binary")
-
+                columns = [pa.array(map(name_of, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([wide_fingerprint(x, WIDE).tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-def _deal(nodes: DataFrame, blocks: np.ndarray) -> DataFrame:
-    """``(cell, root, node, w0, w1)``: every node of ``(node, root, sketch)`` at its anchor in each block."""
+    return docs.mapInArrow(run, "node long, shingles binary, sketch binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, root = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            raw, at = byte_spans(batch.column(2))
-            sketch = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].reshape(-1, 8 * WORDS)
-            for k in range(0, len(node), 1024):
-                part = sketch[k : k + 1024]
-                cells = cells_of(part, blocks)
-                check = np.ascontiguousarray(part).view(np.int64)[:, :CHECKED]
-                row = np.repeat(np.arange(len(part)), len(blocks))
-                columns = [cells.ravel(), root[k : k + 1024][row], node[k : k + 1024][row], *(check[row, i] for i in range(CHECKED))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "root", "node", "w0", "w1"])
 
-    return nodes.select("node", "root", "sketch").mapInArrow(run, "cell long, root long, node long, w0 long, w1 long")
+def _bytes2d(column: pa.Array) -> np.ndarray:
+    """Rows of a binary column of one length as rows of bytes."""
+    raw, at = byte_spans(column)
+    return np.frombuffer(raw, np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], limit: int, hubs: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``(cell, sub, home, root, node, w0, w1)`` in that order; a group of cell and sub may span batches.
+def _deal(nodes: DataFrame, blocks: np.ndarray, words: int) -> DataFrame:
+    """``(cell, root, node, bits)``: every node of ``(node, root, sketch)`` at its anchor in each block, with ``words`` words of its sketch."""
 
-    With ``hubs`` every row meets the first of its group, which is all that is kept of a group; else homes meet
-    all rows of the group with another root.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = _bytes2d(batch.column(2)) if batch.num_rows else np.zeros((0, 8 * words), np.uint8)
+            for k in range(0, len(sketch), 256):
+                part = sketch[k : k + 256]
+                cells = cells_of(part[:, : 8 * WORDS], blocks)
+                row = pa.array(np.repeat(np.arange(len(part)), len(blocks)))
+                bits = pa.array([x.tobytes() for x in part[:, : 8 * words]], pa.binary())
+                columns = [pa.array(cells.ravel()), *(x.take(row) for x in (batch.column(1).slice(k, 256), batch.column(0).slice(k, 256), bits))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "root", "node", "bits"])
+
+    return nodes.select("node", "root", "sketch").mapInArrow(run, "cell long, root long, node long, bits binary")
+
+
+def _pairs(cell, sub, home, root, node, bits, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of rows of whole groups in order; with ``nearest`` only each row's nearest."""
+    starts = runs(cell, sub)
+    size = np.diff(np.append(starts, len(cell)))
+    group = np.repeat(np.arange(len(starts)), size)
+    own = runs(cell, sub, home, root)
+    run_end = np.repeat(np.append(own[1:], len(cell)), np.diff(np.append(own, len(cell))))
+    guests = np.bincount(group[~home], minlength=len(starts))[group]
+    i = np.flatnonzero(home)
+    words = np.ascontiguousarray(bits).view(np.uint64)
+    first = np.ascontiguousarray(words[:, :CHECKED])
+    best = np.full(len(node), np.iinfo(np.int64).max)
+
+    def nearby(a, b, words):
+        apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((apart <= bit_limit(similarity, words.shape[1])) & (root[a] != root[b]))
+        return a[near], b[near], apart[near]
+
+    # Homes meet the guests, which come first, and the rows beyond those of their own root.
+    for start, count in ((starts[group][i], guests[i]), (run_end[i], (starts + size)[group][i] - run_end[i])):
+        for owner, b in spread(start, count, PAIRS_AT_ONCE):
+            a, b, apart = nearby(i[owner], b, first)
+            if words.shape[1] > CHECKED and len(a):
+                a, b, apart = nearby(a, b, words)
+            if nearest:
+                np.minimum.at(best, a, apart << 32 | b)
+                np.minimum.at(best, b, apart << 32 | a)
+            elif len(a):
+                yield node[a], node[b]
+    found = np.flatnonzero(best < np.iinfo(np.int64).max)
+    if len(found):
+        yield node[found], node[best[found] & 0xFFFFFFFF]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``(cell, sub, home, root, node, bits)`` in that order; a group of cell and sub may span batches."""
     kept: list[list[np.ndarray]] = []
     rows = 0
 
-    def pairs(cell, sub, home, root, node, w0, w1):
-        starts = runs(cell, sub)
-        size = np.diff(np.append(starts, len(cell)))
-        group = np.repeat(np.arange(len(starts)), size)
-        if hubs:
-            ranges = [(starts, starts + 1, size - 1)]
-        else:
-            own = runs(cell, sub, home, root)
-            run_end = np.repeat(np.append(own[1:], len(cell)), np.diff(np.append(own, len(cell))))
-            guests = np.bincount(group[~home], minlength=len(starts))[group]
-            i = np.flatnonzero(home)
-            ranges = [(i, starts[group][i], guests[i]), (i, run_end[i], (starts + size)[group][i] - run_end[i])]
-        for i, start, count in ranges:
-            for owner, j in spread(start, count, PAIRS_AT_ONCE):
-                a = i[owner]
-                near = np.flatnonzero((np.bitwise_count((w0[a] ^ w0[j]).view(np.uint64)) + np.bitwise_count((w1[a] ^ w1[j]).view(np.uint64)) <= limit) & (node[a] != node[j]) & (root[a] != root[j]))
-                if len(near):
-                    u, v = np.minimum(node[a[near]], node[j[near]]), np.maximum(node[a[near]], node[j[near]])
-                    u, v = np.unique(np.stack([u, v]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
     def flush(last: bool):
         nonlocal kept, rows
-        columns = [np.concatenate([x[i] for x in kept]) for i in range(7)]
+        columns = [np.concatenate([x[i] for x in kept]) for i in range(6)]
         starts = runs(columns[0], columns[1])
         stop = len(columns[0]) if last else int(starts[-1])
-        ready, rest = [c[:stop] for c in columns], [c[stop:] for c in columns]
-        if hubs and not last and len(rest[0]) > 1:
-            # The group goes on: compare what is here and keep its first row.
-            ready, rest = columns, [c[stop : stop + 1] for c in columns]
-        kept, rows = ([rest] if len(rest[0]) else []), len(rest[0])
-        if len(ready[0]):
-            yield from pairs(*ready)
+        kept, rows = ([[c[stop:] for c in columns]], len(columns[0]) - stop) if stop < len(columns[0]) else ([], 0)
+        if stop:
+            for a, b in _pairs(*(c[:stop] for c in columns), similarity, nearest):
+                u, v = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for batch in batches:
         if batch.num_rows:
-            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            kept.append([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), _bytes2d(batch.column(5))])
             rows += batch.num_rows
             if rows >= ROWS_AT_ONCE:
                 yield from flush(False)
@@ -211,34 +232,34 @@ def _alike(least: float):
     return run
 
 
-def candidates(nodes: DataFrame, blocks: np.ndarray, hubs: bool, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Distinct pairs ``(u, v)`` of ``(node, root, sketch)`` that share an anchor, have different roots and are near by 128 bits.
+def hot_anchors(nodes: DataFrame, blocks: np.ndarray, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(cell, n)`` of anchors of more than ``cell_rows`` nodes."""
+    return materialise(_deal(nodes, blocks, 0).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "hot_anchors")
+
 
-    With ``hubs`` only pairs with one node of the anchor. An anchor of more than ``cell_rows`` nodes is dealt
-    out in parts: each row is at home in one and, unless it has the root that most of the anchor's rows have, a guest in all
-    others, so any two of different roots meet.
+def candidates(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bool, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of ``(node, root, sketch)`` that share an anchor, have different roots and are near.
+
+    A ``hot`` anchor is dealt out in parts of about ``cell_rows`` nodes. With ``nearest`` each row is in one part. Else each
+    row is at home in one and, unless it has the root that most of the anchor's rows have, a guest in all others, so
+    any two of different roots meet.
     """
-    spark = nodes.sparkSession
-    limit = int(64 * CHECKED * 2 * bit_rate(similarity))
-    dealt = _deal(nodes, blocks)
-    hot = materialise(dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "hot_anchors")
-    columns = ["cell", "sub", "home", "root", "node", "w0", "w1"]
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _deal(nodes, blocks, CHECKED if nearest else WIDE)
     if hot.isEmpty():
         placed = dealt.withColumns({"sub": F.lit(0), "home": F.lit(True)})
     else:
         many = F.ceil(F.col("n") / cell_rows).cast("int")
         own = F.pmod(F.xxhash64("node"), F.coalesce(many, F.lit(1))).cast("int")
-        if hubs:
+        if nearest:
             placed = dealt.join(hot, "cell", "left").withColumns({"sub": own, "home": F.lit(True)})
         else:
-            by_root = dealt.join(hot.select("cell"), "cell").groupBy("cell", "root").agg(F.count("*").alias("m"))
+            by_root = _deal(nodes, blocks, 0).join(hot.select("cell"), "cell").groupBy("cell", "root").agg(F.count("*").alias("m"))
             most = materialise(by_root.groupBy("cell").agg(F.max(F.struct("m", "root"))["root"].alias("most")).join(hot, "cell"), "most")
             there = F.when(F.col("n").isNull() | (F.col("root") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), many - 1))
             placed = dealt.join(most, "cell", "left").withColumn("own", own).withColumn("sub", F.explode(there)).withColumn("home", F.col("sub") == F.col("own"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["cell", "sub", "node"] if hubs else ["cell", "sub", "home", "root"]
-    ordered = placed.select(*columns).repartition(parts, "cell", "sub").sortWithinPartitions(*order)
-    return ordered.mapInArrow(lambda b: _candidates(b, limit, hubs), "u long, v long").distinct()
+    ordered = placed.select("cell", "sub", "home", "root", "node", "bits").repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "home", "root")
+    return ordered.mapInArrow(lambda b: _candidates(b, similarity, nearest), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -248,27 +269,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more. Texts without words, null included, are alike. Rows with a null id take part in links but give
     no component id (null if all ids of a component are null); repeated rows stay; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
     own = materialise(_sketches(texts, docs.schema[id_col].dataType.simpleString(), width), "sketches")
     nodes = materialise(own.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")), "nodes")
     blocks = blocks_for(nodes.count(), similarity)
 
+    alone = nodes.withColumn("root", F.col("node"))
+    hot = hot_anchors(alone, blocks, cell_rows)
+    pairs = materialise(candidates(alone, blocks, hot, True, similarity, cell_rows), "pairs_nearest")
+
+    # Who has a candidate has a nearest one, but for the parts of hot anchors: all others are done with.
+    some = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
+    if not hot.isEmpty():
+        some = some.union(_deal(alone, blocks, 0).join(hot, "cell").select("node"))
+    marks = materialise(nodes.join(some.distinct(), "node").select("mark").distinct(), "marks")
+    if marks.count() <= BROADCAST_NAMES:
+        marks = F.broadcast(marks)
+    sets = materialise(_sets(texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"]).select("text"), width), "sets")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialise(pairs, f"pairs_{name}")
-        some = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        marks = materialise(nodes.join(some, "node").select("mark").distinct(), f"marks_{name}")
-        if marks.count() <= BROADCAST_NAMES:
-            marks = F.broadcast(marks)
-        sets = _sets(texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"]).select("text"), width)
-        sets = materialise(sets, f"sets_{name}")
-        one, two = sets.toDF("u", "x"), sets.toDF("v", "y")
+        one, two = (sets.select(F.col("node").alias(a), F.col("shingles").alias(b)) for a, b in ("ux", "vy"))
         both = pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y")
         return materialise(both.mapInArrow(_alike(similarity), "u long, v long"), f"links_{name}")
 
-    links = verified(candidates(nodes.withColumn("root", F.col("node")), blocks, True, similarity, cell_rows), "hubs")
-    roots = materialise(components(links), "roots")
-    rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", "sketch", F.coalesce("root", "node").alias("root")), "rooted")
-    more = verified(candidates(rooted, blocks, False, similarity, cell_rows), "rest")
+    roots = materialise(components(verified(pairs, "nearest")), "roots")
+    rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    open_ = sets.select("node", "sketch").join(rooted, "node")
+    more = verified(materialise(candidates(open_, blocks, hot, False, similarity, cell_rows), "pairs_rest"), "rest")
     # Nodes stand for their components from here on: links of links, in the root's names.
     rename = rooted.select("node", "root")
     lifted = more.join(rename.toDF("u", "a"), "u").join(rename.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -75,3 +75,21 @@ def test_sets_that_are_alike_meet_at_an_anchor():
 
 def test_near_copies_of_nothing(spark):
     assert N.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_group_of_copies_does_not_give_all_its_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), 3):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    seen = []
+    made = N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: seen.append((name, made(df, name))) or seen[-1][1])
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    pairs = {name: df.count() for name, df in seen if name.startswith("pairs")}
+    assert pairs["pairs_nearest"] < 40 * len(rows) and pairs["pairs_rest"] < 10 * len(rows)
