@@ -9,7 +9,7 @@ one anchor are candidates if their bits are near; every candidate is decided on
 
 Candidates are taken in two steps. First every node gets the nearest node, by 256 bits, of each of its anchors, which
 makes a number of pairs in proportion to the nodes and joins groups of copies. After that all candidates are taken of
-nodes that are not in one component yet, compared by 1,536 bits, so that few have less than the similarity wanted: a large
+nodes that are not in one component yet, compared by 2,048 bits, so that few have less than the similarity wanted: a large
 group of copies never gives all its pairs.
 """
 
@@ -31,10 +31,12 @@ from .shingles import SEED, bit_counts, shingle_hashes
 
 SIMILARITY = 0.8
 #: 64-bit words of a fingerprint, how many of them nearest nodes are compared by, and how many the rest.
-WORDS, CHECKED, WIDE = 8, 4, 24
+WORDS, CHECKED, WIDE = 8, 4, 32
 CODE_BITS = 15
+#: A cell holds its block above so many bits.
+BLOCK_SHIFT = 40
 #: Probability that a pair of just the similarity wanted meets at no anchor.
-MISS = 1e-4
+MISS = 2e-4
 #: Free bits grow with the nodes, so that an anchor of a block has about so many nodes at most.
 ANCHOR_NODES = 256
 #: Nodes of one anchor that one task compares all with all; larger anchors are dealt out.
@@ -103,7 +105,7 @@ def cells_of(fingerprints: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     weight = np.int64(1) << np.arange(blocks.shape[1], dtype=np.int64)
     word = (bits * weight).sum(axis=2)
     word ^= np.where(lead > 0, np.int64(1) << np.maximum(lead.astype(np.int64) - 1, 0), 0)
-    return word | (np.arange(len(blocks), dtype=np.int64) << 40)
+    return word | (np.arange(len(blocks), dtype=np.int64) << BLOCK_SHIFT)
 
 
 def _sketches(docs: DataFrame, id_kind: str, width: int) -> DataFrame:
@@ -159,8 +161,8 @@ def _deal(nodes: DataFrame, blocks: np.ndarray, words: int) -> DataFrame:
     return nodes.select("node", "root", "sketch").mapInArrow(run, "cell long, root long, node long, bits binary")
 
 
-def _pairs(cell, sub, home, root, node, bits, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of rows of whole groups in order; with ``nearest`` only each row's nearest."""
+def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of rows of whole groups in order, each in the first block in which it meets; with ``nearest`` each row's nearest in each."""
     starts = runs(cell, sub)
     size = np.diff(np.append(starts, len(cell)))
     group = np.repeat(np.arange(len(starts)), size)
@@ -187,13 +189,18 @@ def _pairs(cell, sub, home, root, node, bits, similarity: float, nearest: bool)
                 np.minimum.at(best, a, apart << 32 | b)
                 np.minimum.at(best, b, apart << 32 | a)
             elif len(a):
-                yield node[a], node[b]
+                rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                cells = np.concatenate([cells_of(bits[rows[k : k + 256], : 8 * WORDS], blocks) for k in range(0, len(rows), 256)])
+                for k in range(0, len(a), 4096):
+                    x, y = at[: len(a)][k : k + 4096], at[len(a) :][k : k + 4096]
+                    own = (cells[x] == cells[y]).argmax(axis=1) == cell[a[k : k + 4096]] >> BLOCK_SHIFT
+                    yield node[a[k : k + 4096][own]], node[b[k : k + 4096][own]]
     found = np.flatnonzero(best < np.iinfo(np.int64).max)
     if len(found):
         yield node[found], node[best[found] & 0xFFFFFFFF]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Rows ``(cell, sub, home, root, node, bits)`` in that order; a group of cell and sub may span batches."""
     kept: list[list[np.ndarray]] = []
     rows = 0
@@ -205,7 +212,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, nearest: b
         stop = len(columns[0]) if last else int(starts[-1])
         kept, rows = ([[c[stop:] for c in columns]], len(columns[0]) - stop) if stop < len(columns[0]) else ([], 0)
         if stop:
-            for a, b in _pairs(*(c[:stop] for c in columns), similarity, nearest):
+            for a, b in _pairs(*(c[:stop] for c in columns), blocks, similarity, nearest):
                 u, v = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -259,7 +266,7 @@ def candidates(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bo
             there = F.when(F.col("n").isNull() | (F.col("root") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), many - 1))
             placed = dealt.join(most, "cell", "left").withColumn("own", own).withColumn("sub", F.explode(there)).withColumn("home", F.col("sub") == F.col("own"))
     ordered = placed.select("cell", "sub", "home", "root", "node", "bits").repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "home", "root")
-    return ordered.mapInArrow(lambda b: _candidates(b, similarity, nearest), "u long, v long").distinct()
+    return ordered.mapInArrow(lambda b: _candidates(b, blocks, similarity, nearest), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
