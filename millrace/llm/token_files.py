@@ -1,14 +1,16 @@
 """Token counts of flat, unindexed token files, by separator scan.
 
-A token file is little-endian 32-bit ids, one document after another, each ended by the
-end-of-document id; nothing says where documents begin. Files are cut into blocks; each block is
+A token file is nothing but 16-bit big-endian ids, one document after another, each ended by the
+end-of-document id; nothing says where documents begin. Files are looked at in blocks of fixed size, each
 searched for the id in one vectorised comparison, on its own; a prefix scan over the blocks of a
 file then says which document each block begins in and stitches the lengths of those that cross blocks.
+
+Spark's text writer commits the files, on any file system that Spark reaches: a "line" is a document's ids and the
+line separator the end id. That is why the end id, 50,304, is one beyond the vocabulary whose two bytes spell a character.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,55 +18,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, utf8
+from .common import scratch_path, small_batches, utf8
 from .packing import encoder, vocabulary_path
 
-END_ID = 50256
+END_ID = 0xC480
+ID_TYPE = ">u2"
 BLOCK_TOKENS = 1 << 18
-#: Documents per file, at most.
+#: Documents per file, at most, of texts below ``SHORT_BYTES``; texts of up to four times that go a quarter to a file, and so on.
 FILE_DOCUMENTS = 4_000
+SHORT_BYTES = 1 << 16
 
 
 def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: str | None = None, end_id: int = END_ID, file_documents: int = FILE_DOCUMENTS) -> None:
     """Tokenise the texts where they lie and write them as flat token files below ``out``.
 
-    A null or empty text is the end id alone. Spark's text writer commits the files: a "line" is a document's ids and the
-    end id's two low bytes, the line separator its two high bytes, which are zero; files are packed with gzip as they are written. So ``end_id`` is below 65,536 and not in the vocabulary.
+    A null or empty text is the end id alone; repeated rows are documents each; an empty table gives no ids; other columns are
+    ignored, whatever their names. Longer texts share a file with fewer others, so a file stays below 512 MB unless one text
+    is larger. The end id is beyond the vocabulary, and its two bytes are one UTF-8 character.
     """
-    if not 0 <= end_id < 1 << 16:
-        raise ValueError("the end id must be below 65,536")
+    separator = int(end_id).to_bytes(2, "big")
+    try:
+        line_end = separator.decode()
+    except UnicodeDecodeError:
+        line_end = ""
+    if len(line_end) != 1:
+        raise ValueError("the bytes of the end id must be one UTF-8 character")
     vocabulary = path or vocabulary_path()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            lines = [np.array(encode(t.as_py()), "<u4").tobytes() + end for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
-
-    lines = docs.select(utf8(text_col).alias("text")).mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0\0").option("compression", "gzip").option("maxRecordsPerFile", file_documents).text(out)
-
-
-def _blocks(content: memoryview, size: int) -> Iterator[bytes]:
-    """The file's bytes, unpacked if it is gzip, in blocks of ``size``; one block is held at a time."""
-    if bytes(content[:2]) != b"\x1f\x8b":
-        yield from (bytes(content[a : a + size]) for a in range(0, len(content), size))
-        return
-    rest, held = bytes(content), bytearray()
-    while rest:
-        one = zlib.decompressobj(31)
-        while not one.eof:
-            part = one.decompress(rest, size)
-            rest = one.unconsumed_tail or one.unused_data
-            if not part and not one.eof and not rest:
-                raise ValueError("a token file ends within its gzip member")
-            held += part
-            while len(held) >= size:
-                yield bytes(held[:size])
-                del held[:size]
-    if held:
-        yield bytes(held)
+            for k in range(0, batch.num_rows, 1000):
+                lines = []
+                for text in batch.column(0).slice(k, 1000):
+                    ids = np.array(encode(text.as_py()), np.int64)
+                    if len(ids) and ids.max() >= end_id:
+                        raise ValueError("the end id is in the vocabulary, or ids exceed 16 bits")
+                    lines.append(ids.astype(ID_TYPE).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
+
+    # Times four above SHORT_BYTES, as a whole number from 0.
+    size = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.octet_length("text"), F.lit(1)) / F.lit(float(SHORT_BYTES))))).cast("int")
+    sized = docs.select(utf8(text_col).alias("text")).select("text", size.alias("size"))
+    for step in sorted(r[0] for r in sized.select("size").distinct().collect()) or [0]:
+        lines = sized.where(F.col("size") == step).select("text").mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
+        lines.write.mode("append").option("lineSep", line_end).option("maxRecordsPerFile", max(1, file_documents >> (2 * step))).text(out)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -72,8 +71,11 @@ def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator
     names = ["file", "block", "tokens", "ends", "head", "tail", "inner"]
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for block, data in enumerate(_blocks(memoryview(content.as_buffer()), size)):
-                ids = np.frombuffer(data, "<u4")
+            if len(content.as_buffer()) % 2:
+                raise ValueError(f"{file} ends within an id")
+            whole = np.frombuffer(content.as_buffer(), ID_TYPE)
+            for block, a in enumerate(range(0, len(whole), size)):
+                ids = whole[a : a + size]
                 at = np.flatnonzero(ids == end_id)
                 head = int(at[0]) if len(at) else len(ids)
                 tail = len(ids) - 1 - int(at[-1]) if len(at) else len(ids)
@@ -85,12 +87,13 @@ def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(file, document, n_tokens)``: of each document of each file below ``path``, in order, its ids without the end id.
 
-    Ids after a file's last end id are a last document without an end (``ended`` false); an empty file has none.
+    Ids after a file's last end id are a last document without an end (``ended`` false); an empty file has none; a file
+    that ends within an id raises.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     name = F.element_at(F.split("path", "/"), -1)
     contents = files.select(name.alias("file"), "content")
-    scanned = contents.mapInArrow(lambda b: _scan(b, end_id, 4 * block_tokens), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>")
+    scanned = contents.mapInArrow(lambda b: _scan(b, end_id, block_tokens), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>")
     # Prefix scan: the block's first document, and what ran on into it since the last end id.
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

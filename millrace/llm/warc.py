@@ -11,9 +11,8 @@ Each part file is one gzip member. There is no warcinfo record.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import math
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +26,10 @@ MIN_REVISIT_BYTES = 1000
 #: About the payload bytes that one archive file holds, and the most records.
 FILE_BYTES = 32 << 20
 FILE_RECORDS = 50_000
+#: Most revisits whose keys are broadcast when archives are written; more are joined by shuffling.
+BROADCAST_REVISITS = 200_000
+#: Bytes that are unpacked at once when archives are read.
+READ_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -52,7 +55,8 @@ def heads_of(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
 def revisits_of(heads: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """``(record_key, refers_key)`` of every record whose payload a record of a larger page id holds."""
     long = heads.where(F.col("bytes") >= min_bytes)
-    originals = long.groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
+    # A table of its own, so that the join is of two plain shuffles and the rows of a common payload can be split.
+    originals = materialise(long.groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null"), "warc_originals")
     found = long.join(originals, "digest").where("page is null or page <> original")
     return found.select("record_key", _record_key(F.col("original"), F.col("digest")).alias("refers_key")).distinct()
 
@@ -63,13 +67,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of records with equal payloads of at least ``min_bytes`` bytes, that of the largest id is the
     response and the others are revisits of it; all others are responses. A null payload is empty;
     a row without an id is written under the id ``null`` and never the original of another; rows
-    that repeat id and payload are equal records; an empty table gives an archive without records.
+    that repeat id and payload are equal records; an empty table gives an archive without records; a payload of any
+    length is one record; other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     heads = materialise(heads_of(pages, id_col, payload_col), "warc_heads")
-    total = heads.agg(F.sum("bytes")).first()[0] or 0
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / FILE_BYTES))
-    revisits = revisits_of(heads, min_bytes)
+    total, count = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    revisits = materialise(revisits_of(heads, min_bytes), "warc_revisits")
     digest = F.sha1(F.encode(utf8(payload_col), "UTF-8"))
     rows = pages.select(
         _record_key(F.col(id_col), digest).alias("record_key"),
@@ -78,7 +82,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         utf8(payload_col).alias("payload"),
         digest.alias("digest"),
     )
-    joined = rows.repartition(files, "record_key").join(revisits.repartition(files, "record_key"), "record_key", "left")
+    # Two keys of 32 letters a revisit: while they are few, pages stay where they are.
+    few = revisits.count() <= BROADCAST_REVISITS
+    joined = rows.join(F.broadcast(revisits) if few else revisits, "record_key", "left")
     again = F.col("refers_key").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF * 2))
     block = F.when(again, F.col("http")).otherwise(F.concat("http", "payload"))
@@ -99,22 +105,59 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(CRLF * 2),
     )
     records = joined.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block").alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES * count // max(1, total)))).text(path)
 
 
-def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of one archive file, gzip or plain."""
-    data = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
+def _unpacked(archive: memoryview) -> Iterator[bytes]:
+    """The bytes of one archive file, gzip or plain, in parts of about ``READ_BYTES``."""
+    if bytes(archive[:2]) != b"\x1f\x8b":
+        yield from (bytes(archive[a : a + READ_BYTES]) for a in range(0, len(archive), READ_BYTES))
+        return
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+    while at < len(archive):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(archive):
+                raise ValueError("an archive ends within a gzip member")
+            data = archive[at : at + READ_BYTES // 4]
+            at += len(data)
+            while data and not member.eof:
+                yield member.decompress(data, READ_BYTES)
+                data = member.unconsumed_tail
+            at -= len(member.unused_data)
+
+
+def parse_records(archive: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of one archive file, gzip or plain; one record is held at a time."""
+    parts, held, at = _unpacked(memoryview(archive)), bytearray(), 0
+
+    def need(end: int) -> bool:
+        """Read on until the record held has ``end`` bytes."""
+        nonlocal at
+        while len(held) < end:
+            part = next(parts, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while need(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not need(seen + 1):
+                raise ValueError(f"no WARC record at byte {at}")
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        if not need(end + 4 + size):
+            raise ValueError(f"the record at byte {at} is cut off")
+        yield headers, bytes(memoryview(held)[end + 4 : end + 4 + size])
+        need(end + 8 + size)
+        del held[: end + 8 + size]
+        at += end + 8 + size
 
 
 FIELDS = [("page", pa.string()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("payload", pa.binary())]
@@ -126,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             rows: list[tuple] = []
             held = 0
-            for h, block in parse_records(bytes(data[a:b])):
+            for h, block in parse_records(data[a:b]):
                 top, _, payload = block.partition(b"\r\n\r\n")
                 size = next(int(x.split(b":")[1]) for x in top.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                 digest = h["warc-payload-digest"].removeprefix("sha1:")
@@ -154,7 +197,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def resolve(records: DataFrame) -> DataFrame:
     """Join each revisit to its response: ``refers_to`` is that record's page."""
-    responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page").alias("refers_to"))
+    responses = materialise(records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page").alias("refers_to")), "warc_responses")
     # Responses refer to nothing: in the join, all their null keys would meet in one task.
     found = records.where("refers_to_id is not null").join(responses, "refers_to_id", "left").select(*records.columns, "refers_to")
     return found.unionByName(records.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("string")))

@@ -160,14 +160,47 @@ def test_archives_round_trip(spark):
     assert W.read_archives(spark, empty).count() == 0
 
 
-def test_damaged_archives_are_refused():
+def test_damaged_archives_are_refused(spark):
     with pytest.raises(ValueError):
         list(W.parse_records(gzip.compress(b"no record\r\n\r\n")))
+    path = scratch_path(spark, "test")
+    W.write_archives(spark.createDataFrame([(i, "u", "payload " * 500 + str(i)) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)
+    whole = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()][0]
+    for part in (whole[:-20], gzip.compress(gzip.decompress(whole)[:5000])):
+        with pytest.raises(ValueError):
+            list(W.parse_records(part))
+
+
+def test_archives_are_read_in_parts(spark, monkeypatch):
+    rows = [(i, "u", ("é" * i) + "\r\n\r\n" + "z" * (i * 300)) for i in range(40)]
+    path = scratch_path(spark, "test")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    whole = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    monkeypatch.setattr(W, "READ_BYTES", 16)
+    for data in whole:
+        plain = gzip.decompress(data)
+        half = len(plain) // 2
+        for form in (data, plain, gzip.compress(plain[:half]) + gzip.compress(plain[half:])):
+            got = {h["x-page-id"]: block.partition(b"\r\n\r\n")[2].decode() for h, block in W.parse_records(form)}
+            assert got == {str(i): t for i, _, t in rows}
+
+
+def test_a_common_payload_and_a_long_one(spark, monkeypatch):
+    """A third of all pages share a payload; one payload is of some megabytes; keys are joined either way."""
+    rows = [(i, "u", "same " * 300 if i % 3 == 0 else f"own {i} " * 200) for i in range(600)] + [(1000, "u", "x" * (5 << 20)), (1001, "u", "x" * (5 << 20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for most in (0, 200_000):
+        monkeypatch.setattr(W, "BROADCAST_REVISITS", most)
+        path = scratch_path(spark, "test")
+        W.write_archives(df, path)
+        got = {r["page"]: (r["record_type"], r["refers_to"]) for r in W.resolve(W.read_archives(spark, path)).collect()}
+        assert len(got) == len(rows) and got["1000"] == ("revisit", "1001") and got["1001"] == ("response", None)
+        assert all(got[str(i)] == (("revisit", "597") if i % 3 == 0 and i != 597 else ("response", None)) for i in range(600))
 
 
 @pytest.mark.parametrize("block", [1, 3, 64, 1 << 18])
 def test_token_files(spark, reference, block, tmp_path):
-    np.array([5, 50256, 50256, 1, 2, 3, 4, 5, 6, 7, 8, 9, 50256, 7, 7, 7], "<u4").tofile(tmp_path / "a.bin")
+    np.array([5, K.END_ID, K.END_ID, 1, 2, 3, 4, 5, 6, 7, 8, 9, K.END_ID, 7, 7, 7], K.ID_TYPE).tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
     got = [tuple(r) for r in K.count_tokens(spark, str(tmp_path), block_tokens=block).orderBy("document").collect()]
     assert got == [("a.bin", 0, 1, True), ("a.bin", 1, 0, True), ("a.bin", 2, 9, True), ("a.bin", 3, 3, False)]
@@ -177,12 +210,35 @@ def test_token_files_of_documents(spark, reference):
     want = Counter(len(reference(r["text"] or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     rows = K.op6_token_counts(spark, SF).collect()
     assert Counter(r["n_tokens"] for r in rows) == want and len({(r["part"], r["file"], r["document"]) for r in rows}) == len(rows)
-    docs = spark.createDataFrame([(None,), ("",), ("a",)], "text string").coalesce(1)
+    docs = spark.createDataFrame([(None,), ("",), ("a",)], "text string").coalesce(1).withColumn("size", F.lit("clash"))
     path = scratch_path(spark, "test")
     K.write_token_files(docs, path)
     assert [r["n_tokens"] for r in K.count_tokens(spark, path, block_tokens=1).orderBy("document").collect()] == [0, 0, 1]
-    with pytest.raises(ValueError):
-        K.write_token_files(docs, path, end_id=1 << 20)
+    for end in (5, 50256, 1 << 15, 0xC4A1 - 0x21 - 300):
+        with pytest.raises(Exception):
+            K.write_token_files(spark.createDataFrame([("a b c d",)], "text string"), scratch_path(spark, "test"), end_id=end)
+
+
+def test_token_files_are_flat_ids(spark, reference, monkeypatch):
+    """The files read as plain 16-bit ids, long texts in files of their own, repeated rows and an empty table included."""
+    texts = ["", None, "one two", "one two", "Ā Ā <|endoftext|>", "word " * 3000, "é" * 200]
+    monkeypatch.setattr(K, "SHORT_BYTES", 64)
+    path = scratch_path(spark, "test")
+    K.write_token_files(spark.createDataFrame([(t,) for t in texts], "text string"), path, file_documents=4)
+    found, sizes = [], []
+    for r in spark.read.format("binaryFile").load(path).where("length > 0").collect():
+        ids = np.frombuffer(r["content"], ">u2")
+        ends = np.flatnonzero(ids == K.END_ID)
+        assert ends[-1] == len(ids) - 1
+        parts = np.split(ids, ends + 1)[:-1]
+        sizes.append(len(parts))
+        found += [tuple(x[:-1].tolist()) for x in parts]
+    assert Counter(found) == Counter(tuple(reference(t or "")) for t in texts) and max(sizes) <= 4
+    got = K.count_tokens(spark, path, block_tokens=100).collect()
+    assert Counter(r["n_tokens"] for r in got) == Counter(len(x) for x in found)
+    empty = scratch_path(spark, "test")
+    K.write_token_files(spark.createDataFrame([], "text string"), empty)
+    assert K.count_tokens(spark, empty).count() == 0
 
 
 def test_pipeline(spark):
