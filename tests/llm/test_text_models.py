@@ -264,28 +264,67 @@ def brute_tiles(item, doc, k):
         b[j : j + n] = [False] * n
 
 
-def test_tiling_equals_brute_force():
+def test_tiling_equals_brute_force(monkeypatch):
     rng = np.random.default_rng(2)
-    for _ in range(150):
-        item, doc = rng.integers(0, 3, rng.integers(5, 25)), rng.integers(-1, 3, rng.integers(0, 40))
-        index = B.Index.of([(7, [str(x) for x in item])], 3)
-        ids = np.array([index.words.get(str(x), -1) for x in doc], np.int64)
-        _, place, at = index.hits(ids)
-        tiles = B.tile(index.items[0], ids, place, at, 3)
-        taken = [p + i for p, _, n in tiles for i in range(n)]
-        assert len(taken) == len(set(taken)) and all((index.items[0][p : p + n] == ids[a : a + n]).all() for p, a, n in tiles)
-        assert abs(sum(n for _, _, n in tiles) - brute_tiles(item.tolist(), doc.tolist(), 3)) <= 3  # ties may be marked in another order
+    cases = [(rng.integers(0, 3, rng.integers(5, 25)), rng.integers(-1, 3, rng.integers(0, 40))) for _ in range(150)]
+    cases += [(np.zeros(30, int), np.zeros(50, int)), (np.arange(12) % 2, np.arange(40) % 2)]
+    for most in (1 << 20, 30):
+        monkeypatch.setattr(B, "HITS_AT_ONCE", most)
+        for item, doc in cases:
+            index = B.Index.of([(7, [str(x) for x in item])], 3)
+            ids = np.array([index.words.get(str(x), -1) for x in doc], np.int64)
+            tiles = [t for _, _, matches in index.matches(ids) for t in B.tile(len(item), len(ids), matches(), 3)]
+            taken = [p + i for p, _, n in tiles for i in range(n)]
+            assert len(taken) == len(set(taken)) and all((index.items[0][p : p + n] == ids[a : a + n]).all() for p, a, n in tiles)
+            assert sum(n for _, _, n in tiles) == brute_tiles(item.tolist(), doc.tolist(), 3)
+
+
+def test_a_repeated_word_does_not_list_all_pairs():
+    """A text of one word against an item of the same word: matches, not pairs, are held."""
+    import tracemalloc
+
+    index = B.Index.of([(1, ["so"] * 500)], 5)
+    tracemalloc.start()
+    [(item, tiles)] = B.found_in("so " * 20_000, index, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert item == 0 and tiles == [(0, 0, 500)] and peak < 300e6
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    docs = {r["doc_id"]: re.findall(r"\w+", (r["text"] or "").lower()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = {r["item_id"]: re.findall(r"\w+", (r["text"] or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    seeds, want = {k: grams(w) for k, w in items.items()}, Counter()
+    for d, w in docs.items():
+        own = grams(w)
+        for k, item in items.items():
+            # Fewer words under shared seeds than half the item cannot make tiles of half of it.
+            if 5 * len([1 for i in range(len(item) - 4) if tuple(item[i : i + 5]) in own]) >= 0.5 * len(item) and own & seeds[k]:
+                at = [j for j in range(len(w) - 4) if tuple(w[j : j + 5]) in seeds[k]]
+                near = sorted({j + x for j in at for x in range(5)})
+                cut = [w[j] if j in set(near) else None for j in range(len(w))]
+                n = brute_tiles(item, cut[near[0] : near[-1] + 1], 5)
+                if n >= 0.5 * len(item):
+                    want[d, k, len(item), n] += 1
+    got = Counter((r["doc_id"], r["item_id"], r["item_words"], r["matched_words"]) for r in B.op8_decontaminate(spark, SF).collect())
+    assert got == want and len(want) > 10
 
 
 def test_decontamination(spark):
     item = [f"w{i}" for i in range(40)]
     reordered = " ".join(item[20:] + ["x"] + item[:20])
     docs = spark.createDataFrame([(1, "a b " + " ".join(item).upper() + "! z"), (2, reordered), (3, " ".join(item[:12])), (4, None), (5, ""), (None, reordered), (2, reordered)], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    bench = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, "too few"), (12, "other words of another item here")], "item_id long, text string")
-    got = Counter((r[0], r[1]) for r in B.contaminated(docs.drop("item_id"), bench).collect())
+    bench = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, "too few"), (12, "other words of another item here")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = Counter((r[0], r[1]) for r in B.contaminated(docs, bench).collect())
     assert got == Counter([(1, 9), (2, 9), (2, 9), (None, 9)])
-    blocks = Counter((r[0], r[1]) for r in B.contaminated(docs.drop("item_id"), bench, block_words=5).collect())
+    blocks = Counter((r[0], r[1]) for r in B.contaminated(docs, bench, block_words=5).collect())
     assert blocks == got
-    kept = B.drop_contaminated(docs, bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5] and kept.columns == docs.columns
-    assert B.contaminated(docs.drop("item_id"), bench.limit(0)).count() == 0 and B.drop_contaminated(docs.limit(0), bench).count() == 0
+    same = B.contaminated(docs, bench.drop("doc_id").withColumnRenamed("item_id", "doc_id"), item_col="doc_id")
+    assert Counter((r["doc_id"], r["benchmark_doc_id"]) for r in same.collect()) == got
+    for words in (500_000, 5):
+        kept = B.drop_contaminated(docs, bench, block_words=words)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5] and kept.columns == docs.columns
+    assert B.contaminated(docs, bench.limit(0)).count() == 0 and B.drop_contaminated(docs.limit(0), bench).count() == 0
+    long = spark.createDataFrame([(1, "pad word " * 200_000 + " ".join(item))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in B.contaminated(long, bench).collect()] == [(1, 9)]
