@@ -7,7 +7,7 @@ bits, of covering radius 1, and a block's own threshold is 0, so a node goes to
 overlapping blocks there are as many as make two sets of similarity 0.8 meet with a probability of 1 - ``MISS``. Nodes of
 one anchor are candidates if their bits are near; every candidate is decided on the whole sets.
 
-Candidates are taken in two steps. First every node gets the nearest node, by 256 bits, of each of its anchors, which
+Candidates are taken in two steps. First every node gets the nearest node, by 512 bits, of each of its anchors, which
 makes a number of pairs in proportion to the nodes and joins groups of copies. After that all candidates are taken of
 nodes that are not in one component yet, compared by 2,048 bits, so that few have less than the similarity wanted: a large
 group of copies never gives all its pairs.
@@ -30,8 +30,8 @@ from .components import components
 from .shingles import SEED, bit_counts, shingle_hashes
 
 SIMILARITY = 0.8
-#: 64-bit words of a fingerprint, how many of them nearest nodes are compared by, and how many the rest.
-WORDS, CHECKED, WIDE = 8, 4, 32
+#: 64-bit words of a fingerprint, and of the wider one by which the rest are compared.
+WORDS, WIDE = 8, 32
 CODE_BITS = 15
 #: A cell holds its block above so many bits.
 BLOCK_SHIFT = 40
@@ -41,7 +41,7 @@ MISS = 2e-4
 ANCHOR_NODES = 256
 #: Nodes of one anchor that one task compares all with all; larger anchors are dealt out.
 CELL_ROWS = 4096
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 17
 ROWS_AT_ONCE = 1 << 16
 #: Texts that are found again by broadcasting their names; more are joined by shuffling.
 BROADCAST_NAMES = 2_000_000
@@ -162,7 +162,7 @@ def _deal(nodes: DataFrame, blocks: np.ndarray, words: int) -> DataFrame:
 
 
 def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of rows of whole groups in order, each in the first block in which it meets; with ``nearest`` each row's nearest in each."""
+    """Near pairs of rows of whole groups in order, each in the first block in which it meets; with ``nearest`` only where one is the other's nearest."""
     starts = runs(cell, sub)
     size = np.diff(np.append(starts, len(cell)))
     group = np.repeat(np.arange(len(starts)), size)
@@ -171,7 +171,7 @@ def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: fl
     guests = np.bincount(group[~home], minlength=len(starts))[group]
     i = np.flatnonzero(home)
     words = np.ascontiguousarray(bits).view(np.uint64)
-    first = np.ascontiguousarray(words[:, :CHECKED])
+    first = np.ascontiguousarray(words[:, :WORDS])
     best = np.full(len(node), np.iinfo(np.int64).max)
 
     def nearby(a, b, words):
@@ -179,25 +179,30 @@ def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: fl
         near = np.flatnonzero((apart <= bit_limit(similarity, words.shape[1])) & (root[a] != root[b]))
         return a[near], b[near], apart[near]
 
+    def once(a, b):
+        """The pairs that meet in no block before this one."""
+        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        cells = np.concatenate([cells_of(bits[rows[k : k + 256], : 8 * WORDS], blocks) for k in range(0, len(rows), 256)])
+        for k in range(0, len(a), 4096):
+            x, y = at[: len(a)][k : k + 4096], at[len(a) :][k : k + 4096]
+            own = (cells[x] == cells[y]).argmax(axis=1) == cell[a[k : k + 4096]] >> BLOCK_SHIFT
+            yield node[a[k : k + 4096][own]], node[b[k : k + 4096][own]]
+
     # Homes meet the guests, which come first, and the rows beyond those of their own root.
     for start, count in ((starts[group][i], guests[i]), (run_end[i], (starts + size)[group][i] - run_end[i])):
         for owner, b in spread(start, count, PAIRS_AT_ONCE):
             a, b, apart = nearby(i[owner], b, first)
-            if words.shape[1] > CHECKED and len(a):
+            if words.shape[1] > WORDS and len(a):
                 a, b, apart = nearby(a, b, words)
             if nearest:
                 np.minimum.at(best, a, apart << 32 | b)
                 np.minimum.at(best, b, apart << 32 | a)
             elif len(a):
-                rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                cells = np.concatenate([cells_of(bits[rows[k : k + 256], : 8 * WORDS], blocks) for k in range(0, len(rows), 256)])
-                for k in range(0, len(a), 4096):
-                    x, y = at[: len(a)][k : k + 4096], at[len(a) :][k : k + 4096]
-                    own = (cells[x] == cells[y]).argmax(axis=1) == cell[a[k : k + 4096]] >> BLOCK_SHIFT
-                    yield node[a[k : k + 4096][own]], node[b[k : k + 4096][own]]
+                yield from once(a, b)
     found = np.flatnonzero(best < np.iinfo(np.int64).max)
     if len(found):
-        yield node[found], node[best[found] & 0xFFFFFFFF]
+        # In the first block in which a node has a candidate, its nearest is one that it meets there first.
+        yield from once(found, best[found] & 0xFFFFFFFF)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, similarity: float, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -252,7 +257,7 @@ def candidates(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bo
     any two of different roots meet.
     """
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _deal(nodes, blocks, CHECKED if nearest else WIDE)
+    dealt = _deal(nodes, blocks, WORDS if nearest else WIDE)
     if hot.isEmpty():
         placed = dealt.withColumns({"sub": F.lit(0), "home": F.lit(True)})
     else:
