@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+try:
+    import yaml
+except ImportError:
+    yaml = None
+
 MB = 1024**2
 
 
@@ -66,6 +71,8 @@ class EvalConfig:
     span: tuple[int, int] = (16, 128)
     span_margin: tuple[int, int] = (32, 160)
     timeout_s: float = 3.0
+    downloads_at_once: int = 64
+    programs_at_once: int = 24
     cceval_max_tokens: int = 2048
     performance_tokens: tuple[int, int] = (2048, 4096)
 
@@ -115,3 +122,11 @@ class Config:
         if unknown := set(values) - set(parts):
             raise ValueError(f"unknown sections: {sorted(unknown)}")
         return cls(**{name: parts[name](**section) for name, section in values.items()})
+
+    @classmethod
+    def from_yaml(cls, path: str) -> Config:
+        """The settings of a YAML file on the driver; an empty file gives the defaults."""
+        if yaml is None:
+            raise ImportError("reading YAML needs the package yaml")
+        with open(path, encoding="utf-8") as f:
+            return cls.from_mapping(yaml.safe_load(f) or {})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What ends a line, as in str.splitlines().
@@ -102,3 +102,28 @@ def uniform(key: Column, salt: int) -> Column:
 def draw_between(key: Column, salt: int, low: Column, high: Column) -> Column:
     """A whole number from ``low`` to ``high``, both included; the low bits of a draw take no part."""
     return low + F.floor(draw(key, salt) / 65536) % (high - low + 1)
+
+
+#: Rows that one task numbers, about.
+RANGE_ROWS = 1_000_000
+
+
+def numbered(df: DataFrame, by: list[str], order_col: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` and ``name``: the row's number from 0 within ``by`` in order of a numeric column that is unique there.
+
+    Ranges of the column, cut at its approximate quantiles, are numbered side by side, so a group of any size is
+    spread over tasks. A row's number is its rank in its range plus its group's rows in the ranges before.
+    """
+    if parts is None:
+        parts = max(64, min(10_000, df.count() // RANGE_ROWS))
+    cuts = df.agg(F.percentile_approx(order_col, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(order_col))))
+    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    # Without groups there are at most ``parts`` rows of counts.
+    before = before if by else F.broadcast(before)
+    rank = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order_col)) - 1
+    joined = ranged.withColumn("__at", rank).join(before, [*by, "__range"])
+    return joined.select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -24,34 +24,40 @@ def sample_text(completion: DataFrame | None = None, infilling: DataFrame | None
     return out.distinct()
 
 
-def _exploded(df: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` and ``at``, the words of each n-gram and their 64-bit key; words are split once a row."""
-    w = df.select(*keep, T.words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
-    return w.select(*keep, "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("i")).select(*keep, F.slice("w", F.col("i"), n).alias("gram"))
+def _grams(w: Column, n: int, of) -> Column:
+    """``of`` each run of ``n`` words of an array of at least as many."""
+    return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: of(F.slice(w, i, n)))
 
 
 def ngram_index(texts: DataFrame, n: int = 10, text_col: str = "text") -> DataFrame:
     """Distinct n-grams ``ngram`` (words joined by one space) of all texts."""
-    return _exploded(texts, n, [], text_col).select(F.array_join("gram", " ").alias("ngram")).distinct()
+    w = texts.select(T.words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
+    return w.select(F.explode(_grams(F.col("w"), n, lambda x: F.array_join(x, " "))).alias("ngram")).distinct()
 
 
-def contaminated(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text") -> DataFrame:
+def _keyed(df: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` and ``key``, the 64-bit key of each n-gram: words are hashed once, and runs of their hashes again."""
+    w = df.select(*keep, F.transform(T.words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
+    return w.select(*keep, F.explode(_grams(F.col("h"), n, lambda x: F.xxhash64(x))).alias("key"))
+
+
+def contaminated(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text", broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
     """Distinct ``id_col`` of documents that share a word n-gram with the evaluation texts.
 
     N-grams are of the whole content. Documents are matched by 64-bit keys, which travel
     well; the few that match are checked against the n-grams themselves.
     """
-    index = ngram_index(texts, n, eval_text_col)
-    keys = index.select(F.xxhash64(F.split("ngram", " ")).alias("key")).distinct()
-    # The index must be counted to know how it may be joined; it is the small side by far.
-    if index.count() <= BROADCAST_NGRAMS:
+    keys = _keyed(texts, n, [], eval_text_col).distinct()
+    # A bound of the index, counted without making it, says how it may be joined.
+    most = texts.agg(F.sum(F.greatest(F.size(T.words(F.col(eval_text_col))) - (n - 1), F.lit(0)))).first()[0] or 0
+    if most <= broadcast_ngrams:
         keys = F.broadcast(keys)
-    hit = _exploded(docs, n, [id_col], text_col).select(id_col, F.xxhash64("gram").alias("key"))
-    # By struct, so that rows without an id are matched too.
-    near = hit.join(keys, "key", "left_semi").select(id_col).distinct()
-    suspects = docs.select(id_col, text_col).join(near.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    exact = _exploded(suspects, n, [id_col], text_col).select(id_col, F.array_join("gram", " ").alias("ngram"))
-    return exact.join(index, "ngram", "left_semi").select(id_col).distinct()
+    near = _keyed(docs, n, [id_col], text_col).join(keys, "key", "left_semi").select(F.col(id_col).alias("__id")).distinct()
+    # By <=>, so that rows without an id are matched too.
+    suspects = docs.select(id_col, text_col).join(near, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    w = suspects.select(id_col, T.words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
+    exact = w.select(id_col, F.explode(F.array_distinct(_grams(F.col("w"), n, lambda x: F.array_join(x, " ")))).alias("ngram"))
+    return exact.join(ngram_index(texts, n, eval_text_col), "ngram", "left_semi").select(id_col).distinct()
 
 
 def decontaminate(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text") -> DataFrame:

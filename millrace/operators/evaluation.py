@@ -63,22 +63,48 @@ def check_program(prompt: Column, completion: Column, suffix: Column, test: Colu
     return F.concat(prompt, completion, suffix, F.lit("\n"), test, F.lit("\n"), F.lit("check("), entry_point, F.lit(")"))
 
 
-def _stats(value: Column, name: str, keep: Column) -> list[Column]:
-    """Mean, median, deviation and 99th percentile in milliseconds; 0 where there is no value."""
-    v = F.when(keep, value)
-    return [F.coalesce(f * 1000, F.lit(0.0)).alias(f"{kind}_{name}_ms") for kind, f in (("mean", F.avg(v)), ("median", F.median(v)), ("std", F.stddev_pop(v)), ("p99", F.percentile(v, 0.99)))]
+#: Accuracy of the first pass of exact percentiles: the second looks at a few rows in so many.
+BRACKET = 10_000
+
+
+def exact_percentiles(values: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """``by`` and ``p0, p1, ...``: the interpolated percentiles of the column ``value`` (not null) by group, of which there are few.
+
+    Approximate percentiles a little below and above bracket each one; values below the bracket are only counted,
+    and only those inside are put in order, so no task holds a group's values.
+    """
+    slack = 4.0 / BRACKET
+    edges = [min(max(x, 0.0), 1.0) for q in shares for x in (q - slack, q + slack)]
+    first = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"), F.percentile_approx("value", edges, BRACKET).alias("__edges"))
+    # Few values are all inside: the slack is less than a rank there.
+    few = F.col("__n") <= 5 * BRACKET
+    low = [F.when(few, F.col("__least")).otherwise(F.col("__edges")[2 * k]).alias("low") for k in range(len(shares))]
+    high = [F.when(few, F.col("__most")).otherwise(F.col("__edges")[2 * k + 1]).alias("high") for k in range(len(shares))]
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("__n") - 1)).alias("spot"), low[k], high[k]) for k, q in enumerate(shares)])
+    asked = first.select(*by, F.inline(wanted))
+    match = [F.col(f"v.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
+    met = values.alias("v").join(F.broadcast(asked).alias("a"), match) if by else values.alias("v").crossJoin(F.broadcast(asked).alias("a"))
+    keys = [*[F.col(f"a.{c}").alias(c) for c in by], "a.k", "a.spot"]
+    counted = met.where("value <= high").select(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).groupBy(*by, "k", "spot", "value").agg(F.count("*").alias("m"))
+    order = Window.partitionBy(*by, "k").orderBy(F.col("value").asc_nulls_first())
+    placed = counted.withColumn("upto", F.sum("m").over(order)).where(F.col("value").isNotNull())
+    floor, ceil = F.floor("spot"), F.ceil("spot")
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    found = placed.groupBy(*by, "k", "spot").agg(at(floor).alias("a"), at(ceil).alias("b"))
+    value = F.when(floor == ceil, F.col("a")).otherwise((ceil - F.col("spot")) * F.col("a") + (F.col("spot") - floor) * F.col("b"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"p{k}") for k in range(len(shares))])
 
 
 def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
-    """Totals, throughputs and latency statistics of ``success, latency, ttft, itl, prompt_len, output_len``.
+    """Totals, throughputs and latency statistics of ``success, latency, ttft, itl, prompt_len, output_len``; statistics of nothing are 0.
 
-    Only successful requests count in latencies and output; time per output token needs more than one token. Gaps
-    are exploded once, their statistics taken apart and joined to the totals' handful of groups.
+    Only successful requests count in latencies and output; time per output token needs more than one token. Every
+    measured time is a row, its medians and percentiles come of :func:`exact_percentiles`, and all is joined
+    to the totals' handful of groups.
     """
     by = by or []
     ok = F.coalesce("success", F.lit(False))
     out_len = F.when(ok, F.col("output_len")).otherwise(0)
-    tpot = (F.col("latency") - F.col("ttft")) / (F.col("output_len") - 1)
     totals = responses.groupBy(*by).agg(
         F.count("*").alias("requests"),
         F.count_if(ok).alias("completed"),
@@ -87,15 +113,29 @@ def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | Non
         (F.count_if(ok) / duration_s).alias("request_throughput"),
         (F.sum("prompt_len") / duration_s).alias("input_throughput"),
         (F.sum(out_len) / duration_s).alias("output_throughput"),
-        *_stats(F.col("ttft"), "ttft", ok),
-        *_stats(tpot, "tpot", ok & (F.col("output_len") > 1)),
         (F.avg(F.when(ok, F.col("latency"))) * 1000).alias("avg_latency_ms"),
     )
-    gaps = responses.where(ok).select(*by, F.explode("itl").alias("gap")).groupBy(*by).agg(*_stats(F.col("gap"), "itl", F.lit(True)))
-    if not by:
-        return totals.crossJoin(F.broadcast(gaps))  # one row each
-    joined = totals.join(gaps, by, "left")
-    return joined.fillna(0.0, [c for c in gaps.columns if c not in by])
+    times = ["ttft", "tpot", "itl"]
+    tpot = F.when(F.col("output_len") > 1, (F.col("latency") - F.col("ttft")) / (F.col("output_len") - 1))
+    one = lambda name, value: F.struct(F.lit(name).alias("time"), value.cast("double").alias("value"))
+    measured = F.concat(F.array(one("ttft", F.col("ttft")), one("tpot", tpot)), F.transform(F.coalesce("itl", F.array().cast("array<double>")), lambda x: one("itl", x)))
+    values = responses.where(ok).select(*by, F.inline(measured)).where("value is not null")
+    keys = [*by, "time"]
+    plain = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    joined = plain.alias("x").join(exact_percentiles(values, keys, [0.5, 0.99]).alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+    kinds = {"mean": "mean", "median": "p0", "std": "std", "p99": "p1"}
+    wide = joined.select(*[F.col(f"x.{c}").alias(c) for c in keys], *kinds.values()).groupBy(*by).agg(*[F.max(F.when(F.col("time") == t, F.col(c))).alias(f"{k}_{t}_ms") for t in times for k, c in kinds.items()])
+    if by:
+        out = totals.alias("t").join(wide.alias("w"), [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by], "left")
+    else:
+        out = totals.alias("t").crossJoin(F.broadcast(wide).alias("w"))  # one row each
+    return out.select("t.*", *[F.coalesce(F.col(f"w.{k}_{t}_ms") * 1000, F.lit(0.0)).alias(f"{k}_{t}_ms") for t in times for k in kinds])
+
+
+def assemble(one: DataFrame, two: DataFrame, metrics: list[str]) -> DataFrame:
+    """Rows of the modes that both result tables have, with the metrics of both, two decimals cut toward zero."""
+    both = one.join(two, "mode")
+    return both.select("mode", *[T.truncate_2dp(F.col(m)).alias(m) for m in metrics])
 
 
 def gaps_from_chunks(chunks: DataFrame) -> DataFrame:

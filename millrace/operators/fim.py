@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import config as C
 from millrace.functions import text as T
+from millrace.functions.tokenizer import DefaultTokenizer
 
 QWEN = C.SENTINELS["qwen"]
 
@@ -52,6 +53,13 @@ def split_tokens(df: DataFrame, tokens: Column, key: Column, cfg: C.FimConfig =
     return cut.withColumns({"prefix": F.slice(t, 1, a), "middle": F.slice(t, a + 1, b - a), "suffix": F.slice(t, b + 1, F.size(t) - b)}).drop("__tokens", "__a", "__b")
 
 
+def split_token_text(df: DataFrame, text: Column, key: Column, tokenizer=None, cfg: C.FimConfig = C.FimConfig()) -> DataFrame:
+    """``df`` and the texts ``prefix, middle, suffix`` that the three runs of tokens decode to; null under ``skip_length`` tokens."""
+    tokenizer = tokenizer or DefaultTokenizer()
+    cut = split_tokens(df, tokenizer.encode(text), key, cfg)
+    return cut.withColumns({c: tokenizer.decode(F.col(c)) for c in ("prefix", "middle", "suffix")})
+
+
 def prompt_fim(prefix: Column, middle: Column, suffix: Column, s: C.Sentinels = QWEN) -> Column:
     """All that is known before the gap, then the suffix; the model goes on after the last mark."""
     return F.concat(F.lit(s.pre), prefix, middle, F.lit(s.suf), suffix, F.lit(s.mid))
@@ -99,6 +107,25 @@ def prompt_sfim(prefix: Column, middle: Column, suffix: Column, s: C.Sentinels =
     return prompt_function(F.concat(prefix, middle), F.lit(""), suffix, s)
 
 
+def register_prompts(spark: SparkSession, s: C.Sentinels = QWEN) -> None:
+    """``prompt_fim``, ``prompt_efim`` and ``prompt_sfim`` of prefix, middle and suffix as SQL functions of the session."""
+    mark = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pre, mid, suf = map(mark, (s.pre, s.mid, s.suf))
+    start, end = (rf"{_LINE_START}{_marks(m)}" for m in (C.START_MARKS, C.END_MARKS))
+    flat = "replace({}, '\\r\\n', '\\n')".format
+    begin = rf"length(regexp_extract(p, r\"(?sU)\A(.*){start}\", 1))".replace('\\"', '"')
+    stop = rf'r"(?sU)\A(.*?){end}"'
+    bodies = {
+        "prompt_fim": f"concat({pre}, prefix, middle, {suf}, suffix, {mid})",
+        "prompt_efim": f"concat({pre}, prefix, {suf}, suffix, {mid}, middle)",
+        "prompt_sfim": f"""(select concat({pre}, left(p, b), {suf}, substring(s, e + 1), {pre}, substring(p, b + 1), {suf}, left(s, e), {mid})
+            from (select p, s, {begin} as b, if(s rlike {stop}, length(regexp_extract(s, {stop}, 1)), length(s)) as e
+            from (select {flat('concat(prefix, middle)')} as p, {flat('suffix')} as s)))""",
+    }
+    for name, body in bodies.items():
+        spark.sql(f"create or replace temporary function {name}(prefix string, middle string, suffix string) returns string return {body}")
+
+
 def has_sentinel(text: Column, s: C.Sentinels = QWEN) -> Column:
     """Texts that hold a mark themselves cannot be taken apart again and are to be left out."""
     return F.contains(text, F.lit(s.pre)) | F.contains(text, F.lit(s.mid)) | F.contains(text, F.lit(s.suf))
@@ -174,16 +201,10 @@ def pad_batches(samples: DataFrame, order_col: str, cfg: C.FimConfig = C.FimConf
     return short.withColumns({"attention_mask": mask, "input_ids": pad("input_ids", cfg.pad_id), "labels": pad("labels", cfg.label_ignore)}).drop("__short", "row_number")
 
 
-def with_row_number(df: DataFrame, order_col: str, parts: int = 64) -> DataFrame:
+def with_row_number(df: DataFrame, order_col: str, parts: int | None = None) -> DataFrame:
     """``row_number`` from 0 in order of a unique numeric column, ranges of which are numbered side by side.
 
-    The column's approximate quantiles cut the ranges, so one pass over that column comes first; a row's number
-    is its rank in its range plus the rows of the ranges before, of which there are at most ``parts``.
+    The column's approximate quantiles cut the ranges, one for about ``RANGE_ROWS`` rows and 64 at least, so one
+    pass over that column comes first; a row's number is its rank in its range plus the rows of the ranges before.
     """
-    cuts = df.agg(F.percentile_approx(order_col, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(order_col))))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(order_col)) - 1
-    return ranged.withColumn("__at", rank).join(F.broadcast(before), "__range").withColumn("row_number", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+    return T.numbered(df, [], order_col, "row_number", parts)

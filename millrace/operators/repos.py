@@ -178,11 +178,16 @@ def bucket_topk(repos: DataFrame, k: int, tie: Column) -> DataFrame:
     return repos.where(F.col("bucket").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def scan_stop(repos: DataFrame, k: int, n_buckets: int, ordinal_col: str = "ordinal") -> DataFrame:
-    """One row: ``stop_ordinal``, at which every one of ``n_buckets`` buckets holds ``k`` repositories; null if that never comes."""
-    order = Window.partitionBy("bucket").orderBy(ordinal_col)
-    kth = repos.where(F.col("bucket").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    return kth.agg(F.when(F.count("*") == n_buckets, F.max(ordinal_col)).alias("stop_ordinal"))
+def scan_stop(repos: DataFrame, k: int, n_buckets: int, order_col: str = "ordinal") -> DataFrame:
+    """One row: ``stop_ordinal``, the number of repositories in order of a unique column up to where every one of ``n_buckets`` buckets holds ``k``; null if that never comes.
+
+    Only the first ``k`` of each bucket are ranked; the rest are counted up to the last of them.
+    """
+    order = Window.partitionBy("bucket").orderBy(order_col)
+    kth = repos.where(F.col("bucket").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where(F.col("rank") == k)
+    stop = kth.agg(F.when(F.count("*") == n_buckets, F.max(order_col)).alias("__stop"))
+    # One row.
+    return repos.crossJoin(F.broadcast(stop)).agg(F.when(F.max("__stop").isNotNull(), F.count_if(F.col(order_col) <= F.col("__stop"))).alias("stop_ordinal"))
 
 
 def postcheck(files: DataFrame, cfg: C.RepoConfig = C.RepoConfig()) -> DataFrame:

@@ -50,8 +50,17 @@ def cross_file_context(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(),
     )
     folder = T.dirname(F.col("path"))
     if literal_prefix:
+        # What begins with a folder's name lies together in order of path: the first of them are the neighbours wanted.
+        size = cfg.cross_top_files + 1
+        item = F.struct("path", "text", "length", "cost")
+        nexts = F.collect_list(item).over(Window.partitionBy("repo_name").orderBy("path").rowsBetween(0, size - 1))
+        lists = heads.select("repo_name", F.col("path").alias("at"), F.lit(1).alias("kind"), nexts.alias("nexts"))
+        folders = files.select("repo_name", folder.alias("at"), F.lit(0).alias("kind")).distinct().withColumn("nexts", F.lit(None).cast(lists.schema["nexts"].dataType))
+        ahead = Window.partitionBy("repo_name").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+        first = lists.unionByName(folders).withColumn("found", F.first("nexts", ignorenulls=True).over(ahead)).where("kind = 0")
+        below = first.select("repo_name", F.col("at").alias("folder"), F.inline("found")).where(F.startswith("path", F.col("folder")))
         asks = files.select("repo_name", F.col("path").alias("own"), folder.alias("folder"))
-        pairs = asks.join(heads, "repo_name").where((F.col("path") != F.col("own")) & F.startswith("path", F.col("folder")))
+        pairs = asks.join(below, ["repo_name", "folder"]).where(F.col("path") != F.col("own"))
         order = Window.partitionBy("repo_name", "own").orderBy("path")
         ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.cross_top_files)
     else:
@@ -95,6 +104,12 @@ def corpus_metrics(samples: DataFrame) -> DataFrame:
     return samples.agg(*aggs)
 
 
+def repo_totals(samples: DataFrame) -> DataFrame:
+    """Samples by repository, and one row ``overall`` of all of them."""
+    name = F.when(F.grouping("repo_name") == 1, F.lit("overall")).otherwise(F.col("repo_name"))
+    return samples.rollup("repo_name").agg(name.alias("repo"), F.count("*").alias("samples")).select("repo", "samples")
+
+
 def intra_cross_ratio(samples: DataFrame) -> DataFrame:
     """Tokens of contents and of what cross-file prompts put before them, and the former's percentage."""
     head, _ = cross_file_prompt()
@@ -119,10 +134,10 @@ def sample_without_replacement(df: DataFrame, n: int, key: Column, salt: int, by
 def sample_with_replacement(df: DataFrame, n: int, by: str, key: str, salt: int, seed: Column) -> DataFrame:
     """Where a group ``by`` has more than ``n`` rows, ``n`` draws with replacement (column ``draw`` from 0); else every row once.
 
-    ``seed`` is a whole number that a group's rows share. Rows are numbered by ``key``; only the small group
-    sizes are multiplied by ``n``, and each row travels once.
+    ``seed`` is a whole number that a group's rows share. Rows are numbered by ``key``, a large group in many tasks; only
+    the small group sizes are multiplied by ``n``.
     """
-    numbered = df.withColumn("__at", F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1)
+    numbered = T.numbered(df, [by], key, "__at")
     sizes = df.groupBy(by).agg(F.count("*").alias("__size"), F.min(seed).alias("__seed"))
     large = sizes.where(F.col("__size") > n).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = large.select(by, "draw", (F.floor(T.draw(F.col("__seed") + 7919 * F.col("draw"), salt) / 65536) % F.col("__size")).alias("__at"))

@@ -11,8 +11,6 @@ from pyspark.sql import types as st
 
 from millrace.functions import text as T
 
-BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
-
 
 def check_language(language: str) -> None:
     if language.strip().lower() != "python":
@@ -110,6 +108,11 @@ def middle_rounds(df: DataFrame, rounds: int = 5) -> DataFrame:
     return df.select("*", F.posexplode(growing(F.col("middle"), rounds)).alias("round", "__middle")).withColumn("middle", F.col("__middle")).drop("__middle")
 
 
+def function_rounds(df: DataFrame, text_col: str = "text", rounds: int = 5) -> DataFrame:
+    """One row per round of a split at a function, the middle growing to the whole."""
+    return middle_rounds(split_functions(df, text_col), rounds)
+
+
 def line_split(text: Column, at: Column) -> Column:
     """``struct(before, current, after)`` of the line ``at``, from 0; the parts around it end in a newline."""
     lines = T.split_lines(text)

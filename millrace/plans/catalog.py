@@ -103,8 +103,17 @@ def shortlist_sort(spark, d):
 
 @query
 def buckets_parsed(spark, d):
-    rows = [(i, *b) for i, b in enumerate(repos.parse_buckets(C.RepoConfig().buckets))]
-    return spark.createDataFrame(rows, "bucket int, lo int, hi int, quota int")
+    """Documents by size bucket, the buckets parsed from their text form."""
+    parsed = repos.parse_buckets(["0.0009765625-0.00390625:1", "0.00390625-0.03125:2", "0.03125-1:4"])
+    buckets = spark.createDataFrame([(i, *b) for i, b in enumerate(parsed)], "bucket int, lo int, hi int, quota int")
+    sized = repos.bucket_join(V.table(spark, d, "documents").select("doc_id", "n_chars"), buckets, "n_chars").where("bucket is not null")
+    return sized.groupBy("bucket", "lo", "hi", "quota").agg(F.count("*").alias("documents"))
+
+
+@query
+def junk_names(spark, d):
+    names = V.table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("/"), F.lower(F.regexp_extract("text", r"^(\w+)", 1)), F.lit("-"), F.when(F.col("doc_id") % 3 == 0, "Demo").when(F.col("doc_id") % 3 == 1, "demonstrate").otherwise("x_TUTORIAL.v2")).alias("name"))
+    return names.select("doc_id", repos.is_junk_name(F.col("name")).alias("junk"), F.concat_ws(" ", repos.name_tokens(F.col("name"))).alias("tokens"))
 
 
 @query
@@ -130,11 +139,7 @@ def bucket_topk(spark, d):
 
 @query
 def scan_early_stop(spark, d):
-    from pyspark.sql import Window
-
-    # Repositories, not files: a number each in order of name.
-    numbered = _scored(spark, d).withColumn("ordinal", F.row_number().over(Window.orderBy("repo_name")))
-    return repos.scan_stop(numbered, 2, len(V.BUCKETS))
+    return repos.scan_stop(_scored(spark, d), 2, len(V.BUCKETS), "repo_name")
 
 
 @query
@@ -171,6 +176,20 @@ def corpus_metrics(spark, d):
     return m.select(*[_r(c) if c.startswith("average") else F.col(c) for c in m.columns])
 
 
+@query
+def filtered_metrics(spark, d):
+    """Corpus metrics of the samples that share no n-gram with the benchmark."""
+    files = V.repo_files(spark, d).select("doc_id", "repo_name", "path", "content")
+    clean = D.decontaminate(files, V.table(spark, d, "benchmark"), text_col="content")
+    m = samples.corpus_metrics(samples.truncate_samples(clean))
+    return m.select(*[_r(c) if c.startswith("average") else F.col(c) for c in m.columns])
+
+
+@query
+def repo_sample_totals(spark, d):
+    return samples.repo_totals(samples.truncate_samples(V.repo_files(spark, d).select("repo_name", "path", "content")))
+
+
 @query
 def token_band(spark, d):
     n = T.count_tokens(F.col("text"))
@@ -203,8 +222,7 @@ def fim_character(spark, d):
 
 @query
 def fim_token(spark, d):
-    cut = fim.split_tokens(V.documents(spark, d).select("doc_id", "text"), T.encode(F.col("text")), F.col("doc_id")).where("prefix is not null")
-    return cut.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("prefix", "middle", "suffix")])
+    return fim.split_token_text(V.documents(spark, d).select("doc_id", "text"), F.col("text"), F.col("doc_id")).select("doc_id", "prefix", "middle", "suffix")
 
 
 @query
@@ -260,7 +278,12 @@ def function_split(spark, d):
 @query
 def rounds_efim(spark, d):
     out = splitter.efim_rounds(V.documents(spark, d).select("doc_id", "text"), "text")
-    return out.select("doc_id", "round", F.length("prefix").alias("prefix_len"), "middle", "suffix")
+    return out.select("doc_id", "round", "prefix", "middle", "suffix")
+
+
+@query
+def rounds_function(spark, d):
+    return splitter.function_rounds(V.code(spark, d)).select("doc_id", "round", "prefix", "middle", "suffix")
 
 
 @query
@@ -314,6 +337,56 @@ def pass_at_k(spark, d):
     return E.task_pass(V.completions(spark, d), [1, 2]).select("task_id", "n", "c", _r("pass_at_1"), _r("pass_at_2"))
 
 
+@query
+def pass_at_k_mean(spark, d):
+    return E.pass_at_k(V.completions(spark, d), [1, 2]).select(_r("pass_at_1"), _r("pass_at_2"))
+
+
+@query
+def problem_dictionary(spark, d):
+    return E.problem_dictionary(V.completions(spark, d), "completion_id").select("task_id", "completion_id", "completion")
+
+
+@query
+def join_problems(spark, d):
+    """Completions with the first and the last turn of their own task."""
+    rows = V.completions(spark, d)
+    last = E.problem_dictionary(rows, "completion_id").select("task_id", F.col("role").alias("last_role"), F.col("completion").alias("last_text"))
+    return E.join_problems(rows.select("task_id", "completion_id", "role"), last).select("task_id", "completion_id", "role", "last_role", "last_text")
+
+
+@query
+def unattempted(spark, d):
+    return E.unattempted(V.table(spark, d, "documents").select(F.col("doc_id").alias("task_id")), V.completions(spark, d))
+
+
+@query
+def attach_results(spark, d):
+    rows = V.completions(spark, d)
+    ran = rows.where(F.length("completion") % 3 != 0).select("task_id", "completion_id", "passed", F.when(F.col("passed"), "passed").otherwise("failed").alias("result"))
+    return E.attach_results(rows.select("task_id", "completion_id", "role"), ran).select("task_id", "completion_id", "role", "passed", "result")
+
+
+@query
+def completion_ordinal(spark, d):
+    rows = V.table(spark, d, "conversations").select(F.col("conv_id").alias("task_id"), (F.col("turn") * 10 + 3).alias("arrived"))
+    return E.with_completion_ordinal(rows, "arrived").select("task_id", "arrived", "completion_id")
+
+
+@query
+def replicate(spark, d):
+    return samples.replicate(V.table(spark, d, "benchmark"), 3).select("item_id", "text", "completion_id")
+
+
+@query
+def assembled_results(spark, d):
+    """Two result tables by mode, joined: latencies of requests, and lengths of what was asked and answered."""
+    rows = V.requests(spark, d)
+    one = rows.groupBy("mode").agg(F.avg("latency").alias("latency"), (100 * F.avg(F.col("success").cast("int"))).alias("success"))
+    two = rows.where("success").groupBy("mode").agg(F.avg("prompt_len").alias("asked"), F.avg("output_len").alias("answered"))
+    return E.assemble(one, two, ["latency", "success", "asked", "answered"])
+
+
 @query
 def levenshtein_similarity(spark, d):
     plain = V.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))

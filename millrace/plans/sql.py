@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.config import JUNK_TOKENS
+
 FILES = """
 files as (select d.doc_id, concat(lang, '/', source) as repo_name,
     concat(case (d.doc_id // 20) % 4 when 0 then 'src' when 1 then 'tests' when 2 then 'docs' else 'pkg' end, '/f', d.doc_id, case when (d.doc_id // 20) % 5 = 0 then '.md' else '.py' end) as path,
@@ -19,6 +21,7 @@ def n_tokens(x: str) -> str:
     return f"len({tokens(x)})"
 
 
+SPANS = r"regexp_extract_all(text, '\s*(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s])|\s+$')"
 STATS = (
     FILES
     + f""",
@@ -82,7 +85,7 @@ ORACLE_SQL: dict[str, str] = {
     "postcheck_repo": f"with {FILES} select repo_name, sum(length_bytes)::bigint as total_bytes, coalesce(sum(length_bytes) filter (path like '%.py'), 0)::bigint as py_bytes, coalesce(sum(length_bytes) filter (path like '%.py'), 0) >= 2048 and coalesce(sum(length_bytes) filter (path like '%.py'), 0) / sum(length_bytes) >= 0.55 as passed from files group by 1",
     "owner_counts": f"with {STATS} select owner, count(*) as repos from admitted group by 1",
     "shortlist_sort": f"with {STATS} select repo_name, bucket, row_number() over (partition by bucket order by score desc, repo_name) as rank from admitted",
-    "buckets_parsed": "select * from (values (0, 524288, 1048576, 10485760), (1, 1048576, 5242880, 52428800), (2, 5242880, 15728640, 52428800)) t(bucket, lo, hi, quota)",
+    "buckets_parsed": "select bucket, lo, hi, quota, count(*) as documents from documents join (values (0, 1024, 4096, 1048576), (1, 4096, 32768, 2097152), (2, 32768, 1048576, 4194304)) t(bucket, lo, hi, quota) on n_chars >= lo and n_chars < hi group by all",
     "repo_stats": f"with {STATS} select repo_name, owner, has_src, total_bytes, core_bytes, core_py_bytes, core_py_files, eligible_files, round(core_py_ratio, 6) as core_py_ratio from stats",
     "repo_score": f"with {STATS} select repo_name, round(score, 6) as score, concat_ws(' ;', 'core_ratio=' || printf('%.2f', core_py_ratio), case when core_py_files >= 40 then 'core_py>=40' when core_py_files >= 25 then 'core_py>=25' end, case when has_src then 'src/lib' end) as reason from scored",
     "repo_bucket": f"with {STATS} select repo_name, total_bytes, bucket, lo, hi from scored left join (values (0, 1000, 10000), (1, 10000, 50000), (2, 50000, 2000000)) b(i, lo, hi) on bucket = i",
@@ -98,6 +101,12 @@ ORACLE_SQL: dict[str, str] = {
         kept as (select least(n, greatest(2040 - heads, 0)) as content_length, least(n, greatest(2040 - heads, 0)) + heads as total_length from sized where least(n, greatest(2040 - heads, 0)) >= 128)
         select count(*) as total_count, sum(content_length)::bigint as content_length, min(content_length) as min_content_length, max(content_length) as max_content_length, round(avg(content_length), 6) as average_content_length,
           sum(total_length)::bigint as total_length, min(total_length) as min_total_length, max(total_length) as max_total_length, round(avg(total_length), 6) as average_total_length from kept""",
+    "filtered_metrics": f"""with {FILES}, {HITS}, sized as (select *, {n_tokens('repo_name')} + {n_tokens('path')} + 4 as heads, {n_tokens('content')} as n from files where doc_id not in (select doc_id from hits) and length(content) between 50 and 1000000),
+        kept as (select least(n, greatest(2040 - heads, 0)) as content_length, least(n, greatest(2040 - heads, 0)) + heads as total_length from sized where least(n, greatest(2040 - heads, 0)) >= 128)
+        select count(*) as total_count, sum(content_length)::bigint as content_length, min(content_length) as min_content_length, max(content_length) as max_content_length, round(avg(content_length), 6) as average_content_length,
+          sum(total_length)::bigint as total_length, min(total_length) as min_total_length, max(total_length) as max_total_length, round(avg(total_length), 6) as average_total_length from kept""",
+    "repo_sample_totals": f"""with {FILES}, sized as (select repo_name, {n_tokens('repo_name')} + {n_tokens('path')} + 4 as heads, {n_tokens('content')} as n from files where length(content) between 50 and 1000000)
+        select coalesce(repo_name, 'overall') as repo, count(*) as samples from sized where least(n, greatest(2040 - heads, 0)) >= 128 group by rollup (repo_name)""",
     "token_band": f"with {DOCS}, s as (select doc_id, {n_tokens('text')} as tokens from docs) select doc_id, tokens, tokens < 2048 as short, tokens > 2048 and tokens < 4096 as long from s where tokens < 2048 or (tokens > 2048 and tokens < 4096)",
 }
 
@@ -118,15 +127,15 @@ ORACLE_SQL |= {
         s as (select sum({n_tokens('f.content')})::bigint as intra_tokens, sum({n_tokens("'<|repo_name|>' || f.repo_name || chr(10) || cfc || '<|file_sep|>' || f.path || chr(10)")})::bigint as cross_tokens from files f join joined using (repo_name, path))
         select intra_tokens, cross_tokens, round(100.0 * intra_tokens / (intra_tokens + cross_tokens), 6) as intra_percent from s""",
     "fim_character": f"with {DOCS}, t as (select * from docs), {CUT} select t.doc_id, case when b is null then t.text else '{PRE}' || t.text[1:a] || '{SUF}' || t.text[b + 1:] || '{MID}' || t.text[a + 1:b] end as prompt from t left join c2 using (doc_id)",
-    "fim_token": f"with {DOCS}, t as (select doc_id, {tokens('text')} as w, len({tokens('text')}) as n from docs), {CUT} select doc_id, array_to_string(w[1:a], ' ') as prefix, array_to_string(w[a + 1:b], ' ') as middle, array_to_string(w[b + 1:], ' ') as suffix from c2",
+    "fim_token": f"with {DOCS}, t as (select doc_id, {SPANS} as w, len({SPANS}) as n from docs), {CUT} select doc_id, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:], '') as suffix from c2 union all select doc_id, null, null, null from t where n < 10",
     "mode_router": f"select doc_id, case when ({draw('doc_id', 3)}) / 2147483648.0 < 0.5 then 'sfim' when ({draw('doc_id', 3)}) / 2147483648.0 < 0.8 then 'fim' else 'l2r' end as mode from documents",
     "label_mask": f"with {DOCS}, t as (select doc_id, list_transform({tokens('text')}, lambda x: length(x) + 1000) as ids from docs), l as (select doc_id, ids, coalesce(list_position(ids, 1012), 0) as spot from t) select doc_id, array_to_string(list_transform(ids, lambda x, i: case when i <= spot then -100 else x end), ',') as labels from l",
-    "pad_batch": f"""with {DOCS}, t as (select doc_id, list_transform({tokens('text')}, lambda x: length(x) + 1000) as ids, row_number() over (order by doc_id) - 1 as r from docs where n <= 500),
+    "pad_batch": f"""with {DOCS}, t as (select doc_id, list_transform({tokens('text')}, lambda x: length(x) + 1000) as ids, row_number() over (order by doc_id) - 1 as r from docs),
         b as (select *, r // 4 as batch_id, max(len(ids)) over (partition by r // 4) as m from t)
         select doc_id, batch_id, array_to_string(list_concat(ids, list_transform(range(0, m - len(ids)), lambda x: 0)), ',') as input_ids, array_to_string(list_concat(ids, list_transform(range(0, m - len(ids)), lambda x: -100)), ',') as labels, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(0, m - len(ids)), lambda x: 0)), ',') as attention_mask from b""",
     "prompt_fim": f"with {DOCS}, {THIRDS} select doc_id, '{PRE}' || prefix || middle || '{SUF}' || suffix || '{MID}' as prompt from p",
     "prompt_efim": f"with {DOCS}, {THIRDS} select doc_id, '{PRE}' || prefix || '{SUF}' || suffix || '{MID}' || middle as prompt from p",
-    "rounds_efim": f"with {DOCS}, r as (select *, unnest(range(0, 5)) as round, n // 2 as h from docs) select doc_id, round, length(text[1:h // 7]) as prefix_len, text[h // 7 + 1:floor(h / 7 * (round + 2))::bigint] as middle, text[h + 1:] as suffix from r",
+    "rounds_efim": f"with {DOCS}, r as (select *, unnest(range(0, 5)) as round, n // 2 as h from docs) select doc_id, round, text[1:h // 7] as prefix, text[h // 7 + 1:floor(h / 7 * (round + 2))::bigint] as middle, text[h + 1:] as suffix from r",
     "rounds_k_parts": f"with {DOCS}, {THIRDS}, r as (select *, length(middle) as m, unnest(range(2, 7)) as i from p) select doc_id, i - 2 as round, middle[1:i * (m // 6) + least(i, m % 6)] as middle from r",
     "ground_truth_span": f"""with {DOCS}, t as (select *, {between('doc_id', 1, '16', '128')} as size, {between('doc_id', 2, '32', 'n - 160')} as b from docs where n >= 192), u as (select *, {between('doc_id', 3, '1', 'b - 1')} as c from t)
         select doc_id, text[1:c] as prefix, text[c + 1:b] as typed, text[b + 1:b + size] as groundtruth, text[b + size + 1:] as suffix from u""",
@@ -137,7 +146,21 @@ ORACLE_SQL |= {
     "exact_match": f"with {COMP} select a.role, count(*) as count, round(100 * avg((a.completion = b.completion)::int), 6) as em from comp a join comp b on a.task_id = b.task_id and b.completion_id = a.completion_id + 1 group by 1",
     "pass_at_k": f"""with {COMP}, s as (select task_id, count(*) as n, count(*) filter (passed) as c from comp group by 1)
         select task_id, n, c, round(case when c = 0 then 0 when n - c < 1 then 1 else 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 1.0 / i)) end, 6) as pass_at_1, round(case when c = 0 then 0 when n - c < 2 then 1 else 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 2.0 / i)) end, 6) as pass_at_2 from s""",
-    "levenshtein_similarity": "with t as (select conv_id, turn, left(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), 200) as t from conversations) select a.conv_id, a.turn, round(case when greatest(length(a.t), length(b.t)) = 0 then 1 else 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) end, 6) as similarity from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1",
+    "pass_at_k_mean": f"""with {COMP}, s as (select task_id, count(*) as n, count(*) filter (passed) as c from comp group by 1),
+        p as (select n, case when c = 0 then 0 when n - c < 1 then 1 else 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 1.0 / i)) end as a, case when c = 0 then 0 when n - c < 2 then 1 else 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 2.0 / i)) end as b from s)
+        select round(avg(a), 6) as pass_at_1, case when min(n) >= 2 then round(avg(b), 6) end as pass_at_2 from p""",
+    "problem_dictionary": f"with {COMP} select task_id, completion_id, completion from comp qualify row_number() over (partition by task_id order by completion_id desc) = 1",
+    "join_problems": f"with {COMP}, last as (select * from comp qualify row_number() over (partition by task_id order by completion_id desc) = 1) select c.task_id, c.completion_id, c.role, l.role as last_role, l.completion as last_text from comp c join last l on c.task_id = l.task_id",
+    "unattempted": "select doc_id as task_id from documents where doc_id not in (select conv_id from conversations)",
+    "attach_results": f"with {COMP} select task_id, completion_id, role, case when length(completion) % 3 <> 0 then passed end as passed, case when length(completion) % 3 <> 0 then case when passed then 'passed' else 'failed' end end as result from comp",
+    "completion_ordinal": "select conv_id as task_id, turn * 10 + 3 as arrived, row_number() over (partition by conv_id order by turn) - 1 as completion_id from conversations",
+    "replicate": "select item_id, text, completion_id from benchmark cross join range(0, 3) r(completion_id)",
+    "assembled_results": f"with {REQ} select mode, trunc(avg(latency) * 100) / 100.0 as latency, trunc(100 * avg(success::int) * 100) / 100.0 as success, trunc(avg(prompt_len) filter (success) * 100) / 100.0 as asked, trunc(avg(output_len) filter (success) * 100) / 100.0 as answered from req group by 1 having count(*) filter (success) > 0",
+    "junk_names": f"""with n as (select doc_id, concat(lower(regexp_extract(coalesce(text, ''), '^(\\w+)', 1)), '-', case doc_id % 3 when 0 then 'demo' when 1 then 'demonstrate' else 'x_tutorial.v2' end) as name from documents),
+        t as (select doc_id, list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda x: x <> '') as w from n),
+        u as (select doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) as w from t)
+        select doc_id, len(list_filter(w, lambda x: x in ({", ".join(f"'{x}'" for x in JUNK_TOKENS)}))) > 0 as junk, array_to_string(w, ' ') as tokens from u""",
+    "levenshtein_similarity": "with t as (select conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as t from conversations) select a.conv_id, a.turn, round(case when greatest(length(a.t), length(b.t)) = 0 then 1 else 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) end, 6) as similarity from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1",
     "check_program": f"with {COMP} select task_id, completion_id, 'p' || completion || 's' || chr(10) || 'assert ' || role || chr(10) || 'check(f' || task_id || ')' as program from comp",
     "success_filter": f"with {REQ} select mode, count(*) as requests, count(*) filter (success) as completed, sum(case when success then output_len else 0 end)::bigint as total_output from req group by 1",
     "throughput": f"with {REQ} select count(*) as requests, count(*) filter (success) as completed, sum(prompt_len)::bigint as total_input, round(count(*) filter (success) / 100.0, 6) as request_throughput, round(sum(prompt_len) / 100.0, 6) as input_throughput, round(sum(case when success then output_len else 0 end) / 100.0, 6) as output_throughput from req",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
@@ -43,10 +43,22 @@ def read_source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> D
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^.*?" + _quoted(root.rstrip("/")) + "/", "")
     parts = F.split(below, "/", 2)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    text = valid_text(F.col("content"))
     return files.select(parts[0].alias("repo_name"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("path"), text.alias("content"), F.col("length").alias("length_bytes"))
 
 
+def valid_text(content: Column) -> Column:
+    """Bytes as text without those that are not UTF-8; replacement characters that are there already stay."""
+    out = content.cast("string")
+    # What marks broken bytes below is spelled otherwise meanwhile, by a code of two non-characters.
+    for plain, code in (("\ufdd0", "\ufdd0\ufdd1"), ("\ufffd", "\ufdd0\ufdd2")):
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    out = F.replace(F.make_valid_utf8(out), F.lit("\ufffd"), F.lit(""))
+    for plain, code in (("\ufffd", "\ufdd0\ufdd2"), ("\ufdd0", "\ufdd0\ufdd1")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def _quoted(path: str) -> str:
     import re
 

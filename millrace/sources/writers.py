@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,21 @@ def write_repos(files: DataFrame, picks: DataFrame, path: str) -> None:
     picks.write.mode("overwrite").parquet(f"{path}/picks")
 
 
+def drop_repos(spark: SparkSession, names: list[str], path: str) -> None:
+    """Take back repositories that :func:`write_repos` wrote and that failed afterwards: their files and their picks.
+
+    ``names`` are picks, of which there are as many as budgets allow.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/files")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    picks = spark.read.parquet(f"{path}/picks")
+    kept = spark.createDataFrame([r for r in picks.collect() if r["repo_name"] not in names], picks.schema)
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in names:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"repo_name={escape(name)}"), True)
+    kept.write.mode("overwrite").parquet(f"{path}/picks")
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results by mode; other modes' results stay."""
     results.withColumn("mode", F.coalesce("mode", F.lit("none"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode").json(path)

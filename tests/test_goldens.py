@@ -174,6 +174,8 @@ def test_decontamination_splits_the_input(spark):
     assert {r[0] for r in D.contaminated(docs, bench).collect()} == {1, None}
     assert {r[0] for r in D.decontaminate(docs, bench).collect()} == {2, 3, 4}
     assert D.decontaminate(docs, bench.limit(0)).count() == 5
+    # A large index is joined by shuffling, with the same result.
+    assert {r[0] for r in D.contaminated(docs, bench, broadcast_ngrams=0).collect()} == {1, None}
 
 
 def test_cross_file_budget(spark):
