@@ -37,8 +37,9 @@ def ngram_index(texts: DataFrame, n: int = 10, text_col: str = "text") -> DataFr
 
 def _keyed(df: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
     """``keep`` and ``key``, the 64-bit key of each n-gram: words are hashed once, and runs of their hashes again."""
-    w = df.select(*keep, F.transform(T.words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
-    return w.select(*keep, F.explode(_grams(F.col("h"), n, lambda x: F.xxhash64(x))).alias("key"))
+    hashed = df.select(*keep, F.transform(T.words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
+    placed = hashed.select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("i"))
+    return placed.select(*keep, F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(n)]).alias("key"))
 
 
 def contaminated(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text", broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
