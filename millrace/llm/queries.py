@@ -7,7 +7,7 @@ from .language import op9_language
 from .packing import op4_packing
 from .quality_rules import op10_quality_rules
 from .simhash import op5_simhash
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .token_files import op6_token_counts
 from .toxicity import op7_toxicity
 from .warc import OP3_SQL, op3_warc
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL}

@@ -509,3 +509,18 @@ def op2_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP2_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b, strlen(coalesce(text, '')) as n, row_number() over () as r from documents),
+w as (select r, i, md5(b[i:i + 399]) as h from (select r, b, unnest(range(1, n - 398)) as i from d where n >= 400)),
+hit as (select r, i from w where h in (select h from w group by h having count(*) > 1)),
+cut as (select *, case when i > lag(i) over (partition by r order by i) + 400 then 1 else 0 end as fresh from hit),
+run as (select *, sum(fresh) over (partition by r order by i) as k from cut),
+span as (select r, min(i) as a, max(i) + 400 as e from run group by r, k),
+edge as (select r, a, e, coalesce(lag(e) over (partition by r order by a), 1) as prior from span),
+piece as (select d.r, a as spot, hex(b[prior:a - 1]) as x, e - a as gone from edge join d using (r)
+    union all select d.r, n + 1, hex(b[coalesce(m.e, 1):n]), 0 from d left join (select r, max(e) as e from span group by r) m using (r)),
+remaining as (select r, string_agg(x, '' order by spot) as x, sum(gone)::bigint as n_removed, count(*) - 1 as n_spans from piece group by r)
+select doc_id, n as n_bytes, n_removed, n_spans, sha256(unhex(x)) as kept_sha256 from d join remaining using (r)
+"""

@@ -1,4 +1,4 @@
-"""Archives and token files by round trip, packing by brute force, the pipeline end to end."""
+"""Archives and token files by round trip, packing by brute force."""
 
 import gzip
 import zlib
@@ -239,18 +239,3 @@ def test_token_files_are_flat_ids(spark, reference, monkeypatch):
     empty = scratch_path(spark, "test")
     K.write_token_files(spark.createDataFrame([], "text string"), empty)
     assert K.count_tokens(spark, empty).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == columns, name
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
-    final = corpus_pipeline.run(spark, SF)
-    assert {r[0] for r in final.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
