@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -18,7 +19,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = DEFAULT_SHARED
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
@@ -35,6 +36,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`materialise` result that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/millrace/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Limit Arrow batches to ``BATCH_BYTES`` unless the session sets a limit: the JVM and its Python worker each hold some."""
     if ARROW_BYTES not in spark.conf.getAll:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs, spread
-from .common import byte_spans, letters_mix, materialise, small_batches, utf8
+from .common import byte_spans, discard, letters_mix, materialise, small_batches, utf8
 from .components import components
 from .shingles import SEED, bit_counts, shingle_hashes
 
@@ -309,6 +309,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     open_ = sets.select("node", "sketch").join(rooted, "node")
     more = verified(materialise(candidates(open_, blocks, hot, False, similarity, cell_rows), "pairs_rest"), "rest")
+    discard(sets)
     # Nodes stand for their components from here on: links of links, in the root's names.
     rename = rooted.select("node", "root")
     lifted = more.join(rename.toDF("u", "a"), "u").join(rename.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))

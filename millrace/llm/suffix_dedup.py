@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_spans, letters_mix, materialise, small_batches, utf8
+from .common import byte_spans, discard, letters_mix, materialise, small_batches, utf8
 
 LENGTH = 400
 GRAM = 64
@@ -386,6 +386,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     places = anchors.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "at")).alias("places"))
     met = long.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     members = materialise(met.mapInArrow(lambda b: _surroundings(b, length, gram), MEMBER), "members")
+    # Written out, the members stand on their own.
+    for done in (anchors, twice):
+        discard(done)
     rows = members.withColumnRenamed("gram", "node").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram)})
     spans = []
     while True:
