@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import runs
 from .common import byte_spans, discard, letters_mix, materialise, small_batches, utf8
 
 LENGTH = 400
@@ -99,8 +100,26 @@ def anchor_places(data: np.ndarray, owner: np.ndarray, length: int = LENGTH, gra
     return chosen, hashes[chosen]
 
 
+def periodic(data: np.ndarray, at: np.ndarray, gram_hash: np.ndarray, owner: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int]]:
+    """Stretches ``(first, last)`` of anchors, as indices, all of whose surroundings are equal: the inside of a text that repeats itself every ``gram`` bytes or less."""
+    if len(at) < 3:
+        return []
+    step = np.diff(at)
+    linked = (np.diff(owner) == 0) & (gram_hash[1:] == gram_hash[:-1]) & (step <= gram)
+    out = []
+    starts = runs(np.where(linked, step, 0), owner[1:])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(step)]):
+        if linked[a] and at[b] - at[a] >= length:
+            low, high, p = int(at[a]), int(at[b]) + gram, int(step[a])
+            first, last = np.searchsorted(at[a : b + 1], [low + length - gram, high - length + 1]) + a
+            if last - first >= 3 and (data[low : high - p] == data[low + p : high]).all():
+                out.append((int(first), int(last) - 1))
+    return out
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "k1", "k2", "at"]
+    """Anchors ``at`` to ``last``, ``many`` of them: one, or a stretch of a text that repeats itself."""
+    names = ["gram", "k1", "k2", "at", "last", "many"]
     for batch in batches:
         raw, offsets = byte_spans(batch.column(2))
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -111,25 +130,36 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             # As many whole texts as fit a chunk, or one longer text in overlapping chunks.
             end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
             lo, hi = int(offsets[row]), int(offsets[end])
-            at_all, gram_all, own_all = [], [], []
+            at_all, gram_all, own_all, last_all, many_all = [], [], [], [], []
             for a in range(lo, max(lo + 1, hi - length + 1), CHUNK - length + 1):
                 b = min(hi, a + CHUNK)
                 owner = np.repeat(np.arange(row, end), size[row:end])[a - lo : b - lo] if end > row + 1 else np.zeros(b - a, np.int8)
                 at, h = anchor_places(data[a:b], owner, length, gram)
                 own = owner[at] if end > row + 1 else np.full(len(at), row)
-                at_all.append(at + a - offsets[own])
-                gram_all.append(h)
-                own_all.append(own)
-            at, h, own = (np.concatenate(x) for x in (at_all, gram_all, own_all))
+                last, many, kept = at.copy(), np.ones(len(at), np.int64), np.ones(len(at), bool)
+                for x, y in periodic(data[a:b], at, h, own, length, gram):
+                    last[x], many[x] = at[y], y - x + 1
+                    kept[x + 1 : y + 1] = False
+                shift = (a - offsets[own])[kept]
+                at_all.append(at[kept] + shift)
+                last_all.append(last[kept] + shift)
+                many_all.append(many[kept])
+                gram_all.append(h[kept])
+                own_all.append(own[kept])
+            at, last, many, h, own = (np.concatenate(x) for x in (at_all, last_all, many_all, gram_all, own_all))
             if len(at_all) > 1:
-                _, once = np.unique(at, return_index=True)
-                at, h, own = at[once], h[once], own[once]
+                # Chunks overlap: of what begins at one place, the longest stretch. An anchor inside a stretch of another chunk
+                # may stay; its surroundings do repeat.
+                by = np.lexsort([-last, at])
+                once = by[np.concatenate([[True], np.diff(at[by]) > 0])] if len(by) else by
+                at, last, many, h, own = (x[once] for x in (at, last, many, h, own))
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k1[own]), pa.array(k2[own]), pa.array(at)], names=names)
+                columns = [h.view(np.int64), k1[own], k2[own], at, last, many]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             row = end
 
 
-MEMBER = "gram long, around long, k1 long, k2 long, at long, before int, bytes binary"
+MEMBER = "gram long, around long, k1 long, k2 long, at long, last long, many long, before int, bytes binary"
 
 
 def _around(part: bytes, before: int) -> int:
@@ -139,7 +169,7 @@ def _around(part: bytes, before: int) -> int:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "around", "k1", "k2", "at", "before", "bytes"]
+    names = ["gram", "around", "k1", "k2", "at", "last", "many", "before", "bytes"]
     for batch in batches:
         raw, offsets = byte_spans(batch.column(2))
         k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -151,7 +181,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
                 at = spot["at"]
                 before = min(at, length - gram)
                 part = bytes(text[at - before : at + length])
-                for column, value in zip(out, (spot["gram"], _around(part, before), k1[i], k2[i], at, before, part)):
+                for column, value in zip(out, (spot["gram"], _around(part, before), k1[i], k2[i], at, spot["last"], spot["many"], before, part)):
                     column.append(value)
             if len(out[0]) >= 8192:
                 yield _members(out, names)
@@ -160,7 +190,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 
 def _members(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
 
@@ -355,7 +385,7 @@ def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     digest = xxhash.xxh3_64_intdigest
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(11)]
         for r in batch.to_pylist():
             mid = (r["lo"] + r["hi"]) // 2
             for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
@@ -365,11 +395,11 @@ def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 node = digest(r["bytes"][a:b], digest(b"%d %d %d" % (r["node"], lo, hi)))
                 left = max(0, r["before"] - hi)
                 part = r["bytes"][left : r["before"] + length - lo]
-                values = (signed(node), _around(part, r["before"] - left), r["k1"], r["k2"], r["at"], r["before"] - left, part, lo, hi)
+                values = (signed(node), _around(part, r["before"] - left), r["k1"], r["k2"], r["at"], r["at"], 1, r["before"] - left, part, lo, hi)
                 for column, value in zip(out, values):
                     column.append(value)
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["node", "around", "k1", "k2", "at", "before", "bytes", "lo", "hi"])
+        kinds = [pa.int64()] * 7 + [pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["node", "around", "k1", "k2", "at", "last", "many", "before", "bytes", "lo", "hi"])
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -380,10 +410,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     spark = small_batches(keyed.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = keyed.where(F.octet_length("text") >= length)
-    anchors = materialise(long.mapInArrow(lambda b: _anchors(b, length, gram), "gram long, k1 long, k2 long, at long"), "anchors")
+    anchors = materialise(long.mapInArrow(lambda b: _anchors(b, length, gram), "gram long, k1 long, k2 long, at long, last long, many long"), "anchors")
     # A table of its own, so that the join below is of two plain shuffles and a hot gram's rows can be split.
-    twice = materialise(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    places = anchors.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "at")).alias("places"))
+    twice = materialise(anchors.groupBy("gram").agg(F.sum("many").alias("n")).where("n > 1").select("gram"), "grams")
+    places = anchors.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "at", "last", "many")).alias("places"))
     met = long.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     members = materialise(met.mapInArrow(lambda b: _surroundings(b, length, gram), MEMBER), "members")
     # Written out, the members stand on their own.
@@ -395,19 +425,19 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         fields = ["before", "bytes", "k1", "k2", "at", "lo", "hi"]
         ends = [F.min(F.struct(*fields)).alias("one"), F.max(F.struct("before", "bytes")).alias("last")]
         sure = ((F.col("one.before") == F.col("last.before")) & (F.col("one.bytes") == F.col("last.bytes"))).alias("sure")
-        classes = materialise(rows.groupBy("node", "around").agg(F.count("*").alias("n"), *ends).select("node", "around", "n", "one.*", sure), "classes")
+        classes = materialise(rows.groupBy("node", "around").agg(F.sum("many").alias("n"), *ends).select("node", "around", "n", "one.*", sure), "classes")
         # Equal surroundings, by hash and then by bytes: every string in them repeats.
-        named = rows.select("node", "around", "k1", "k2", "at", "before", "lo", "hi", F.octet_length("bytes").alias("size"))
+        named = rows.select("node", "around", "k1", "k2", "at", "last", "before", "lo", "hi", F.octet_length("bytes").alias("size"))
         equal = named.join(classes.where("n > 1 and sure").select("node", "around"), ["node", "around"])
         odd = classes.where("not sure")
         if not odd.isEmpty():
             mixed = materialise(rows.join(odd.select("node", "around"), ["node", "around"]), "mixed")
             keys = ["node", "around", "before", "bytes"]
-            split = materialise(mixed.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")).select(*keys, "n", "one.*", F.lit(True).alias("sure")), "split")
+            split = materialise(mixed.groupBy(*keys).agg(F.sum("many").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")).select(*keys, "n", "one.*", F.lit(True).alias("sure")), "split")
             classes = classes.where("sure").unionByName(split)
-            equal = equal.unionByName(mixed.join(split.where("n > 1").select(*keys), keys).select("node", "around", "k1", "k2", "at", "before", "lo", "hi", F.octet_length("bytes").alias("size")))
+            equal = equal.unionByName(mixed.join(split.where("n > 1").select(*keys), keys).select(*named.columns[:-1], F.octet_length("bytes").alias("size")))
         left, right = F.least("before", "hi"), F.least(F.col("size") - F.col("before"), F.lit(length) - F.col("lo"))
-        spans.append(equal.where(left + right >= length).select("k1", "k2", (F.col("at") - left).alias("from"), (F.col("at") + right).alias("to")))
+        spans.append(equal.where(left + right >= length).select("k1", "k2", (F.col("at") - left).alias("from"), (F.col("last") + right).alias("to")))
         nodes = classes.groupBy("node").agg(F.count("*").alias("classes"))
         large = materialise(nodes.where(F.col("classes") > group_rows).select("node"), "large")
         none = large.isEmpty()

@@ -111,10 +111,33 @@ def test_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr(D, "CHUNK", 2048)
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([data.tobytes().decode()])], names=["k1", "k2", "text"])
     out = pa.Table.from_batches(list(D._anchors(iter([batch]), D.LENGTH, D.GRAM)))
-    assert sorted(out["at"].to_pylist()) == at.tolist() and Counter(out["gram"].to_pylist()) == Counter(gram.view(np.int64).tolist())
+    assert set(out["many"].to_pylist()) == {1} and sorted(out["at"].to_pylist()) == at.tolist() and Counter(out["gram"].to_pylist()) == Counter(gram.view(np.int64).tolist())
     assert all(((at >= i) & (at <= i + D.LENGTH - D.GRAM)).any() for i in range(0, len(data) - D.LENGTH, 97))
 
 
+def test_texts_that_repeat_themselves_have_few_anchors(spark, monkeypatch):
+    """Any period and any chunking give what brute force gives; a long run of one character gives few rows."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    texts = []
+    for p in (1, 2, 3, 17, 63, 64, 65, 130):
+        unit = word(p)
+        texts += [word(50) + unit * (rng.randint(900, 2500) // p) + word(rng.randint(0, 400)), word(90) + unit * (rng.randint(300, 900) // p) + word(40)]
+    texts += ["z" * 1500 + "y" * 1500, "z" * 401, "ab" * 1000 + "ac" * 1000]
+    want = Counter((i, *r) for i, r in enumerate(brute_repeats([t.encode() for t in texts], D.LENGTH)))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for chunk in (1 << 18, 1200):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        got = D.remove_repeats(df).select("row.doc_id", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+        assert Counter(map(tuple, got)) == want, chunk
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["x" * 1_000_000])], names=["k1", "k2", "text"])
+    out = pa.Table.from_batches(list(D._anchors(iter([batch]), D.LENGTH, D.GRAM)))
+    assert out.num_rows < 10_000 and sum(out["many"].to_pylist()) >= 990_000
+
+
 def test_equal_surroundings_are_compared_by_bytes(spark, monkeypatch):
     """With one hash for all surroundings, classes are told apart by their bytes."""
     texts = corpus()
