@@ -179,14 +179,19 @@ def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: fl
         near = np.flatnonzero((apart <= bit_limit(similarity, words.shape[1])) & (root[a] != root[b]))
         return a[near], b[near], apart[near]
 
+    known, cells = np.zeros(len(node), bool), np.zeros((len(node), len(blocks)), np.int64)
+
     def once(a, b):
         """The pairs that meet in no block before this one."""
-        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        cells = np.concatenate([cells_of(bits[rows[k : k + 256], : 8 * WORDS], blocks) for k in range(0, len(rows), 256)])
+        rows = np.unique(np.concatenate([a, b]))
+        rows = rows[~known[rows]]
+        for k in range(0, len(rows), 256):
+            cells[rows[k : k + 256]] = cells_of(bits[rows[k : k + 256], : 8 * WORDS], blocks)
+        known[rows] = True
         for k in range(0, len(a), 4096):
-            x, y = at[: len(a)][k : k + 4096], at[len(a) :][k : k + 4096]
-            own = (cells[x] == cells[y]).argmax(axis=1) == cell[a[k : k + 4096]] >> BLOCK_SHIFT
-            yield node[a[k : k + 4096][own]], node[b[k : k + 4096][own]]
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            own = (cells[x] == cells[y]).argmax(axis=1) == cell[x] >> BLOCK_SHIFT
+            yield node[x[own]], node[y[own]]
 
     # Homes meet the guests, which come first, and the rows beyond those of their own root.
     for start, count in ((starts[group][i], guests[i]), (run_end[i], (starts + size)[group][i] - run_end[i])):
