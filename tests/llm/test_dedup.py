@@ -241,3 +241,12 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     assert got == classes(nodes, edges)
+
+
+def test_simhash_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(fps)
+    want = classes(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    got = H.op5_simhash(spark, sf).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in ids} and len(got) == len(ids)
