@@ -261,3 +261,36 @@ def test_config():
     assert cfg.fim.fim_rate == 0.8 and cfg.repo.min_core_files == 25
     with pytest.raises(ValueError):
         C.Config.from_mapping({"x": {}})
+
+
+def test_sample_of_the_whole_table(spark):
+    df = spark.range(200).repartition(7)
+    got = [r["id"] for r in samples.sample_without_replacement(df, 15, F.col("id"), 5).collect()]
+    draw = lambda k: (k % 2147483648 * 1103515245 + 12345 + 5) % 2147483648
+    assert got == sorted(range(200), key=lambda k: (draw(k), k))[:15]
+    assert samples.sample_without_replacement(df, 500, F.col("id"), 5).count() == 200
+
+
+def test_shortlist_is_in_order(spark):
+    from millrace.plans import catalog
+
+    rows = [(r["bucket"], r["rank"]) for r in catalog.QUERIES["shortlist_sort"](spark, "/root/testdata/sf0.01").collect()]
+    assert rows == sorted(rows) and len(rows) > 5
+
+
+def test_budgeted_pick_step_by_step(spark):
+    """The fold of a shortlist, followed with the same draws: quotas, owners, overshoot and failed checks."""
+    rows = [(b, i, f"o{i % 4}/r{b}{i}", f"o{i % 4}", 100.0 - i, 900_000 + 50_000 * i, 800_000 + 40_000 * i, i % 5 != 3) for b in range(2) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "bucket int, rank int, repo_name string, owner string, score double, total_bytes long, actual_bytes long, passed boolean")
+    cfg = C.RepoConfig(target_total_mb=6, max_repos_per_owner=2, random_top_k=3, overshoot_bytes=100_000)
+    rng, owners, total, want = random.Random(9), {}, 0, []
+    for b, quota in enumerate((3_000_000, 9_000_000)):
+        left, spent = [r for r in rows if r[0] == b], 0
+        while left and spent < quota and total < 6 * C.MB:
+            r = left.pop(rng.randrange(min(3, len(left))))
+            if owners.get(r[3], 0) < 2 and total + r[5] <= 6 * C.MB + 100_000 and r[7]:
+                owners[r[3]] = owners.get(r[3], 0) + 1
+                spent, total = spent + r[6], total + r[6]
+                want.append((b, r[2], r[6]))
+    got = [(r["bucket"], r["repo_name"], r["bytes"]) for r in repos.budgeted_pick(df, [(0, 1, 3_000_000), (1, 2, 9_000_000)], cfg, seed=9).orderBy("pick").collect()]
+    assert got == want and len(got) >= 5
