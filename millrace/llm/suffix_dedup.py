@@ -61,7 +61,10 @@ class PrefixHash:
         self.data = data
         up, self.down = _power_tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self.sums[1:])
+        for a in range(0, len(data), CHUNK):
+            part = self.sums[a + 1 : a + 1 + CHUNK]
+            np.cumsum(_TABLE[data[a : a + CHUNK]] * up[a : a + len(part)], out=part)
+            part += self.sums[a]
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
