@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in unit tests.
 DEFAULT_SHARED = "/tmp/checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
@@ -31,9 +32,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so a lost executor costs a re-read and not a re-computation,
     and a result that several consumers need is computed once.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    # The table stands for the shuffles that made it: their files go as soon as it is written.
+    before = spark.conf.getAll.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
