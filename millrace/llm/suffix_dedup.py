@@ -46,6 +46,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, np.uint64)
@@ -55,19 +56,19 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 class PrefixHash:
-    """Prefix polynomial hashes of a byte array: the hash of any substring in O(1), arithmetic modulo 2^64."""
+    """Prefix polynomial hashes of a byte array: the hash of any substring of up to ``CHUNK`` bytes in O(1), arithmetic modulo 2^64."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        up, self.down = _power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
+        self.up, down = _power_tables(max(CHUNK, 4096) + 1)
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
         for a in range(0, len(data), CHUNK):
-            part = self.sums[a + 1 : a + 1 + CHUNK]
-            np.cumsum(_TABLE[data[a : a + CHUNK]] * up[a : a + len(part)], out=part)
-            part += self.sums[a]
+            letters = _TABLE[data[a : a + CHUNK]]
+            n = len(letters)
+            self.prefix[a + 1 : a + 1 + n] = np.cumsum(letters * down[:n]) * self.up[:n] + self.prefix[a] * self.up[1 : n + 1]
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
-        return (self.sums[start + size] - self.sums[start]) * self.down[start]
+        return self.prefix[start + size] - self.prefix[start] * self.up[size]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length, at most ``most``, of the common extension of the suffixes at ``a`` and ``b``, by binary search."""
