@@ -33,8 +33,8 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
     """Tokenise the texts where they lie and write them as flat token files below ``out``.
 
     A null or empty text is the end id alone; repeated rows are documents each; an empty table gives no ids; other columns are
-    ignored, whatever their names. Longer texts share a file with fewer others, so a file stays below 512 MB unless one text
-    is larger. The end id is beyond the vocabulary, and its two bytes are one UTF-8 character.
+    ignored, whatever their names. Longer texts share a file with fewer others, in a folder of their size class, so a file
+    stays below 512 MB unless one text is larger. The end id is beyond the vocabulary, and its two bytes are one UTF-8 character.
     """
     separator = int(end_id).to_bytes(2, "big")
     try:
@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
     sized = docs.select(utf8(text_col).alias("text")).select("text", size.alias("size"))
     for step in sorted(r[0] for r in sized.select("size").distinct().collect()) or [0]:
         lines = sized.where(F.col("size") == step).select("text").mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
-        lines.write.mode("append").option("lineSep", line_end).option("maxRecordsPerFile", max(1, file_documents >> (2 * step))).text(out)
+        lines.write.option("lineSep", line_end).option("maxRecordsPerFile", max(1, file_documents >> (2 * step))).text(f"{out.rstrip('/')}/size={step}")
 
 
 def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -85,13 +85,13 @@ def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator
 
 
 def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``(file, document, n_tokens)``: of each document of each file below ``path``, in order, its ids without the end id.
+    """``(file, document, n_tokens, ended)``: of each document of each file below ``path``, in order, its ids without the end id.
 
     Ids after a file's last end id are a last document without an end (``ended`` false); an empty file has none; a file
     that ends within an id raises.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.regexp_extract("path", r"((?:size=\d+/)?[^/]+)$", 1)
     contents = files.select(name.alias("file"), "content")
     scanned = contents.mapInArrow(lambda b: _scan(b, end_id, block_tokens), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>")
     # Prefix scan: the block's first document, and what ran on into it since the last end id.
@@ -114,8 +114,9 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tok
 
 
 def op6_token_counts(spark, sf_dir):
-    """file, document, n_tokens of every document in token files written of all documents."""
+    """size, part, file, document, n_tokens of every document in token files written of all documents."""
     out = scratch_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
     counted = count_tokens(spark, out)
-    return counted.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long").alias("file"), "document", "n_tokens")
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    return counted.select(number(r"size=(\d+)").alias("size"), number(r"part-(\d+)").alias("part"), number(r"-c(\d+)").alias("file"), "document", "n_tokens")

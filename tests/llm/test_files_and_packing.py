@@ -206,10 +206,12 @@ def test_token_files(spark, reference, block, tmp_path):
     assert got == [("a.bin", 0, 1, True), ("a.bin", 1, 0, True), ("a.bin", 2, 9, True), ("a.bin", 3, 3, False)]
 
 
-def test_token_files_of_documents(spark, reference):
+def test_token_files_of_documents(spark, reference, monkeypatch):
+    # Size classes of their own, so that several folders are written.
+    monkeypatch.setattr(K, "SHORT_BYTES", 1000)
     want = Counter(len(reference(r["text"] or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     rows = K.op6_token_counts(spark, SF).collect()
-    assert Counter(r["n_tokens"] for r in rows) == want and len({(r["part"], r["file"], r["document"]) for r in rows}) == len(rows)
+    assert Counter(r["n_tokens"] for r in rows) == want and len({(r["size"], r["part"], r["file"], r["document"]) for r in rows}) == len(rows) and len({r["size"] for r in rows}) > 2
     docs = spark.createDataFrame([(None,), ("",), ("a",)], "text string").coalesce(1).withColumn("size", F.lit("clash"))
     path = scratch_path(spark, "test")
     K.write_token_files(docs, path)
