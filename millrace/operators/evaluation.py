@@ -67,32 +67,33 @@ def check_program(prompt: Column, completion: Column, suffix: Column, test: Colu
 BRACKET = 10_000
 
 
-def exact_percentiles(values: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
-    """``by`` and ``p0, p1, ...``: the interpolated percentiles of the column ``value`` (not null) by group, of which there are few.
+def exact_percentiles(values: DataFrame, by: list[str], shares: list[float], also: list[Column] = ()) -> DataFrame:
+    """``by``, the aggregates ``also`` and ``p0, p1, ...``: the interpolated percentiles of the column ``value`` (not null) by group, of which there are few.
 
     Approximate percentiles a little below and above bracket each one; values below the bracket are only counted,
     and only those inside are put in order, so no task holds a group's values.
     """
     slack = 4.0 / BRACKET
     edges = [min(max(x, 0.0), 1.0) for q in shares for x in (q - slack, q + slack)]
-    first = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"), F.percentile_approx("value", edges, BRACKET).alias("__edges"))
+    first = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"), F.percentile_approx("value", edges, BRACKET).alias("__edges"), F.struct(F.lit(0).alias("__"), *also).alias("__also"))
     # Few values are all inside: the slack is less than a rank there.
     few = F.col("__n") <= 5 * BRACKET
     low = [F.when(few, F.col("__least")).otherwise(F.col("__edges")[2 * k]).alias("low") for k in range(len(shares))]
     high = [F.when(few, F.col("__most")).otherwise(F.col("__edges")[2 * k + 1]).alias("high") for k in range(len(shares))]
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("__n") - 1)).alias("spot"), low[k], high[k]) for k, q in enumerate(shares)])
-    asked = first.select(*by, F.inline(wanted))
+    asked = first.select(*by, "__also", F.inline(wanted))
     match = [F.col(f"v.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
     met = values.alias("v").join(F.broadcast(asked).alias("a"), match) if by else values.alias("v").crossJoin(F.broadcast(asked).alias("a"))
-    keys = [*[F.col(f"a.{c}").alias(c) for c in by], "a.k", "a.spot"]
-    counted = met.where("value <= high").select(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).groupBy(*by, "k", "spot", "value").agg(F.count("*").alias("m"))
+    keys = [*[F.col(f"a.{c}").alias(c) for c in by], "a.k", "a.spot", "a.__also"]
+    counted = met.where("value <= high").select(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).groupBy(*by, "k", "spot", "__also", "value").agg(F.count("*").alias("m"))
     order = Window.partitionBy(*by, "k").orderBy(F.col("value").asc_nulls_first())
     placed = counted.withColumn("upto", F.sum("m").over(order)).where(F.col("value").isNotNull())
     floor, ceil = F.floor("spot"), F.ceil("spot")
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    found = placed.groupBy(*by, "k", "spot").agg(at(floor).alias("a"), at(ceil).alias("b"))
+    found = placed.groupBy(*by, "k", "spot", "__also").agg(at(floor).alias("a"), at(ceil).alias("b"))
     value = F.when(floor == ceil, F.col("a")).otherwise((ceil - F.col("spot")) * F.col("a") + (F.col("spot") - floor) * F.col("b"))
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"p{k}") for k in range(len(shares))])
+    out = found.groupBy(*by, "__also").agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"p{k}") for k in range(len(shares))])
+    return out.select(*by, "__also.*", *[f"p{k}" for k in range(len(shares))]).drop("__")
 
 
 def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
@@ -121,10 +122,9 @@ def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | Non
     measured = F.concat(F.array(one("ttft", F.col("ttft")), one("tpot", tpot)), F.transform(F.coalesce("itl", F.array().cast("array<double>")), lambda x: one("itl", x)))
     values = responses.where(ok).select(*by, F.inline(measured)).where("value is not null")
     keys = [*by, "time"]
-    plain = values.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    joined = plain.alias("x").join(exact_percentiles(values, keys, [0.5, 0.99]).alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+    stats = exact_percentiles(values, keys, [0.5, 0.99], [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")])
     kinds = {"mean": "mean", "median": "p0", "std": "std", "p99": "p1"}
-    wide = joined.select(*[F.col(f"x.{c}").alias(c) for c in keys], *kinds.values()).groupBy(*by).agg(*[F.max(F.when(F.col("time") == t, F.col(c))).alias(f"{k}_{t}_ms") for t in times for k, c in kinds.items()])
+    wide = stats.groupBy(*by).agg(*[F.max(F.when(F.col("time") == t, F.col(c))).alias(f"{k}_{t}_ms") for t in times for k, c in kinds.items()])
     if by:
         out = totals.alias("t").join(wide.alias("w"), [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by], "left")
     else:
