@@ -362,8 +362,9 @@ def unattempted(spark, d):
 
 @query
 def attach_results(spark, d):
+    """All turns with the results of those that were run, the assistant's."""
     rows = V.completions(spark, d)
-    ran = rows.where(F.length("completion") % 3 != 0).select("task_id", "completion_id", "passed", F.when(F.col("passed"), "passed").otherwise("failed").alias("result"))
+    ran = rows.where("role = 'assistant'").select("task_id", "completion_id", "passed", F.when(F.col("passed"), "passed").otherwise("failed").alias("result"))
     return E.attach_results(rows.select("task_id", "completion_id", "role"), ran).select("task_id", "completion_id", "role", "passed", "result")
 
 

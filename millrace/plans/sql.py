@@ -152,7 +152,7 @@ ORACLE_SQL |= {
     "problem_dictionary": f"with {COMP} select task_id, completion_id, completion from comp qualify row_number() over (partition by task_id order by completion_id desc) = 1",
     "join_problems": f"with {COMP}, last as (select * from comp qualify row_number() over (partition by task_id order by completion_id desc) = 1) select c.task_id, c.completion_id, c.role, l.role as last_role, l.completion as last_text from comp c join last l on c.task_id = l.task_id",
     "unattempted": "select doc_id as task_id from documents where doc_id not in (select conv_id from conversations)",
-    "attach_results": f"with {COMP} select task_id, completion_id, role, case when length(completion) % 3 <> 0 then passed end as passed, case when length(completion) % 3 <> 0 then case when passed then 'passed' else 'failed' end end as result from comp",
+    "attach_results": f"with {COMP} select task_id, completion_id, role, case when role = 'assistant' then passed end as passed, case when role = 'assistant' then case when passed then 'passed' else 'failed' end end as result from comp",
     "completion_ordinal": "select conv_id as task_id, turn * 10 + 3 as arrived, row_number() over (partition by conv_id order by turn) - 1 as completion_id from conversations",
     "replicate": "select item_id, text, completion_id from benchmark cross join range(0, 3) r(completion_id)",
     "assembled_results": f"with {REQ} select mode, trunc(avg(latency) * 100) / 100.0 as latency, trunc(100 * avg(success::int) * 100) / 100.0 as success, trunc(avg(prompt_len) filter (success) * 100) / 100.0 as asked, trunc(avg(output_len) filter (success) * 100) / 100.0 as answered from req group by 1 having count(*) filter (success) > 0",
