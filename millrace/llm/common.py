@@ -91,5 +91,5 @@ def letters_mix(x: np.ndarray) -> np.ndarray:
 
 
 def held_out_fold(doc_id, modulus: int):
-    """crc32 of the id written as text, modulo ``modulus``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+    """crc32 of the id written as text, modulo ``modulus``; a null id is an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

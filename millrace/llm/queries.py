@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .language import op9_language
+from .lm_scoring import op13_lm_scores
 from .packing import op4_packing
 from .quality_rules import op10_quality_rules
+from .search import OP12_SQL, op12_search
+from .sessions import OP11_SQL, op11_late_sessions
 from .simhash import op5_simhash
 from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .token_files import op6_token_counts
@@ -24,6 +27,9 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_late_sessions": op11_late_sessions,
+    "op12_search": op12_search,
+    "op13_lm_scores": op13_lm_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op11_late_sessions": OP11_SQL, "op12_search": OP12_SQL}
