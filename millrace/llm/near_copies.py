@@ -10,11 +10,16 @@ one anchor are candidates if their bits are near; every candidate is decided on
 Candidates are taken in two steps. First every node gets the nearest node, by 512 bits, of each of its anchors, which
 makes a number of pairs in proportion to the nodes and joins groups of copies. After that all candidates are taken of
 nodes that are not in one component yet, compared by 2,048 bits, so that few have less than the similarity wanted: a large
-group of copies never gives all its pairs.
+group of copies never gives all its pairs. A large anchor is dealt over a grid in that step, so no task holds all its rows.
+
+Few shingles give few independent bits, so small sets are linked exactly instead: two sets of the similarity wanted
+share their intersection, which each is without a few of its elements; sets that share such a key are linked by the key's size
+and the numbers of elements left out alone.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -43,6 +48,8 @@ ANCHOR_NODES = 256
 CELL_ROWS = 4096
 PAIRS_AT_ONCE = 1 << 17
 ROWS_AT_ONCE = 1 << 16
+#: Pairs of which one set has so many shingles at most are found by exact keys.
+SMALL_SET = 9
 #: Texts that are found again by broadcasting their names; more are joined by shuffling.
 BROADCAST_NAMES = 2_000_000
 _ODD = letters_mix(np.arange(1, WIDE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -108,20 +115,53 @@ def cells_of(fingerprints: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return word | (np.arange(len(blocks), dtype=np.int64) << BLOCK_SHIFT)
 
 
-def _sketches(docs: DataFrame, id_kind: str, width: int) -> DataFrame:
-    """``(id, mark, node, sketch)`` of each row of ``(id, mark, text)``."""
+def _sketches(docs: DataFrame, id_kind: str, width: int, similarity: float) -> DataFrame:
+    """``(id, mark, node, sketch, small)`` of each row of ``(id, mark, text)``; ``small`` is the set itself if it may be in a pair with a small one."""
+    most = int(SMALL_SET / similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = byte_spans(batch.column(2))
-            nodes, made = [], []
+            nodes, made, small = [], [], []
             for a, b in zip(at.tolist(), at[1:].tolist()):
                 found = shingle_set(bytes(data[a:b]), width)
                 nodes.append(name_of(found))
                 made.append(wide_fingerprint(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], names=["id", "mark", "node", "sketch"])
+                small.append(found.tobytes() if 0 < len(found) <= most else None)
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(made, pa.binary()), pa.array(small, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "node", "sketch", "small"])
+
+    return docs.mapInArrow(run, f"id {id_kind}, mark long, node long, sketch binary, small binary")
+
+
+def _subsets(small: DataFrame, similarity: float) -> DataFrame:
+    """``(key, size, less, node)`` of each row of ``(node, small)``: the sets that are left without ``less`` elements, as many as a similar set may lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(raw.as_buffer(), np.uint64)
+                for less in range(len(found)):
+                    left = len(found) - less
+                    if left < similarity * len(found):
+                        break
+                    rows += [(xxhash.xxh3_64_intdigest(np.delete(found, out).tobytes(), left) - (1 << 63), left, less, node) for out in itertools.combinations(range(len(found)), less)]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "size", "less", "node"])
+
+    return small.mapInArrow(run, "key long, size long, less long, node long")
 
-    return docs.mapInArrow(run, f"id {id_kind}, mark long, node long, sketch binary")
+
+def small_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``(u, v)`` with the components of "similarity wanted or more" over small sets of ``(node, small)``, without their pairs.
+
+    Two sets that are a key and ``a`` and ``b`` elements more have at least size / (size + a + b) in common, and just that if the
+    key is all they share. So it is enough to link each set of a key with the first of those that are ``b`` more, for every b that suffices.
+    """
+    keys = materialise(_subsets(nodes.where("small is not null").select("node", "small"), similarity), "small_keys")
+    first = materialise(keys.groupBy("key", "size", F.col("less").alias("more")).agg(F.min("node").alias("v")), "small_first")
+    return keys.join(first, ["key", "size"]).where((F.col("size") >= similarity * (F.col("size") + F.col("less") + F.col("more"))) & (F.col("node") != F.col("v"))).select(F.col("node").alias("u"), "v")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -162,7 +202,10 @@ def _deal(nodes: DataFrame, blocks: np.ndarray, words: int) -> DataFrame:
 
 
 def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of rows of whole groups in order, each in the first block in which it meets; with ``nearest`` only where one is the other's nearest."""
+    """Near pairs of rows of whole groups in order, each in the first block in which it meets; with ``nearest`` only where one is the other's nearest.
+
+    In a group with ``sub`` below 0 all rows are at home and meet each other; in a cell of a grid homes meet guests.
+    """
     starts = runs(cell, sub)
     size = np.diff(np.append(starts, len(cell)))
     group = np.repeat(np.arange(len(starts)), size)
@@ -193,8 +236,9 @@ def _pairs(cell, sub, home, root, node, bits, blocks: np.ndarray, similarity: fl
             own = (cells[x] == cells[y]).argmax(axis=1) == cell[x] >> BLOCK_SHIFT
             yield node[x[own]], node[y[own]]
 
-    # Homes meet the guests, which come first, and the rows beyond those of their own root.
-    for start, count in ((starts[group][i], guests[i]), (run_end[i], (starts + size)[group][i] - run_end[i])):
+    # Guests come first; where there is no grid, a row meets those beyond its own root.
+    beyond = np.where(sub[i] < 0, (starts + size)[group][i] - run_end[i], 0)
+    for start, count in ((starts[group][i], guests[i]), (run_end[i], beyond)):
         for owner, b in spread(start, count, PAIRS_AT_ONCE):
             a, b, apart = nearby(i[owner], b, first)
             if words.shape[1] > WORDS and len(a):
@@ -254,28 +298,38 @@ def hot_anchors(nodes: DataFrame, blocks: np.ndarray, cell_rows: int = CELL_ROWS
     return materialise(_deal(nodes, blocks, 0).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows), "hot_anchors")
 
 
-def candidates(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bool, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Distinct pairs ``(u, v)`` of ``(node, root, sketch)`` that share an anchor, have different roots and are near.
+def placed(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bool, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(cell, sub, home, root, node, bits)``: the rows of ``(node, root, sketch)`` at their anchors.
 
-    A ``hot`` anchor is dealt out in parts of about ``cell_rows`` nodes. With ``nearest`` each row is in one part. Else each
-    row is at home in one and, unless it has the root that most of the anchor's rows have, a guest in all others, so
-    any two of different roots meet.
+    A ``hot`` anchor is dealt out. With ``nearest`` each row is in one part of about ``cell_rows`` nodes. Else its rows are at
+    home in a row of a grid and, unless they have the root that most of the anchor's rows have, guests in a column; homes
+    meet guests, so any two of different roots meet, and a cell has about ``cell_rows`` of either.
     """
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = _deal(nodes, blocks, WORDS if nearest else WIDE)
     if hot.isEmpty():
-        placed = dealt.withColumns({"sub": F.lit(0), "home": F.lit(True)})
+        out = dealt.withColumns({"sub": F.lit(-1), "home": F.lit(True)})
+    elif nearest:
+        own = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("n") / cell_rows), F.lit(1)))
+        out = dealt.join(hot, "cell", "left").withColumns({"sub": (-1 - own).cast("int"), "home": F.lit(True)})
     else:
-        many = F.ceil(F.col("n") / cell_rows).cast("int")
-        own = F.pmod(F.xxhash64("node"), F.coalesce(many, F.lit(1))).cast("int")
-        if nearest:
-            placed = dealt.join(hot, "cell", "left").withColumns({"sub": own, "home": F.lit(True)})
-        else:
-            by_root = _deal(nodes, blocks, 0).join(hot.select("cell"), "cell").groupBy("cell", "root").agg(F.count("*").alias("m"))
-            most = materialise(by_root.groupBy("cell").agg(F.max(F.struct("m", "root"))["root"].alias("most")).join(hot, "cell"), "most")
-            there = F.when(F.col("n").isNull() | (F.col("root") == F.col("most")), F.array(own)).otherwise(F.sequence(F.lit(0), many - 1))
-            placed = dealt.join(most, "cell", "left").withColumn("own", own).withColumn("sub", F.explode(there)).withColumn("home", F.col("sub") == F.col("own"))
-    ordered = placed.select("cell", "sub", "home", "root", "node", "bits").repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "home", "root")
+        by_root = _deal(nodes, blocks, 0).join(hot.select("cell"), "cell").groupBy("cell", "root").agg(F.count("*").alias("m"))
+        most = by_root.groupBy("cell").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("n"))
+        high, wide = F.ceil(F.col("n") / cell_rows).cast("int"), F.ceil((F.col("n") - F.col("most.m")) / cell_rows).cast("int")
+        grid = materialise(most.select("cell", F.col("most.root").alias("most"), high.alias("high"), wide.alias("wide")), "grids")
+        i, j = (F.pmod(F.xxhash64("node", F.lit(k)), F.greatest(c, F.lit(1))).cast("int") for k, c in enumerate(("high", "wide")))
+        spot = lambda sub, home: F.struct(sub.cast("int").alias("sub"), F.lit(home).alias("home"))
+        along = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: spot(i * F.col("wide") + c, True))
+        down = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda r: spot(r * F.col("wide") + j, False))
+        there = F.when(F.col("high").isNull(), F.array(spot(F.lit(-1), True))).when(F.col("wide") == 0, F.array().cast("array<struct<sub: int, home: boolean>>"))
+        there = there.when(F.col("root") == F.col("most"), along).otherwise(F.concat(along, down))
+        out = dealt.join(grid, "cell", "left").select("cell", "root", "node", "bits", F.inline(there))
+    return out.select("cell", "sub", "home", "root", "node", "bits")
+
+
+def candidates(nodes: DataFrame, blocks: np.ndarray, hot: DataFrame, nearest: bool, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distinct pairs ``(u, v)`` of ``(node, root, sketch)`` that share an anchor, have different roots and are near."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed(nodes, blocks, hot, nearest, cell_rows).repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "home", "root")
     return ordered.mapInArrow(lambda b: _candidates(b, blocks, similarity, nearest), "u long, v long").distinct()
 
 
@@ -289,8 +343,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
-    own = materialise(_sketches(texts, docs.schema[id_col].dataType.simpleString(), width), "sketches")
-    nodes = materialise(own.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch")), "nodes")
+    own = materialise(_sketches(texts, docs.schema[id_col].dataType.simpleString(), width, similarity), "sketches")
+    nodes = materialise(own.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "nodes")
     blocks = blocks_for(nodes.count(), similarity)
 
     alone = nodes.withColumn("root", F.col("node"))
@@ -311,7 +365,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y")
         return materialise(both.mapInArrow(_alike(similarity), "u long, v long"), f"links_{name}")
 
-    roots = materialise(components(verified(pairs, "nearest")), "roots")
+    roots = materialise(components(verified(pairs, "nearest").unionByName(small_links(nodes, similarity))), "roots")
     rooted = materialise(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     open_ = sets.select("node", "sketch").join(rooted, "node")
     more = verified(materialise(candidates(open_, blocks, hot, False, similarity, cell_rows), "pairs_rest"), "rest")
@@ -321,5 +375,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lifted = more.join(rename.toDF("u", "a"), "u").join(rename.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(lifted).toDF("root", "top")
     named = materialise(rooted.join(found, "root", "left").select("node", "least", F.coalesce("top", "root").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the join is of two plain shuffles and a large component can be split.
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return own.select("id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("id", "component_id")

@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(nodes))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the join is of two plain shuffles and a large component can be split.
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select(id_col, "fp", "component_id")
 
