@@ -52,6 +52,21 @@ class EliasFano:
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return cls(n, bits, [_pack(values & np.uint64((1 << bits) - 1), bits), high, ones])
 
+    @classmethod
+    def from_bytes(cls, data: bytes) -> EliasFano:
+        n, bits, cut = np.frombuffer(data, np.int64, 3).tolist()
+        low, high = np.split(np.frombuffer(data, np.uint64, offset=24), [cut])
+        return cls(n, bits, [low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])])
+
+    def to_bytes(self) -> bytes:
+        """The sequence without its ranks."""
+        return np.array([self.n, self.low_bits, len(self.low)], np.int64).tobytes() + self.low.tobytes() + self.high.tobytes()
+
+    def values(self) -> np.ndarray:
+        """All numbers, in one pass."""
+        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - np.arange(self.n)
+        return (at.astype(np.uint64) << np.uint64(self.low_bits) | self._lows(np.arange(self.n))).astype(np.int64)
+
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)

@@ -2,7 +2,7 @@
 
 Counts of words, pairs and triples over all training texts give a trigram model with Dirichlet smoothing: each order
 adds so many occurrences shared out as the order below has them, down to add-one counts of words. An n-gram is named
-by 64 bits and counted in the shard that its name falls into, so no word, however frequent, makes a large group.
+by a hash and counted in the shard that its name falls into, so no word, however frequent, makes a large group.
 
 The texts are dealt into parts of about ``PART_TOKENS`` tokens. A part sends the names of its distinct n-grams, with their
 counts from training texts, to the shards and gets back their counts over the corpus: the slice of the model that its texts
@@ -29,7 +29,11 @@ from .common import byte_spans, held_out_fold, letters_mix, materialise, small_b
 from .elias_fano import EliasFano
 
 #: Tokens of a part, and about so many n-gram names in a shard.
-PART_TOKENS, SHARD_NAMES = 1 << 20, 1 << 21
+PART_TOKENS, SHARD_NAMES = 1 << 19, 1 << 21
+#: Bits of a name within its shard, of which the last tells words from others.
+NAME_BITS = 46
+#: Most shards, as a power of two.
+MOST_SHARDS = 18
 #: Occurrences that the order below adds to a context of one and of two words.
 PAIR_WEIGHT, TRIPLE_WEIGHT = 5000.0, 30.0
 #: Probabilities are kept as whole numbers of 1/GRID of minus their decimal logarithm.
@@ -49,8 +53,7 @@ _LETTER[65:91] += np.uint64(32)
 
 def _powers(n: int, known: list[np.ndarray] = [np.ones(1, np.uint64)]) -> np.ndarray:
     while len(known[0]) < n:
-        more = np.full(len(known[0]), known[0][-1] * _BASE)
-        known[0] = np.concatenate([known[0], known[0] * more])
+        known[0] = np.concatenate([known[0], known[0] * (known[0][-1:] * _BASE)])
     return known[0]
 
 
@@ -175,13 +178,14 @@ class Grams:
         triples, first, triple_of = np.unique(pair_of[third - 1] * many + tokens[third], return_index=True, return_inverse=True)
         return cls(words, tokens, begin, scored, pair_of, third, triple_of, pairs, triples, pair_of[third[first]])
 
-    def names(self) -> np.ndarray:
-        """64-bit names of all words, pairs and triples; those of words are odd, others even."""
+    def names(self, shards: int) -> np.ndarray:
+        """Names of all words, pairs and triples: the shard, of ``2**shards``, and ``NAME_BITS`` within it; those of words are odd, others even."""
         many, odd = len(self.words), np.uint64(1)
         before, last = self.words[self.pairs // many], self.words[self.pairs % many]
         pair = letters_mix(before * _PAIR + last)
         triple = letters_mix(pair[self.triples // many] * _TRIPLE + self.words[self.triples % many])
-        return np.concatenate([self.words | odd, pair & ~odd, triple & ~odd])
+        cut = np.uint64(65 - NAME_BITS - shards)
+        return np.concatenate([self.words >> cut << odd | odd, pair >> cut << odd, triple >> cut << odd])
 
     def counts(self, known: np.ndarray) -> np.ndarray:
         """How often each occurs among the scored tokens that ``known`` marks."""
@@ -280,21 +284,32 @@ def _of_row(row: dict) -> tuple[Grams, np.ndarray]:
     return grams, np.repeat(~np.array(row["held"], bool), size)
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """Numbers by their first bytes, their second bytes, ..., as small ones then compress to little."""
+    return counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _counts_of(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
 def _sent(shards: int):
-    """Rows ``(shard, part, names, counts)`` of each part, the names of a shard being a range of the sorted names."""
+    """Rows ``(shard, part, names, counts)`` of each part; the names of a shard are in order and in Elias-Fano form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 grams, known = _of_row(row)
-                names = grams.names()
+                names = grams.names(shards)
                 order = np.argsort(names)
-                names, counts = names[order], grams.counts(known)[order].astype(np.uint32)
-                half = np.uint64(32)
-                cuts = np.searchsorted((names >> half) * np.uint64(shards) >> half, np.arange(shards + 1))
-                for s in range(0, shards, 1024):
-                    own = range(s, min(shards, s + 1024))
-                    columns = [pa.array(own, pa.int32()), pa.array([row["part"]] * len(own), pa.int64()), *(pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in own], pa.binary()) for x in (names, counts))]
+                names, counts = names[order].astype(np.int64), grams.counts(known)[order]
+                cuts = np.searchsorted(names >> NAME_BITS, np.arange((1 << shards) + 1))
+                inner = names & ((1 << NAME_BITS) - 1)
+                for s in range(0, 1 << shards, 256):
+                    own = range(s, min(1 << shards, s + 256))
+                    sent = [EliasFano.of(inner[cuts[k] : cuts[k + 1]]).to_bytes() for k in own], [_planes(counts[cuts[k] : cuts[k + 1]]) for k in own]
+                    columns = [pa.array(own, pa.int32()), pa.array([row["part"]] * len(own), pa.int64()), *(pa.array(x, pa.binary()) for x in sent)]
                     yield pa.RecordBatch.from_arrays(columns, names=["shard", "part", "names", "counts"])
 
     return run
@@ -302,27 +317,26 @@ def _sent(shards: int):
 
 def _summed(table: pa.Table) -> pa.Table:
     """Sums of a shard, given back to each part in the order of its names; a row with part -1 has the training tokens and distinct words of the shard."""
-    names = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["names"]])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["counts"]])
-    distinct, inverse = np.unique(names, return_inverse=True)
-    sums = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-    words = sums[(distinct & np.uint64(1)) == 1]
-    ends = np.cumsum([len(x.as_buffer()) // 8 for x in table["names"]])
-    sent = [x.tobytes() for x in np.split(sums[inverse], ends)]
+    names = [EliasFano.from_bytes(x.as_py()).values() for x in table["names"]]
+    ends = np.cumsum([len(x) for x in names])
+    distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    sums = np.bincount(inverse, np.concatenate([_counts_of(x) for x in table["counts"]]), len(distinct)).astype(np.int64)
+    words = sums[(distinct & 1) == 1]
+    sent = [_planes(x) for x in np.split(sums[inverse], ends)]
     n = len(sent)
     columns = [[*table["part"].to_pylist(), -1], [table["shard"][0].as_py()] * n, sent, [0] * (n - 1) + [int(words.sum())], [0] * (n - 1) + [int((words > 0).sum())]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "shard", "sums", "tokens", "distinct"])
 
 
-def _scored(total: int, distinct: int, kind: pa.DataType):
+def _scored(total: int, distinct: int, shards: int, kind: pa.DataType):
     def run(part: pa.Table, sums: pa.Table) -> pa.Table:
         out = []
         for row in part.to_pylist():
             grams, _ = _of_row(row)
             order = np.argsort(sums["shard"].to_numpy())
-            got = np.concatenate([np.frombuffer(sums["sums"][k].as_buffer(), np.int64) for k in order.tolist()])
+            got = np.concatenate([_counts_of(sums["sums"][k]) for k in order.tolist()])
             counts = np.empty(len(got), np.int64)
-            counts[np.argsort(grams.names())] = got
+            counts[np.argsort(grams.names(shards))] = got
             two, three = Trie(grams, counts, total, distinct).score(grams)
             score = two[grams.pair_of]
             score[grams.third] = three[grams.triple_of]
@@ -346,7 +360,7 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     trigram model, of which each token's is rounded to 1/2048; ``base_score`` that under add-one word counts; ``n_known`` counts tokens that
     training texts have. Null and empty texts are their end alone; repeated rows count and are scored each; null ids stay; texts of any length
     are cut into parts; without training texts every token has probability 1; an empty table gives an empty result; other columns are
-    ignored. Of 10^9 distinct n-grams, 0.03 pairs are to be expected to share a name.
+    ignored. Of the 2^21 or so names of a shard, a fiftieth of a pair is to be expected to be one by chance.
     """
     spark = small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -355,12 +369,12 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     parts = materialise(rows.mapInArrow(lambda b: _parts(b, part_tokens), schema), "parts")
     # About two names a token, of four bytes.
     names = (parts.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 2
-    shards = max(1, names // shard_names)
+    shards = min(MOST_SHARDS, max(0, names // shard_names).bit_length())
     sums = parts.mapInArrow(_sent(shards), "shard int, part long, names binary, counts binary").groupBy("shard").applyInArrow(_summed, "part long, shard int, sums binary, tokens long, distinct long")
     sums = materialise(sums, "sums")
     total, distinct = (x or 0 for x in sums.where("part = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
     arrow = parts.select("ids").limit(0).toArrow().schema.field("ids").type.value_type
-    found = parts.groupBy("part").cogroup(sums.where("part >= 0").select("part", "shard", "sums").groupBy("part")).applyInArrow(_scored(total, distinct, arrow), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    found = parts.groupBy("part").cogroup(sums.where("part >= 0").select("part", "shard", "sums").groupBy("part")).applyInArrow(_scored(total, distinct, shards, arrow), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # A text that went over several parts gets the sum of their scores.
     whole = found.groupBy("uid").agg(F.first("id").alias(id_col), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return whole.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
