@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import membership as M
 from millrace.functions import text as T
 
-#: Most n-grams of the evaluation side that are broadcast; a larger index is joined by shuffling.
-BROADCAST_NGRAMS = 2_000_000
-
-
 def sample_text(completion: DataFrame | None = None, infilling: DataFrame | None = None) -> DataFrame:
     """Distinct texts ``text`` of the two problem dialects, each its parts put together."""
     parts = []
@@ -35,33 +32,20 @@ def ngram_index(texts: DataFrame, n: int = 10, text_col: str = "text") -> DataFr
     return w.select(F.explode(_grams(F.col("w"), n, lambda x: F.array_join(x, " "))).alias("ngram")).distinct()
 
 
-def _keyed(df: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` and ``key``, the 64-bit key of each n-gram: words are hashed once, and runs of their hashes again."""
-    hashed = df.select(*keep, F.transform(T.words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= n)
-    placed = hashed.select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("i"))
-    return placed.select(*keep, F.xxhash64(*[F.get("h", F.col("i") + k) for k in range(n)]).alias("key"))
-
-
-def contaminated(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text", broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text", filter_bytes: int = M.FILTER_BYTES) -> DataFrame:
     """Distinct ``id_col`` of documents that share a word n-gram with the evaluation texts.
 
-    N-grams are of the whole content. Documents are matched by 64-bit keys, which travel
-    well; the few that match are checked against the n-grams themselves.
+    N-grams are of the whole content. A filter of the evaluation side's n-grams, of at most ``filter_bytes`` whatever their number, is
+    probed in one scan of the documents; no n-gram is shuffled but those that it lets pass, which are then held against the n-grams
+    themselves. Null texts have none; a null id is given once if a row with it shares one.
     """
-    keys = _keyed(texts, n, [], eval_text_col).distinct()
-    # A bound of the index, counted without making it, says how it may be joined.
-    most = texts.agg(F.sum(F.greatest(F.size(T.words(F.col(eval_text_col))) - (n - 1), F.lit(0)))).first()[0] or 0
-    if most <= broadcast_ngrams:
-        keys = F.broadcast(keys)
-    near = _keyed(docs, n, [id_col], text_col).join(keys, "key", "left_semi").select(F.col(id_col).alias("__id")).distinct()
-    # By <=>, so that rows without an id are matched too.
-    suspects = docs.select(id_col, text_col).join(near, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    w = suspects.select(id_col, T.words(F.col(text_col)).alias("w")).where(F.size("w") >= n)
-    exact = w.select(id_col, F.explode(F.array_distinct(_grams(F.col("w"), n, lambda x: F.array_join(x, " ")))).alias("ngram"))
-    return exact.join(ngram_index(texts, n, eval_text_col), "ngram", "left_semi").select(id_col).distinct()
+    found = M.build_filter(texts, n, eval_text_col, filter_bytes)
+    if found is None:
+        return docs.select(id_col).limit(0)
+    return M.probe(docs, found, n, id_col, text_col).join(ngram_index(texts, n, eval_text_col), "ngram", "left_semi").select(id_col).distinct()
 
 
 def decontaminate(docs: DataFrame, texts: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", eval_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that share no word n-gram with the evaluation texts."""
+    """The rows of ``docs`` that share no word n-gram with the evaluation texts; their texts are read once, other columns as they are asked for."""
     bad = contaminated(docs, texts, n, id_col, text_col, eval_text_col).withColumnRenamed(id_col, "__id")
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

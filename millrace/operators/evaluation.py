@@ -63,50 +63,66 @@ def check_program(prompt: Column, completion: Column, suffix: Column, test: Colu
     return F.concat(prompt, completion, suffix, F.lit("\n"), test, F.lit("\n"), F.lit("check("), entry_point, F.lit(")"))
 
 
-#: Accuracy of the first pass of exact percentiles: the second looks at a few rows in so many.
-BRACKET = 10_000
+#: Buckets of the first histogram between a number and its double; cells of the second in a bucket.
+OCTAVE, CELLS = 32, 4096
 
 
-def exact_percentiles(values: DataFrame, by: list[str], shares: list[float], also: list[Column] = ()) -> DataFrame:
-    """``by``, the aggregates ``also`` and ``p0, p1, ...``: the interpolated percentiles of the column ``value`` (not null) by group, of which there are few.
-
-    Approximate percentiles a little below and above bracket each one; values below the bracket are only counted,
-    and only those inside are put in order, so no task holds a group's values.
-    """
-    slack = 4.0 / BRACKET
-    edges = [min(max(x, 0.0), 1.0) for q in shares for x in (q - slack, q + slack)]
-    first = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("value").alias("__least"), F.max("value").alias("__most"), F.percentile_approx("value", edges, BRACKET).alias("__edges"), F.struct(F.lit(0).alias("__"), *also).alias("__also"))
-    # Few values are all inside: the slack is less than a rank there.
-    few = F.col("__n") <= 5 * BRACKET
-    low = [F.when(few, F.col("__least")).otherwise(F.col("__edges")[2 * k]).alias("low") for k in range(len(shares))]
-    high = [F.when(few, F.col("__most")).otherwise(F.col("__edges")[2 * k + 1]).alias("high") for k in range(len(shares))]
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("__n") - 1)).alias("spot"), low[k], high[k]) for k, q in enumerate(shares)])
-    asked = first.select(*by, "__also", F.inline(wanted))
-    match = [F.col(f"v.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by]
-    met = values.alias("v").join(F.broadcast(asked).alias("a"), match) if by else values.alias("v").crossJoin(F.broadcast(asked).alias("a"))
-    keys = [*[F.col(f"a.{c}").alias(c) for c in by], "a.k", "a.spot", "a.__also"]
-    counted = met.where("value <= high").select(*keys, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).groupBy(*by, "k", "spot", "__also", "value").agg(F.count("*").alias("m"))
-    order = Window.partitionBy(*by, "k").orderBy(F.col("value").asc_nulls_first())
-    placed = counted.withColumn("upto", F.sum("m").over(order)).where(F.col("value").isNotNull())
-    floor, ceil = F.floor("spot"), F.ceil("spot")
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    found = placed.groupBy(*by, "k", "spot", "__also").agg(at(floor).alias("a"), at(ceil).alias("b"))
-    value = F.when(floor == ceil, F.col("a")).otherwise((ceil - F.col("spot")) * F.col("a") + (F.col("spot") - floor) * F.col("b"))
-    out = found.groupBy(*by, "__also").agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"p{k}") for k in range(len(shares))])
-    return out.select(*by, "__also.*", *[f"p{k}" for k in range(len(shares))]).drop("__")
+def _bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises, and rises by ``OCTAVE`` where the value doubles."""
+    # Exponents of a double lie between -1074 and 1024.
+    size = F.floor((F.log2(F.least(F.abs(value), F.lit(1.7e308))) + 1075) * OCTAVE)
+    return F.when(F.isnan(value), F.lit(1 << 40)).when(value > 0, size + 1).when(value < 0, -size - 1).otherwise(F.lit(0))
 
 
-def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
-    """Totals, throughputs and latency statistics of ``success, latency, ttft, itl, prompt_len, output_len``; statistics of nothing are 0.
+def value_statistics(values: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """``by, n, mean, std, p0, p1, ...``: moments and interpolated percentiles of the column ``value`` (double, not null) by group, of which there are few.
 
-    Only successful requests count in latencies and output; time per output token needs more than one token. Every
-    measured time is a row, its medians and percentiles come of :func:`exact_percentiles`, and all is joined
-    to the totals' handful of groups.
+    Selection by histograms that merge: one pass counts values by :func:`_bucket`, which says in which bucket each wanted rank lies and
+    gives the moments too; a second pass counts the distinct values of those buckets, in ``CELLS`` cells each, and
+    only the values of the cells in which a rank lies are put in order. Both passes are partial sums where the values lie. No task orders
+    or holds a group's values; the first histogram has at most 134,272 rows a group, the second 4,096 a bucket.
     """
-    by = by or []
+    keyed = values.select(*by, "value", _bucket(F.col("value")).alias("bucket"))
+    # Broadcast and joined tables below have a row for each group, wanted rank or bucket.
+    first = keyed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min("value").alias("low"), F.max("value").alias("high"))
+    group = Window.partitionBy(*by)
+    total = F.sum(F.col("n") * F.col("mean")).over(group) / F.sum("n").over(group)
+    placed = first.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all"), total.alias("total"))
+    spread = F.sqrt(F.sum(F.col("n") * (F.col("var") + (F.col("mean") - F.col("total")) ** 2)) / F.first("all"))
+    ranks = [F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(F.lit(q) * (F.col("all") - 1)).alias("rank")) for k, q in enumerate(shares) for up in (False, True)]
+    asked = placed.select("*", F.inline(F.array(*ranks))).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    asked = asked.select(*by, "bucket", "low", "high", "k", "up", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+
+    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
+    pick = lambda a, names: [F.col(f"{a}.{c}").alias(c) for c in names]
+    place = [*by, "bucket"]
+    cell = F.coalesce(F.floor((F.col("v.value") - F.col("a.low")) / (F.col("a.high") - F.col("a.low")) * (CELLS - 1)), F.lit(0))
+    inside = keyed.alias("v").join(F.broadcast(asked.select(*place, "low", "high").distinct()).alias("a"), same("v", "a", place))
+    counted = inside.select(*pick("v", place), F.when(F.col("a.high") > F.col("a.low"), cell).otherwise(0).alias("cell"), "v.value").groupBy(*place, "cell", "value").agg(F.count("*").alias("m"))
+    cells = counted.groupBy(*place, "cell").agg(F.sum("m").alias("m"))
+    reached = cells.select("*", F.sum("m").over(Window.partitionBy(*place).orderBy("cell")).alias("upto"))
+    hit = reached.alias("c").join(F.broadcast(asked).alias("a"), [*same("c", "a", place), F.col("a.rank") < F.col("c.upto"), F.col("a.rank") >= F.col("c.upto") - F.col("c.m")])
+    hit = hit.select(*pick("c", [*place, "cell"]), "a.k", "a.up", (F.col("a.rank") - F.col("c.upto") + F.col("c.m")).alias("rank"))
+    final = counted.alias("v").join(F.broadcast(hit).alias("h"), same("v", "h", [*place, "cell"])).select(*pick("v", by), "h.k", "h.up", "h.rank", "v.value", "v.m")
+    ordered = final.select("*", F.sum("m").over(Window.partitionBy(*by, "k", "up").orderBy("value")).alias("upto"))
+    found = ordered.where("rank < upto").groupBy(*by, "k", "up").agg(F.min("value").alias("value"))
+    ends = found.groupBy(*by).agg(*[F.max(F.when((F.col("k") == k) & (F.col("up") == up), F.col("value"))).alias(f"{'ab'[up]}{k}") for k in range(len(shares)) for up in (False, True)])
+
+    moments = placed.groupBy(*by).agg(F.first("all").alias("n"), F.first("total").alias("mean"), spread.alias("std"))
+    both = moments.alias("m").join(F.broadcast(ends).alias("e"), same("m", "e", by)) if by else moments.alias("m").crossJoin(F.broadcast(ends).alias("e"))
+    out = []
+    for k, q in enumerate(shares):
+        spot = F.lit(q) * (F.col("m.n") - 1)
+        low, high = F.floor(spot), F.ceil(spot)
+        out.append(F.when(low == high, F.col(f"a{k}")).otherwise((high - spot) * F.col(f"a{k}") + (spot - low) * F.col(f"b{k}")).alias(f"p{k}"))
+    return both.select(*pick("m", [*by, "n", "mean", "std"]), *out)
+
+
+def request_totals(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
+    """Counts, token totals, throughputs and the mean latency of ``success, latency, prompt_len, output_len``; only successful requests count in latency and output."""
     ok = F.coalesce("success", F.lit(False))
     out_len = F.when(ok, F.col("output_len")).otherwise(0)
-    totals = responses.groupBy(*by).agg(
+    return responses.groupBy(*(by or [])).agg(
         F.count("*").alias("requests"),
         F.count_if(ok).alias("completed"),
         F.sum("prompt_len").alias("total_input"),
@@ -116,13 +132,25 @@ def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | Non
         (F.sum(out_len) / duration_s).alias("output_throughput"),
         (F.avg(F.when(ok, F.col("latency"))) * 1000).alias("avg_latency_ms"),
     )
+
+
+def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
+    """Totals, throughputs and latency statistics of ``success, latency, ttft, itl, prompt_len, output_len``; statistics of nothing are 0.
+
+    Totals are those of :func:`request_totals`; time per output token needs more than one token. Every
+    measured time is a row, its statistics come of :func:`value_statistics`, and all is joined
+    to the totals' handful of groups.
+    """
+    by = by or []
+    ok = F.coalesce("success", F.lit(False))
+    totals = request_totals(responses, duration_s, by)
     times = ["ttft", "tpot", "itl"]
     tpot = F.when(F.col("output_len") > 1, (F.col("latency") - F.col("ttft")) / (F.col("output_len") - 1))
     one = lambda name, value: F.struct(F.lit(name).alias("time"), value.cast("double").alias("value"))
     measured = F.concat(F.array(one("ttft", F.col("ttft")), one("tpot", tpot)), F.transform(F.coalesce("itl", F.array().cast("array<double>")), lambda x: one("itl", x)))
     values = responses.where(ok).select(*by, F.inline(measured)).where("value is not null")
     keys = [*by, "time"]
-    stats = exact_percentiles(values, keys, [0.5, 0.99], [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")])
+    stats = value_statistics(values, keys, [0.5, 0.99])
     kinds = {"mean": "mean", "median": "p0", "std": "std", "p99": "p1"}
     wide = stats.groupBy(*by).agg(*[F.max(F.when(F.col("time") == t, F.col(c))).alias(f"{k}_{t}_ms") for t in times for k, c in kinds.items()])
     if by:

@@ -42,7 +42,7 @@ def cross_file_context(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(),
     A neighbour is another file of the repository whose path begins with the file's folder
     (``literal_prefix``: with the folder's name, so ``foo_bar/x`` too is below ``foo``). Costs are at least two,
     so the running sum grows and the first overflow ends the list. Files are compared within folders, not
-    repositories: a file meets those of its own folder and of folders below it.
+    repositories: a file meets those of its own folder and of folders below it; ``literal_prefix`` sweeps the sorted paths of a repository once.
     """
     snippet = T.head_lines(F.col("content"), cfg.cross_lines)
     heads = files.select("repo_name", "path", snippet.alias("text")).withColumns(
@@ -56,8 +56,9 @@ def cross_file_context(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(),
         nexts = F.collect_list(item).over(Window.partitionBy("repo_name").orderBy("path").rowsBetween(0, size - 1))
         lists = heads.select("repo_name", F.col("path").alias("at"), F.lit(1).alias("kind"), nexts.alias("nexts"))
         folders = files.select("repo_name", folder.alias("at"), F.lit(0).alias("kind")).distinct().withColumn("nexts", F.lit(None).cast(lists.schema["nexts"].dataType))
-        ahead = Window.partitionBy("repo_name").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-        first = lists.unionByName(folders).withColumn("found", F.first("nexts", ignorenulls=True).over(ahead)).where("kind = 0")
+        # Read from the last path up, a folder comes just after the first path that is not before its name: the list seen last.
+        upwards = Window.partitionBy("repo_name").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+        first = lists.unionByName(folders).withColumn("found", F.last("nexts", ignorenulls=True).over(upwards)).where("kind = 0")
         below = first.select("repo_name", F.col("at").alias("folder"), F.inline("found")).where(F.startswith("path", F.col("folder")))
         asks = files.select("repo_name", F.col("path").alias("own"), folder.alias("folder"))
         pairs = asks.join(below, ["repo_name", "folder"]).where(F.col("path") != F.col("own"))

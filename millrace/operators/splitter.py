@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as st
 
 from millrace.functions import text as T
 
@@ -17,62 +13,66 @@ def check_language(language: str) -> None:
         raise ValueError("only Python is supported")
 
 
-def function_blocks(code: str) -> list[tuple[int, int]]:
-    """Spans of all function blocks, nested ones too, in order of their headers.
+#: A line with what ends it.
+_BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+_LINE = rf"[^{_BREAKS}]*(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]+"
+_SPAN = "struct<away: int, no: int, first: int, end: int>"
+_FOLD = f"struct<at: int, no: int, open: array<struct<indent: int, no: int, first: int>>, above: struct<indent: int, first: int>, inner: {_SPAN}, any: {_SPAN}, spans: array<{_SPAN}>>"
+
 
-    One pass down the lines with a stack of open functions: a line that is not blank closes every function
+def _blocks(text: Column, every: bool) -> Column:
+    """The state after all lines: with ``every`` its ``spans`` are all function blocks, else ``inner`` and ``any`` the nearest to the middle.
+
+    One fold down the lines with a stack of open functions: a line that is not blank closes every function
     whose header is indented as far or further. A block takes in the decorators right above its header and
-    the blank lines before the line that closes it.
+    the blank lines before the line that closes it. The stack is as deep as functions are nested, so a line costs little whatever the text.
     """
-    spans: list[list[int]] = []
-    open_: list[tuple[int, int]] = []  # indent, index into spans
-    decorators: tuple[int, int] | None = None  # indent and start of the run of decorator lines just above
-    at = 0
-    for line in code.splitlines(keepends=True):
-        bare = line.lstrip(" \t")
-        indent = len(line) - len(bare)
-        blank = not line.strip()
-        if not blank:
-            while open_ and open_[-1][0] >= indent:
-                spans[open_.pop()[1]][1] = at
-        if bare.startswith(("def ", "async def ")):
-            start = decorators[1] if decorators and decorators[0] == indent else at
-            open_.append((indent, len(spans)))
-            spans.append([start, len(code)])
-        if bare.startswith("@"):
-            if not (decorators and decorators[0] == indent):
-                decorators = (indent, at)
-        else:
-            decorators = None
-        at += len(line)
-    return [(a, b) for a, b in spans]
-
-
-def three_parts(code: str) -> tuple[str, str, str]:
-    """Prefix, the block nearest the middle of the text (inner blocks first), suffix; halves and nothing if there is no block."""
-    blocks = function_blocks(code)
-    if not blocks:
-        half = len(code) // 2
-        return code[:half], code[half:], ""
-    inner = [b for b in blocks if b[0] > 0 and b[1] < len(code)]
-    start, end = min(inner or blocks, key=lambda b: abs(b[0] + b[1] - len(code)))
-    return code[:start], code[start:end], code[end:]
+    size = F.length(text)
+
+    def close(acc: Column, here: Column, closed: Column, **fields: Column) -> Column:
+        spans = F.transform(closed, lambda f: F.struct(F.abs(f["first"] + here - size).alias("away"), f["no"].alias("no"), f["first"].alias("first"), here.alias("end")))
+        # Nearest first, then by header.
+        inner = F.array_min(F.array_append(F.filter(spans, lambda x: (x["first"] > 0) & (x["end"] < size)), acc["inner"]))
+        state = fields | {"inner": inner, "any": F.array_min(F.array_append(spans, acc["any"])), "spans": F.concat(acc["spans"], spans) if every else acc["spans"]}
+        return F.struct(*[state[c].alias(c) for c in ("at", "no", "open", "above", "inner", "any", "spans")]).cast(_FOLD)
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.ltrim(line, F.lit(" \t"))
+        indent = F.length(line) - F.length(bare)
+        blank = line.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
+        header = bare.rlike(r"\A(?:async )?def ")
+        same = acc["above"]["indent"] == indent
+        first = F.when(same, acc["above"]["first"]).otherwise(acc["at"])
+        kept = F.filter(acc["open"], lambda f: blank | (f["indent"] < indent))
+        opened = F.array_append(kept, F.struct(indent.alias("indent"), acc["no"].alias("no"), first.alias("first")))
+        above = F.when(F.startswith(bare, F.lit("@")), F.struct(indent.alias("indent"), first.alias("first"))).otherwise(F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")))
+        closed = F.filter(acc["open"], lambda f: ~blank & (f["indent"] >= indent))
+        return close(acc, acc["at"], closed, at=acc["at"] + F.length(line), no=acc["no"] + header.cast("int"), open=F.when(header, opened).otherwise(kept), above=above)
+
+    none = F.lit(None).cast(_SPAN)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().alias("open"), F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")).alias("above"), none.alias("inner"), none.alias("any"), F.array().alias("spans"))
+    end = lambda acc: close(acc, size, acc["open"], at=acc["at"], no=acc["no"], open=acc["open"], above=acc["above"])
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), zero.cast(_FOLD), step, end)
+
+
+def function_blocks(text: Column) -> Column:
+    """Places ``first`` and ``end`` of all function blocks, nested ones too, in order of their headers."""
+    spans = F.array_sort(F.transform(_blocks(text, True)["spans"], lambda x: F.struct(x["no"].alias("no"), x["first"].alias("first"), x["end"].alias("end"))))
+    return F.transform(spans, lambda x: F.struct(x["first"].alias("first"), x["end"].alias("end")))
 
 
 def split_functions(df: DataFrame, text_col: str = "text", language: str = "python") -> DataFrame:
-    """``df`` and ``prefix, middle, suffix``; null texts give nulls. Runs in Arrow batches."""
-    check_language(language)
-    names = df.columns + ["prefix", "middle", "suffix"]
-    place = df.columns.index(text_col)
+    """``df`` and ``prefix, middle, suffix``: the middle is the function block nearest the middle of the text, inner blocks first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [three_parts(t) if t is not None else (None, None, None) for t in batch.column(place).to_pylist()]
-            added = [pa.array([p[i] for p in parts], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
-
-    kind = st.StructType([*df.schema.fields, *(st.StructField(name, st.StringType()) for name in names[-3:])])
-    return df.mapInArrow(run, kind)
+    Of blocks equally near, the first header's is taken. A text without a block is halved and has no suffix; null texts give nulls.
+    """
+    check_language(language)
+    text = F.col(text_col)
+    found = _blocks(text, False)
+    near = df.withColumn("__found", found).withColumn("__near", F.coalesce("__found.inner", "__found.any"))
+    first, end = F.coalesce("__near.first", F.floor(F.length(text) / 2).cast("int")), F.coalesce("__near.end", F.length(text))
+    parts = {"prefix": F.substring(text, F.lit(1), first), "middle": F.substring(text, first + 1, end - first), "suffix": F.substring(text, end + 1, F.length(text))}
+    return near.withColumns(parts).drop("__found", "__near")
 
 
 def parts_of(text: Column, k: int) -> Column:

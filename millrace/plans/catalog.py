@@ -207,6 +207,14 @@ def cross_file_context(spark, d):
     return samples.cross_file_context(_plain_files(spark, d))
 
 
+@query
+def cross_file_context_literal(spark, d):
+    """Neighbours by plain prefix, in folders of which one name begins another's."""
+    path = F.when(F.col("doc_id") % 3 == 0, F.replace("path", F.lit("/f"), F.lit("_more/f"))).otherwise(F.col("path"))
+    files = V.repo_files(spark, d).select("repo_name", path.alias("path"), "content")
+    return samples.cross_file_context(files, literal_prefix=True)
+
+
 @query
 def intra_cross_ratio(spark, d):
     files = _plain_files(spark, d)
@@ -404,12 +412,12 @@ def check_program(spark, d):
 
 @query
 def success_filter(spark, d):
-    return E.latency_metrics(V.requests(spark, d), 100.0, ["mode"]).select("mode", "requests", "completed", "total_output")
+    return E.request_totals(V.requests(spark, d), 100.0, ["mode"]).select("mode", "requests", "completed", "total_output")
 
 
 @query
 def throughput(spark, d):
-    m = E.latency_metrics(V.requests(spark, d), 100.0)
+    m = E.request_totals(V.requests(spark, d), 100.0)
     return m.select("requests", "completed", "total_input", _r("request_throughput"), _r("input_throughput"), _r("output_throughput"))
 
 

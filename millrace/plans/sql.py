@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.config import JUNK_TOKENS
+from millrace.config import END_MARKS, JUNK_TOKENS, START_MARKS
 
 FILES = """
 files as (select d.doc_id, concat(lang, '/', source) as repo_name,
@@ -181,3 +181,56 @@ ORACLE_SQL |= {
         drawn as (select repo_name, d as draw, ({draw('(seed + 7919 * d)', 6)}) // 65536 % size as spot from sizes cross join range(0, 4) t(d) where size > 4)
         select doc_id, n.repo_name, draw from numbered n join drawn using (repo_name, spot) union all select doc_id, n.repo_name, spot as draw from numbered n join sizes using (repo_name) where size <= 4""",
 }
+
+#: Line breaks and white space in RE2; a line is taken with what ends it.
+BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+BLANKS = r"\t \x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+
+
+def lines_of(source: str, key: str, text: str) -> str:
+    """``key, no, line, at`` of each line, from 1 and from 0."""
+    listed = rf"regexp_extract_all({text}, '[^{BREAKS}]*(?:\r\n|[{BREAKS}])|[^{BREAKS}]+')"
+    return f"select *, (sum(length(line)) over (partition by {key} order by no) - length(line))::bigint as at from (select {key}, unnest({listed}) as line, generate_subscripts({listed}, 1) as no from {source})"
+
+
+CODE = r"code as (select doc_id, regexp_replace(coalesce(text, ''), '\.\n', E'.\ndef f():\n    ', 'g') as text from documents)"
+FUNCTIONS = f"""{CODE},
+lines as ({lines_of("code", "doc_id", "text")}),
+seen as (select *, ltrim(line, ' ' || chr(9)) as bare, length(line) - length(ltrim(line, ' ' || chr(9))) as indent, regexp_full_match(line, '[{BREAKS}{BLANKS}]*') as blank from lines),
+heads as (select * from seen where regexp_matches(bare, '^(async )?def ')),
+ends as (select h.doc_id, h.no, min(l.at) as e from heads h join seen l on l.doc_id = h.doc_id and l.no > h.no and not l.blank and l.indent <= h.indent group by all),
+tops as (select h.doc_id, h.no, max(l.no) as above from heads h join seen l on l.doc_id = h.doc_id and l.no < h.no and not (l.indent = h.indent and starts_with(l.bare, '@')) group by all),
+spans as (select h.doc_id, h.no, t.at as a, coalesce(e.e, length(c.text)) as e, length(c.text) as n
+  from heads h join code c using (doc_id) left join ends e using (doc_id, no) left join tops p using (doc_id, no) join lines t on t.doc_id = h.doc_id and t.no = coalesce(p.above, 0) + 1),
+nearest as (select doc_id, arg_min(a, k) as a, arg_min(e, k) as e from (select *, (case when a > 0 and e < n then 0 else 1 end, abs(a + e - n), no) as k from spans) group by doc_id),
+cut as (select c.doc_id, text, coalesce(a, length(text) // 2) as a, coalesce(e, length(text)) as e from code c left join nearest using (doc_id)),
+parts as (select doc_id, text[1:a] as prefix, text[a + 1:e] as middle, text[e + 1:] as suffix from cut)"""
+
+
+def marked(marks: list[str]) -> str:
+    return f"'^[{BLANKS}]*(?:{'|'.join(marks)})'"
+
+
+def sfim(source: str, p: str, s: str, tail: str) -> str:
+    """Parts of a prompt whose function begins at the last marked line of ``p`` and ends before the first of ``s``."""
+    return f"""flat as (select *, replace({p}, chr(13) || chr(10), chr(10)) as p, replace({s}, chr(13) || chr(10), chr(10)) as s from {source}),
+begins as (select doc_id, max(l.at) as b from ({lines_of("flat", "doc_id", "p")}) l where regexp_matches(line, {marked(START_MARKS)}) group by doc_id),
+stops as (select doc_id, min(l.at) as e from ({lines_of("flat", "doc_id", "s")}) l where regexp_matches(line, {marked(END_MARKS)}) group by doc_id),
+placed as (select f.*, coalesce(b, 0) as b, coalesce(e, length(s)) as e from flat f left join begins using (doc_id) left join stops using (doc_id)),
+sfim as (select *, '{PRE}' || p[1:b] || '{SUF}' || s[e + 1:] || '{PRE}' || p[b + 1:] || '{SUF}' || s[1:e] || '{MID}' || {tail} as sfim from placed)"""
+
+
+FAR = FILES + ", far as (select doc_id, repo_name, case when doc_id % 3 = 0 then replace(path, '/f', '_more/f') else path end as path, content from files)"
+ORACLE_SQL |= {
+    "function_split": f"with {FUNCTIONS} select * from parts",
+    "rounds_function": f"with {FUNCTIONS}, r as (select *, length(middle) as m, unnest(range(2, 7)) as i from parts) select doc_id, i - 2 as round, prefix, middle[1:i * (m // 6) + least(i, m % 6)] as middle, suffix from r",
+    "prompt_sfim": f"with {CODE}, thirds as (select doc_id, text[1:length(text) // 3 * 2] as head, text[length(text) // 3 * 2 + 1:] as tail from code), {sfim('thirds', 'head', 'tail', chr(39) * 2)} select doc_id, sfim as prompt from sfim",
+    "training_prompts": f"""with {FILES}, t as (select doc_id, '<|file_sep|>' || path || chr(10) || content as text, length('<|file_sep|>' || path || chr(10) || content) as n from files), {CUT},
+        long as (select doc_id, text[1:a] as head, text[a + 1:b] as middle, text[b + 1:] as tail from c2), {sfim('long', 'head', 'tail', "replace(middle, chr(13) || chr(10), chr(10))")},
+        moded as (select doc_id, text, ({draw('doc_id', 3)}) / 2147483648.0 as u from t)
+        select doc_id, case when u < 0.5 then 'sfim' when u < 0.8 then 'fim' else 'l2r' end as mode,
+          case when head is null or u >= 0.8 then text when u >= 0.5 then '{PRE}' || head || '{SUF}' || tail || '{MID}' || middle else sfim end || '<|endoftext|>' as prompt
+        from moded left join sfim using (doc_id)""",
+    "cross_file_context_literal": f"with {CONTEXT.replace('from files)', 'from far)').replace(FILES, FAR).replace('from files a', 'from far a')} select * from ctx",
+}
+ORACLE_SQL["cross_file_context_literal"] = ORACLE_SQL["cross_file_context_literal"].replace("starts_with(b.path, split_part(a.path, '/', 1) || '/')", "starts_with(b.path, split_part(a.path, '/', 1))")

@@ -126,13 +126,48 @@ def test_training_prompts_hold_each_part_once(spark):
     assert {r["mode"] for r in out} == {"l2r", "fim", "sfim"}
 
 
-def test_blocks():
+def plain_blocks(code):
+    """Spans of function blocks, each header on its own."""
+    lines, at = [], 0
+    for line in code.splitlines(keepends=True):
+        lines.append((at, len(line) - len(line.lstrip(" \t")), line.lstrip(" \t"), not line.strip()))
+        at += len(line)
+    spans = []
+    for i, (at, indent, bare, _) in enumerate(lines):
+        if bare.startswith(("def ", "async def ")):
+            k = i
+            while k and lines[k - 1][1] == indent and lines[k - 1][2].startswith("@"):
+                k -= 1
+            spans.append((lines[k][0], next((x[0] for x in lines[i + 1 :] if not x[3] and x[1] <= indent), len(code))))
+    return spans
+
+
+def plain_parts(code):
+    spans = plain_blocks(code)
+    inner = [s for s in spans if s[0] > 0 and s[1] < len(code)]
+    a, b = min(inner or spans or [(len(code) // 2, len(code))], key=lambda s: abs(s[0] + s[1] - len(code)))
+    return code[:a], code[a:b], code[b:]
+
+
+def test_blocks(spark):
     code = "import os\n\n@dec\ndef a():\n    return 1\n\ndef b():\n    return 2\n"
-    assert splitter.function_blocks(code) == [(11, 39), (39, 61)]
-    assert splitter.three_parts(code) == (code[:11], code[11:39], code[39:])
-    assert splitter.three_parts("") == ("", "", "") and splitter.three_parts("abc") == ("a", "bc", "")
     nested = "def a():\n  def b():\n    x\n  y\nz\n"
-    assert splitter.function_blocks(nested) == [(0, 30), (9, 26)]
+    assert plain_blocks(code) == [(11, 39), (39, 61)] and plain_blocks(nested) == [(0, 30), (9, 26)]
+    assert plain_parts(code) == (code[:11], code[11:39], code[39:]) and plain_parts("abc") == ("a", "bc", "")
+    rng = random.Random(5)
+    pieces = ["def f():", "async def g(x):", "@dec", "x = 1", "", "  ", "class C:", "\t# é", "\x1f", "\u2003", "defx", "@"]
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b", "\x1c", "\x85", "\u2028"]
+    texts = [code, nested, "", "abc", "@a\n @b\n@c\ndef f(): pass", None]
+    texts += ["".join(rng.choice(["", "", "  ", "    ", "\t"]) + rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(1, 25)))[: rng.choice([None, -1])] for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    out = splitter.split_functions(df)
+    for r in out.select("text", "prefix", "middle", "suffix", splitter.function_blocks(F.col("text")).alias("blocks")).collect():
+        if r["text"] is None:
+            assert tuple(r) == (None,) * 5
+        else:
+            assert [tuple(x) for x in r["blocks"]] == plain_blocks(r["text"]), repr(r["text"])
+            assert tuple(r)[1:4] == plain_parts(r["text"]), repr(r["text"])
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         splitter.check_language("java")
 
@@ -175,7 +210,7 @@ def test_decontamination_splits_the_input(spark):
     assert {r[0] for r in D.decontaminate(docs, bench).collect()} == {2, 3, 4}
     assert D.decontaminate(docs, bench.limit(0)).count() == 5
     # A large index is joined by shuffling, with the same result.
-    assert {r[0] for r in D.contaminated(docs, bench, broadcast_ngrams=0).collect()} == {1, None}
+    assert {r[0] for r in D.contaminated(docs, bench, filter_bytes=64).collect()} == {1, None}
 
 
 def test_cross_file_budget(spark):

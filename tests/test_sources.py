@@ -168,20 +168,32 @@ def test_joins_of_samples_and_problems(spark):
         E.join_problems(spark.createDataFrame([(9, "x")], "task_id long, completion string"), last).collect()
 
 
-def test_exact_percentiles(spark, monkeypatch):
+def test_value_statistics(spark):
+    """Every rank is exact, whatever the values: ties, both signs, extremes, few and many."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    groups = {"a": rng.random(3000).round(2), "b": rng.random(1), "c": np.full(400, 7.0), "d": rng.normal(size=2001), None: rng.random(50)}
-    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, value double").repartition(4)
-    shares = [0.0, 0.5, 0.99, 1.0]
-    for bracket in (10_000, 100):
-        monkeypatch.setattr(E, "BRACKET", bracket)
-        got = {r["g"]: [r[f"p{k}"] for k in range(4)] for r in E.exact_percentiles(df, ["g"], shares).collect()}
-        assert set(got) == set(groups)
-        for g, v in groups.items():
-            assert np.allclose(got[g], np.quantile(v, shares)), (bracket, g)
-    assert np.allclose([E.exact_percentiles(df.select("value"), [], [0.3]).first()["p0"]], np.quantile(np.concatenate(list(groups.values())), 0.3))
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=3000), "b": rng.integers(-3, 4, 999).astype(float), "c": np.exp(9 * rng.normal(size=1200)), "d": np.array([5.0]), None: np.array([1e-310, -1e150, 0.0, -0.0, 3.3, 1e150] * 30)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "g string, value double").repartition(3)
+    shares = [0.0, 0.3, 0.5, 0.99, 1.0]
+    got = {r["g"]: list(r)[1:] for r in E.value_statistics(df, ["g"], shares).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        want = [len(vs), vs.mean(), vs.std(), *np.quantile(vs, shares)]
+        assert np.allclose(got[k], want, rtol=1e-9, atol=1e-9 * np.abs(vs).max())
+    assert np.allclose([E.value_statistics(df.select("value"), [], [0.3]).first()["p0"]], np.quantile(np.concatenate(list(groups.values())), 0.3))
+    assert E.value_statistics(df.limit(0), ["g"], [0.5]).count() == 0
+
+
+def test_the_second_histogram_orders_few_values(spark):
+    """Of 200,000 values of one group no window sees more than a few thousand."""
+    import numpy as np
+
+    df = spark.range(200_000).select((1 + F.rand(3)).alias("value"))
+    assert df.groupBy(E._bucket(F.col("value"))).count().count() <= E.OCTAVE + 1
+    plan = E.value_statistics(df, [], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    assert np.allclose(E.value_statistics(df, [], [0.5]).first()["p0"], df.select(F.percentile("value", 0.5)).first()[0])
 
 
 def test_numbers_within_groups(spark):
@@ -223,7 +235,7 @@ def test_function_rounds(spark):
     rows = splitter.function_rounds(df).orderBy("id", "round").collect()
     assert len(rows) == 15
     for r in rows:
-        prefix, middle, suffix = splitter.three_parts(r["text"])
+        prefix, middle, suffix = {1: (code[:11], code[11:34], code[34:]), 2: ("a", "bc", ""), 3: ("", "", "")}[r["id"]]
         parts, at = [], 0
         for i in range(6):
             size = len(middle) // 6 + (i < len(middle) % 6)
