@@ -2,58 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in unit tests.
-DEFAULT_SHARED = "/tmp/checkpoints"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = DEFAULT_SHARED
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+from millrace.sources.scratch import discard, materialise, scratch_path
 
+__all__ = ["byte_spans", "discard", "held_out_fold", "letters_mix", "materialise", "scratch_path", "small_batches", "utf8"]
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to shared storage and read it back.
-
-    Cuts the lineage, so a lost executor costs a re-read and not a re-computation,
-    and a result that several consumers need is computed once.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    # The table stands for the shuffles that made it: their files go as soon as it is written.
-    before = spark.conf.getAll.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a :func:`materialise` result that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/millrace/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
