@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Presence counts by class over the training rows give each hashed n-gram the log ratio of its
-smoothed class frequencies. The n-grams whose ratio is best supported are the features, each
+Presence counts by class over the training rows give each hashed n-gram the log ratio of its shares of the
+classes' smoothed counts. The n-grams whose ratio is best supported are the features, each
 scaled by its ratio; a logistic model is fitted on them. Scoring is one scan without a shuffle.
 """
 
@@ -58,10 +58,10 @@ def _counts(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], bits: int
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0][part], pa.int64()), pa.array(seen[1][part], pa.int64())], names=["feature", "n0", "n1"])
 
 
-def log_count_ratio(n0: np.ndarray, n1: np.ndarray, total0: float, total1: float) -> np.ndarray:
-    """Log of the ratio of the smoothed odds that a text of class 1 and of class 0 has an n-gram."""
-    p, q = (n1 + SMOOTHING) / (total1 + 2 * SMOOTHING), (n0 + SMOOTHING) / (total0 + 2 * SMOOTHING)
-    return np.log(p / (1 + p)) - np.log(q / (1 + q))
+def log_count_ratio(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the ratio of an n-gram's shares of all smoothed counts of class 1 and of class 0."""
+    p, q = n1 + SMOOTHING, n0 + SMOOTHING
+    return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_rows: int = MAX_TRAIN_ROWS, sizes: tuple[int, ...] = SIZES, bits: int = BITS, max_features: int = MAX_FEATURES, l2: float = L2) -> Model:
@@ -83,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("__key"), utf8(text_col).alias("text")).join(F.broadcast(known), F.col("__key") == F.col("__id")).select("y", "text")
     got = rows.mapInArrow(lambda b: _counts(b, sizes, bits), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     at, n0, n1 = (got[c].to_numpy() for c in ("feature", "n0", "n1"))
-    ratio = log_count_ratio(n0, n1, rates[0] * shares[0], rates[1] * shares[1])
+    ratio = log_count_ratio(n0, n1)
     support = np.abs(ratio) / np.sqrt(1 / (n1 + SMOOTHING) + 1 / (n0 + SMOOTHING))
     order = np.lexsort([at, -support])[:max_features]
     order = order[support[order] > 2]

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate as B
 from millrace.llm import language, ngrams, toxicity, weak_labels
 from millrace.llm import quality_rules as Q
+from millrace.llm.common import held_out_fold
 
 SF = "/root/testdata/sf0.01"
 EDGE = [(1, None, None), (2, "", "en"), (None, "x", "en"), (2, "", "en"), (3, "word " * 20_000, "en"), (4, "12 34", "en"), (5, "the\tcat\n\nsat", "en")]
@@ -116,11 +118,12 @@ def test_toxicity_equals_brute_force(spark):
     model = toxicity.train(df.drop("toxic"), df.drop("text"))
     has = [{brute_id(g, toxicity.BITS) for g in brute_grams(f" {t} ", toxicity.SIZES)} for _, t, _ in rows]
     n = [Counter(h for s, r in zip(has, rows) if r[2] == y for h in s) for y in (0, 1)]
-    size = [60, 30]
+    # r = log((p / |p|) / (q / |q|)) of the count vectors p = 1 + presences in class 1, q = 1 + presences in class 0.
+    every = n[0] | n[1]
+    total = [sum(n[y][h] + 1 for h in every) for y in (0, 1)]
 
     def ratio(h):
-        p, q = ((n[y][h] + 1) / (size[y] + 2) for y in (1, 0))
-        return math.log(p / (1 + p)) - math.log(q / (1 + q))
+        return math.log((n[1][h] + 1) / total[1] / ((n[0][h] + 1) / total[0]))
 
     support = {h: abs(ratio(h)) / math.sqrt(1 / (n[1][h] + 1) + 1 / (n[0][h] + 1)) for h in n[0] | n[1]}
     used = {h for h, s in support.items() if s > 2}
@@ -135,6 +138,11 @@ def test_toxicity_equals_brute_force(spark):
         assert abs(slope) < 0.01
 
 
+def test_held_out_is_defined_for_null_ids(spark):
+    df = spark.createDataFrame([(None,), (5,)], "doc_id long")
+    assert [r[0] for r in df.select(held_out_fold("doc_id", 5) == 0).collect()] == [True, zlib.crc32(b"5") % 5 == 0]
+
+
 def brute_stats(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
