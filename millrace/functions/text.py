@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import materialise
+
 #: What ends a line, as in str.splitlines().
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: The default tokenizer's tokens: runs of ASCII letters, runs of digits, other characters one by one.
@@ -104,26 +107,32 @@ def draw_between(key: Column, salt: int, low: Column, high: Column) -> Column:
     return low + F.floor(draw(key, salt) / 65536) % (high - low + 1)
 
 
-#: Rows that one task numbers, about.
+#: Rows of a range, about.
 RANGE_ROWS = 1_000_000
 
 
 def numbered(df: DataFrame, by: list[str], order_col: str, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` and ``name``: the row's number from 0 within ``by`` in order of a numeric column that is unique there.
+    """``df`` and ``name``: the row's number from 0 within ``by`` in order of a column that is unique there.
 
-    Ranges of the column, cut at its approximate quantiles, are numbered side by side, so a group of any size is
-    spread over tasks. A row's number is its rank in its range plus its group's rows in the ranges before.
+    Rows are put in order by ranges of groups and column, which Spark samples, so a group of any size is spread over tasks;
+    in each range a row has its place. The sorted table is written to shared storage, for all that follows to see the same ranges. The
+    rows of the ranges before it, a sum of at most ``parts`` counts, give a row's number over all; less that of its group's first row it is
+    the number wanted. Nothing is windowed by group.
     """
     if parts is None:
-        parts = max(64, min(10_000, df.count() // RANGE_ROWS))
-    cuts = df.agg(F.percentile_approx(order_col, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(order_col))))
-    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    # Without groups there are at most ``parts`` rows of counts.
-    before = before if by else F.broadcast(before)
-    rank = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order_col)) - 1
-    joined = ranged.withColumn("__at", rank).join(before, [*by, "__range"])
-    return joined.select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, df.count() // RANGE_ROWS))
+    keys = [*by, order_col]
+    # The upper bits of the id are the range, the lower ones the place in it.
+    placed = materialise(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = sorted(map(tuple, placed.groupBy(part).count().collect()))
+    upto = accumulate(n for _, n in counts)
+    before = df.sparkSession.createDataFrame([(k, at - n) for (k, n), at in zip(counts, upto)], "__part long, __before long")
+    overall = lambda rows, place: rows.join(F.broadcast(before), part == F.col("__part")).withColumn("__at", F.col("__before") + place).drop("__part", "__before")
+    rows = overall(placed, place)
+    if not by:
+        return rows.select(*df.columns, F.col("__at").alias(name))
+    # A table of its own, so that the join is of two plain shuffles and a large group can be split.
+    firsts = materialise(overall(placed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min("__id").alias("__id")), place).withColumnRenamed("__at", "__first").drop("__id"), "first_rows")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return rows.join(firsts, same).select(*df.columns, (F.col("__at") - F.col("__first")).alias(name))

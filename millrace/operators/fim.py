@@ -202,9 +202,5 @@ def pad_batches(samples: DataFrame, order_col: str, cfg: C.FimConfig = C.FimConf
 
 
 def with_row_number(df: DataFrame, order_col: str, parts: int | None = None) -> DataFrame:
-    """``row_number`` from 0 in order of a unique numeric column, ranges of which are numbered side by side.
-
-    The column's approximate quantiles cut the ranges, one for about ``RANGE_ROWS`` rows and 64 at least, so one
-    pass over that column comes first; a row's number is its rank in its range plus the rows of the ranges before.
-    """
+    """``row_number`` from 0 in order of a unique column, by ranges that are sorted side by side (:func:`T.numbered`)."""
     return T.numbered(df, [], order_col, "row_number", parts)
