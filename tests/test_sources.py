@@ -76,13 +76,39 @@ def test_repositories_are_written_and_dropped(spark, tmp_path):
     picks = spark.createDataFrame([("o/a", 80.0, "why"), ("o/b", 70.0, "why")], "repo_name string, score double, reason string")
     path = str(tmp_path / "repos")
     writers.write_repos(files, picks, path)
-    read = lambda: sorted((r["repo_name"], r["path"]) for r in spark.read.parquet(f"{path}/files").collect())
+    read = lambda: sorted((r["repo_name"], r["path"]) for r in writers.read_repos(spark, path).collect())
+    names = lambda: sorted(r["repo_name"] for r in writers.read_picks(spark, path).collect())
     assert read() == [("o/a", "x"), ("o/a", "y"), ("o/b", "z")]
     writers.write_repos(files.where("path <> 'y'"), picks.where("repo_name = 'o/a'"), path)
-    assert read() == [("o/a", "x"), ("o/b", "z")]
+    assert read() == [("o/a", "x"), ("o/b", "z")] and names() == ["o/a", "o/b"]
     writers.write_repos(files, picks, path)
     writers.drop_repos(spark, ["o/b", "not there"], path)
-    assert read() == [("o/a", "x"), ("o/a", "y")] and [r["repo_name"] for r in spark.read.parquet(f"{path}/picks").collect()] == ["o/a"]
+    assert read() == [("o/a", "x"), ("o/a", "y")] and names() == ["o/a"]
+    writers.vacuum_repos(spark, path)
+    assert read() == [("o/a", "x"), ("o/a", "y")] and names() == ["o/a"]
+    writers.drop_repos(spark, ["o/a"], path)
+    assert read() == [] and names() == []
+
+
+def test_a_failed_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([("o/a", "x", "1"), ("p/c", "w", "4")], "repo_name string, path string, content string")
+    picks = spark.createDataFrame([("o/a", 80.0), ("p/c", 60.0)], "repo_name string, score double")
+    path = str(tmp_path / "repos")
+    first = writers.write_repos(files, picks.where("repo_name = 'o/a'"), path)
+    bad = files.withColumn("content", F.when(F.col("path") == "w", F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_repos(bad, picks, path)
+    with monkeypatch.context() as m:
+        m.setattr(writers, "_commit", lambda *a: (_ for _ in ()).throw(OSError("no rename")))
+        with pytest.raises(OSError):
+            writers.write_repos(files, picks, path)
+        with pytest.raises(OSError):
+            writers.drop_repos(spark, ["o/a"], path)
+    assert writers.repos_version(spark, path) == first
+    assert [tuple(r) for r in writers.read_repos(spark, path).select("repo_name", "path", "content").collect()] == [("o/a", "x", "1")]
+    writers.write_repos(files, picks, path)
+    writers.vacuum_repos(spark, path)
+    assert writers.read_repos(spark, path).count() == 2
 
 
 def test_results_by_mode(spark, tmp_path):
