@@ -278,19 +278,6 @@ def test_blobs(spark):
     assert {(r["id"], r["text"]) for r in got} == {(1, "hello"), (4, "é")}
 
 
-def test_running_latencies(spark, tmp_path):
-    from millrace.streaming import tokens
-
-    rows = [(1, 0.0, 0, 1.0, "a"), (1, 0.0, 1, 3.0, "b"), (2, 0.0, 0, 2.0, "c"), (2, 0.0, 1, 2.5, "[DONE]")]
-    schema = "request_id long, start_ts double, seq long, ts double, text string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = tokens.running_latencies(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    run = out.writeStream.format("memory").queryName("latencies").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = {r["request_id"]: (r["chunks"], r["ttft"], r["last_gap"], r["latency"], r["done"]) for r in spark.table("latencies").collect()}
-    assert got == {1: (2, 1.0, 2.0, 3.0, False), 2: (1, 2.0, 2.0, 2.0, True)}
-
-
 def test_config():
     cfg = C.Config.from_mapping({"fim": {"fim_rate": 0.8}})
     assert cfg.fim.fim_rate == 0.8 and cfg.repo.min_core_files == 25
