@@ -29,9 +29,9 @@ from .common import byte_spans, held_out_fold, letters_mix, materialise, small_b
 from .elias_fano import EliasFano
 
 #: Tokens of a part, and about so many n-gram names in a shard.
-PART_TOKENS, SHARD_NAMES = 1 << 19, 1 << 21
+PART_TOKENS, SHARD_NAMES = 3 << 18, 1 << 21
 #: Bits of a name within its shard, of which the last tells words from others.
-NAME_BITS = 46
+NAME_BITS = 44
 #: Most shards, as a power of two.
 MOST_SHARDS = 18
 #: Occurrences that the order below adds to a context of one and of two words.
@@ -360,7 +360,7 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     trigram model, of which each token's is rounded to 1/2048; ``base_score`` that under add-one word counts; ``n_known`` counts tokens that
     training texts have. Null and empty texts are their end alone; repeated rows count and are scored each; null ids stay; texts of any length
     are cut into parts; without training texts every token has probability 1; an empty table gives an empty result; other columns are
-    ignored. Of the 2^21 or so names of a shard, a fiftieth of a pair is to be expected to be one by chance.
+    ignored. Of the 2^21 or so names of a shard, a quarter of a pair is to be expected to be one by chance.
     """
     spark = small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -23,9 +23,9 @@ from .common import byte_spans, materialise, scratch_path, utf8
 
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 1000
-#: About the payload bytes that one archive file holds, and the most records.
-FILE_BYTES = 32 << 20
-FILE_RECORDS = 50_000
+#: Records per file, at most, of payloads of up to ``SHORT_BYTES``; of up to 16 times that a 16th, and so on.
+FILE_RECORDS = 8192
+SHORT_BYTES = 1 << 16
 #: Most revisits whose keys are broadcast when archives are written; more are joined by shuffling.
 BROADCAST_REVISITS = 200_000
 #: Bytes that are unpacked at once when archives are read.
@@ -68,11 +68,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     response and the others are revisits of it; all others are responses. A null payload is empty;
     a row without an id is written under the id ``null`` and never the original of another; rows
     that repeat id and payload are equal records; an empty table gives an archive without records; a payload of any
-    length is one record; other columns are ignored, whatever their names.
+    length is one record; other columns are ignored, whatever their names. Longer payloads share a file with fewer others, in a
+    folder of their size class, so a file holds at most 512 MB of payloads unless one is larger; each class that there is takes a scan.
     """
     spark = pages.sparkSession
     heads = materialise(heads_of(pages, id_col, payload_col), "warc_heads")
-    total, count = heads.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    # Times 16 above SHORT_BYTES, as a whole number from 0.
+    step_of = lambda size: F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(size, F.lit(1)) / F.lit(float(SHORT_BYTES))))).cast("int")
+    steps = sorted(r[0] for r in heads.select(step_of(F.col("bytes"))).distinct().collect()) or [0]
     revisits = materialise(revisits_of(heads, min_bytes), "warc_revisits")
     digest = F.sha1(F.encode(utf8(payload_col), "UTF-8"))
     rows = pages.select(
@@ -104,8 +107,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.octet_length("block").cast("string"),
         F.lit(CRLF * 2),
     )
-    records = joined.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block").alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES * count // max(1, total)))).text(path)
+    for step in steps:
+        own = joined.where(step_of(F.octet_length("payload")) == step) if len(steps) > 1 else joined
+        records = own.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block").alias("value"))
+        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_RECORDS >> (4 * step))).text(f"{path.rstrip('/')}/size={step}")
 
 
 def _unpacked(archive: memoryview) -> Iterator[bytes]:

@@ -171,6 +171,19 @@ def test_damaged_archives_are_refused(spark):
             list(W.parse_records(part))
 
 
+def test_pages_of_uneven_size_share_no_huge_file(spark, monkeypatch):
+    """One partition of many small and some large pages: every file keeps to the bound, or holds one record."""
+    monkeypatch.setattr(W, "SHORT_BYTES", 64)
+    monkeypatch.setattr(W, "FILE_RECORDS", 32)
+    rows = [(i, "u", "z" * (20 + i if i % 10 else 100 * (i + 1))) for i in range(200)]
+    path = scratch_path(spark, "test")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = [list(W.parse_records(bytes(r["content"]))) for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    sizes = [[len(block.partition(b"\r\n\r\n")[2]) for _, block in f] for f in files]
+    assert sorted(x for f in sizes for x in f) == sorted(len(r[2]) for r in rows)
+    assert all(len(f) == 1 or sum(f) <= 32 * 64 for f in sizes)
+
+
 def test_archives_are_read_in_parts(spark, monkeypatch):
     rows = [(i, "u", ("é" * i) + "\r\n\r\n" + "z" * (i * 300)) for i in range(40)]
     path = scratch_path(spark, "test")
