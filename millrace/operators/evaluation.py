@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 from millrace.functions import similarity as S
 from millrace.functions import text as T
@@ -63,8 +66,8 @@ def check_program(prompt: Column, completion: Column, suffix: Column, test: Colu
     return F.concat(prompt, completion, suffix, F.lit("\n"), test, F.lit("\n"), F.lit("check("), entry_point, F.lit(")"))
 
 
-#: Buckets of the first histogram between a number and its double; cells of the second in a bucket.
-OCTAVE, CELLS = 32, 4096
+#: Buckets of the first histogram between a number and its double; cells of a range in the later ones.
+OCTAVE, CELLS = 32, 1 << 14
 
 
 def _bucket(value: Column) -> Column:
@@ -77,45 +80,66 @@ def _bucket(value: Column) -> Column:
 def value_statistics(values: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
     """``by, n, mean, std, p0, p1, ...``: moments and interpolated percentiles of the column ``value`` (double, not null) by group, of which there are few.
 
-    Selection by histograms that merge: one pass counts values by :func:`_bucket`, which says in which bucket each wanted rank lies and
-    gives the moments too; a second pass counts the distinct values of those buckets, in ``CELLS`` cells each, and
-    only the values of the cells in which a rank lies are put in order. Both passes are partial sums where the values lie. No task orders
-    or holds a group's values; the first histogram has at most 134,272 rows a group, the second 4,096 a bucket.
+    Selection by refining histograms, which are sums and extremes that merge wherever the values lie. The first has values by :func:`_bucket`,
+    gives the moments, and says in which bucket each wanted rank lies. The next pass counts the values of those buckets only, in ``CELLS`` cells between the
+    bucket's extremes, and so on within a cell, until a rank is that of an extreme: two passes over a million values a group, one more for each
+    16,384 times as many. Nothing is put in order. The driver sees the histograms: at most 134,272 buckets a group, and ``CELLS`` cells for each wanted rank.
     """
-    keyed = values.select(*by, "value", _bucket(F.col("value")).alias("bucket"))
-    # Broadcast and joined tables below have a row for each group, wanted rank or bucket.
-    first = keyed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min("value").alias("low"), F.max("value").alias("high"))
-    group = Window.partitionBy(*by)
-    total = F.sum(F.col("n") * F.col("mean")).over(group) / F.sum("n").over(group)
-    placed = first.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all"), total.alias("total"))
-    spread = F.sqrt(F.sum(F.col("n") * (F.col("var") + (F.col("mean") - F.col("total")) ** 2)) / F.first("all"))
-    ranks = [F.struct(F.lit(k).alias("k"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(F.lit(q) * (F.col("all") - 1)).alias("rank")) for k, q in enumerate(shares) for up in (False, True)]
-    asked = placed.select("*", F.inline(F.array(*ranks))).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-    asked = asked.select(*by, "bucket", "low", "high", "k", "up", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
-
-    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
-    pick = lambda a, names: [F.col(f"{a}.{c}").alias(c) for c in names]
-    place = [*by, "bucket"]
-    cell = F.coalesce(F.floor((F.col("v.value") - F.col("a.low")) / (F.col("a.high") - F.col("a.low")) * (CELLS - 1)), F.lit(0))
-    inside = keyed.alias("v").join(F.broadcast(asked.select(*place, "low", "high").distinct()).alias("a"), same("v", "a", place))
-    counted = inside.select(*pick("v", place), F.when(F.col("a.high") > F.col("a.low"), cell).otherwise(0).alias("cell"), "v.value").groupBy(*place, "cell", "value").agg(F.count("*").alias("m"))
-    cells = counted.groupBy(*place, "cell").agg(F.sum("m").alias("m"))
-    reached = cells.select("*", F.sum("m").over(Window.partitionBy(*place).orderBy("cell")).alias("upto"))
-    hit = reached.alias("c").join(F.broadcast(asked).alias("a"), [*same("c", "a", place), F.col("a.rank") < F.col("c.upto"), F.col("a.rank") >= F.col("c.upto") - F.col("c.m")])
-    hit = hit.select(*pick("c", [*place, "cell"]), "a.k", "a.up", (F.col("a.rank") - F.col("c.upto") + F.col("c.m")).alias("rank"))
-    final = counted.alias("v").join(F.broadcast(hit).alias("h"), same("v", "h", [*place, "cell"])).select(*pick("v", by), "h.k", "h.up", "h.rank", "v.value", "v.m")
-    ordered = final.select("*", F.sum("m").over(Window.partitionBy(*by, "k", "up").orderBy("value")).alias("upto"))
-    found = ordered.where("rank < upto").groupBy(*by, "k", "up").agg(F.min("value").alias("value"))
-    ends = found.groupBy(*by).agg(*[F.max(F.when((F.col("k") == k) & (F.col("up") == up), F.col("value"))).alias(f"{'ab'[up]}{k}") for k in range(len(shares)) for up in (False, True)])
-
-    moments = placed.groupBy(*by).agg(F.first("all").alias("n"), F.first("total").alias("mean"), spread.alias("std"))
-    both = moments.alias("m").join(F.broadcast(ends).alias("e"), same("m", "e", by)) if by else moments.alias("m").crossJoin(F.broadcast(ends).alias("e"))
-    out = []
-    for k, q in enumerate(shares):
-        spot = F.lit(q) * (F.col("m.n") - 1)
-        low, high = F.floor(spot), F.ceil(spot)
-        out.append(F.when(low == high, F.col(f"a{k}")).otherwise((high - spot) * F.col(f"a{k}") + (spot - low) * F.col(f"b{k}")).alias(f"p{k}"))
-    return both.select(*pick("m", [*by, "n", "mean", "std"]), *out)
+    spark = values.sparkSession
+    extremes = [F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")]
+    first = values.groupBy(*by, _bucket(F.col("value")).alias("bucket")).agg(*extremes, F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    groups: dict[tuple, list[dict]] = {}
+    for row in sorted(first.toArrow().to_pylist(), key=lambda r: r["bucket"]):
+        groups.setdefault(tuple(row[c] for c in by), []).append(row)
+    found: dict[tuple[tuple, int], float] = {}
+    open_: dict[tuple[tuple, int], tuple[float, float, int]] = {}
+
+    def settle(key: tuple, rank: int, histogram: list[dict], inside: int) -> None:
+        """Take the part of the histogram that holds the value of number ``inside``: the value itself if it is an extreme."""
+        for part in histogram:
+            if inside < part["n"]:
+                break
+            inside -= part["n"]
+        low, high = part["low"], part["high"]
+        if low == high or inside in (0, part["n"] - 1) or math.isnan(high):
+            found[key, rank] = low if inside == 0 else high
+        else:
+            open_[key, rank] = low, high, inside
+
+    for key, histogram in groups.items():
+        n = sum(p["n"] for p in histogram)
+        for rank in {f(q * (n - 1)) for q in shares for f in (math.floor, math.ceil)}:
+            settle(key, rank, histogram, rank)
+    while open_:
+        ranges = {x: i for i, x in enumerate(dict.fromkeys((key, low, high) for (key, _), (low, high, _) in open_.items()))}
+        fields = [st.StructField(f"__{c}", values.schema[c].dataType) for c in by]
+        kind = st.StructType([*fields, *(st.StructField(c, t) for c, t in (("__id", st.LongType()), ("__low", st.DoubleType()), ("__high", st.DoubleType())))])
+        # A row for each range, of which there are two a group and share at most.
+        asked = F.broadcast(spark.createDataFrame([(*key, i, low, high) for (key, low, high), i in ranges.items()], kind))
+        inside = values.join(asked, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("value").between(F.col("__low"), F.col("__high"))])
+        # Halves, as the difference of two doubles may be too large for one.
+        share = (F.col("value") / 2 - F.col("__low") / 2) / (F.col("__high") / 2 - F.col("__low") / 2)
+        cell = F.when(F.isnan(share), CELLS - 1).otherwise(F.floor(share * (CELLS - 1)))
+        parts: dict[int, list[dict]] = {}
+        for row in sorted(inside.groupBy("__id", cell.alias("cell")).agg(*extremes).toArrow().to_pylist(), key=lambda r: r["cell"]):
+            parts.setdefault(row["__id"], []).append(row)
+        before, open_ = open_, {}
+        for (key, rank), (low, high, place) in before.items():
+            settle(key, rank, parts[ranges[key, low, high]], place)
+
+    rows = []
+    for key, histogram in groups.items():
+        n = sum(p["n"] for p in histogram)
+        mean = sum(p["n"] * p["mean"] for p in histogram) / n
+        spread = math.sqrt(sum(p["n"] * (p["var"] + (p["mean"] - mean) ** 2) for p in histogram) / n)
+        ranks = []
+        for q in shares:
+            spot = q * (n - 1)
+            low, high = math.floor(spot), math.ceil(spot)
+            ranks.append(found[key, low] if low == high else (high - spot) * found[key, low] + (spot - low) * found[key, high])
+        rows.append((*key, n, mean, spread, *ranks))
+    numbers = [st.StructField("n", st.LongType()), *(st.StructField(c, st.DoubleType()) for c in ("mean", "std", *(f"p{k}" for k in range(len(shares)))))]
+    return spark.createDataFrame(rows, st.StructType([*[values.schema[c] for c in by], *numbers]))
 
 
 def request_totals(responses: DataFrame, duration_s: float, by: list[str] | None = None) -> DataFrame:
@@ -152,6 +176,7 @@ def latency_metrics(responses: DataFrame, duration_s: float, by: list[str] | Non
     keys = [*by, "time"]
     stats = value_statistics(values, keys, [0.5, 0.99])
     kinds = {"mean": "mean", "median": "p0", "std": "std", "p99": "p1"}
+    # A row for each group and time.
     wide = stats.groupBy(*by).agg(*[F.max(F.when(F.col("time") == t, F.col(c))).alias(f"{k}_{t}_ms") for t in times for k, c in kinds.items()])
     if by:
         out = totals.alias("t").join(wide.alias("w"), [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by], "left")

@@ -29,29 +29,33 @@ def _blocks(text: Column, every: bool) -> Column:
     """
     size = F.length(text)
 
-    def close(acc: Column, here: Column, closed: Column, **fields: Column) -> Column:
+    def state(**fields: Column) -> Column:
+        return F.struct(*[fields[c].alias(c) for c in ("at", "no", "open", "above", "inner", "any", "spans")])
+
+    def close(acc: Column, here: Column, when: Column, closed: Column) -> dict[str, Column]:
+        """What is known of blocks once those of ``closed`` end ``here``; most lines close none and leave all as it was."""
         spans = F.transform(closed, lambda f: F.struct(F.abs(f["first"] + here - size).alias("away"), f["no"].alias("no"), f["first"].alias("first"), here.alias("end")))
         # Nearest first, then by header.
         inner = F.array_min(F.array_append(F.filter(spans, lambda x: (x["first"] > 0) & (x["end"] < size)), acc["inner"]))
-        state = fields | {"inner": inner, "any": F.array_min(F.array_append(spans, acc["any"])), "spans": F.concat(acc["spans"], spans) if every else acc["spans"]}
-        return F.struct(*[state[c].alias(c) for c in ("at", "no", "open", "above", "inner", "any", "spans")]).cast(_FOLD)
+        new = {"inner": inner, "any": F.array_min(F.array_append(spans, acc["any"])), "spans": F.concat(acc["spans"], spans) if every else acc["spans"]}
+        return {c: F.when(when, new[c]).otherwise(acc[c]) for c in new}
 
     def step(acc: Column, line: Column) -> Column:
         bare = F.ltrim(line, F.lit(" \t"))
         indent = F.length(line) - F.length(bare)
-        blank = line.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
-        header = bare.rlike(r"\A(?:async )?def ")
-        same = acc["above"]["indent"] == indent
-        first = F.when(same, acc["above"]["first"]).otherwise(acc["at"])
-        kept = F.filter(acc["open"], lambda f: blank | (f["indent"] < indent))
-        opened = F.array_append(kept, F.struct(indent.alias("indent"), acc["no"].alias("no"), first.alias("first")))
+        header = F.startswith(bare, F.lit("def ")) | F.startswith(bare, F.lit("async def "))
+        first = F.when(acc["above"]["indent"] == indent, acc["above"]["first"]).otherwise(acc["at"])
+        # The innermost open function is indented furthest.
+        closes = (F.size(acc["open"]) > 0) & (F.element_at(acc["open"], -1)["indent"] >= indent) & ~line.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
+        kept = F.when(closes, F.filter(acc["open"], lambda f: f["indent"] < indent)).otherwise(acc["open"])
+        opened = F.when(header, F.array_append(kept, F.struct(indent.alias("indent"), acc["no"].alias("no"), first.alias("first")))).otherwise(kept)
         above = F.when(F.startswith(bare, F.lit("@")), F.struct(indent.alias("indent"), first.alias("first"))).otherwise(F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")))
-        closed = F.filter(acc["open"], lambda f: ~blank & (f["indent"] >= indent))
-        return close(acc, acc["at"], closed, at=acc["at"] + F.length(line), no=acc["no"] + header.cast("int"), open=F.when(header, opened).otherwise(kept), above=above)
+        known = close(acc, acc["at"], closes, F.filter(acc["open"], lambda f: f["indent"] >= indent))
+        return state(at=acc["at"] + F.length(line), no=acc["no"] + header.cast("int"), open=opened, above=above, **known)
 
     none = F.lit(None).cast(_SPAN)
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().alias("open"), F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")).alias("above"), none.alias("inner"), none.alias("any"), F.array().alias("spans"))
-    end = lambda acc: close(acc, size, acc["open"], at=acc["at"], no=acc["no"], open=acc["open"], above=acc["above"])
+    end = lambda acc: state(at=acc["at"], no=acc["no"], open=acc["open"], above=acc["above"], **close(acc, size, F.size(acc["open"]) > 0, acc["open"]))
     return F.aggregate(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), zero.cast(_FOLD), step, end)
 
 
