@@ -75,8 +75,10 @@ class EliasFano:
         return ((self.low[word] >> shift) | ((self.low[word + 1] << _ONE) << (np.uint64(63) - shift))) & np.uint64((1 << self.low_bits) - 1)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """The numbers at the places ``i``."""
+        """The numbers at the places ``i``; of many, all are decoded in one pass."""
         i = np.asarray(i, np.int64)
+        if 8 * len(i) > self.n:
+            return self.values()[i]
         word = np.searchsorted(self.ones, i, "right") - 1
         high = word * 64 + _select(self.high[word], i - self.ones[word]) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits) | self._lows(i)).astype(np.int64)

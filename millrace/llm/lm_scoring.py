@@ -232,10 +232,12 @@ class Trie:
     @staticmethod
     def _child(level: EliasFano, number: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place among the children ``first`` to ``end`` of the one with this number relative to them; -1 if there is none."""
-        inner = np.flatnonzero(first > 0)
-        x = number.copy()
-        x[inner] += level[first[inner] - 1] + 1
-        return level.find(x, first, end)
+        # Children asked for one after another have the same context: its base is looked up once.
+        runs = np.flatnonzero(np.diff(first, prepend=-1))
+        base = np.zeros(len(runs), np.int64)
+        inner = first[runs] > 0
+        base[inner] = level[first[runs][inner] - 1] + 1
+        return level.find(number + np.repeat(base, np.diff(np.append(runs, len(first)))), first, end)
 
     def find_pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return self._child(self.pair_words, w, self.to_pairs[v], self.to_pairs[v + 1])
