@@ -17,7 +17,7 @@ def check_language(language: str) -> None:
 _BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
 _LINE = rf"[^{_BREAKS}]*(?:\r\n|[{_BREAKS}])|[^{_BREAKS}]+"
 _SPAN = "struct<away: int, no: int, first: int, end: int>"
-_FOLD = f"struct<at: int, no: int, open: array<struct<indent: int, no: int, first: int>>, above: struct<indent: int, first: int>, inner: {_SPAN}, any: {_SPAN}, spans: array<{_SPAN}>>"
+_FOLD = f"struct<size: int, at: int, no: int, open: array<struct<indent: int, no: int, first: int>>, above: struct<indent: int, first: int>, inner: {_SPAN}, any: {_SPAN}, spans: array<{_SPAN}>>"
 
 
 def _blocks(text: Column, every: bool) -> Column:
@@ -27,36 +27,40 @@ def _blocks(text: Column, every: bool) -> Column:
     whose header is indented as far or further. A block takes in the decorators right above its header and
     the blank lines before the line that closes it. The stack is as deep as functions are nested, so a line costs little whatever the text.
     """
-    size = F.length(text)
 
     def state(**fields: Column) -> Column:
-        return F.struct(*[fields[c].alias(c) for c in ("at", "no", "open", "above", "inner", "any", "spans")])
+        return F.struct(*[fields[c].alias(c) for c in ("size", "at", "no", "open", "above", "inner", "any", "spans")])
 
     def close(acc: Column, here: Column, when: Column, closed: Column) -> dict[str, Column]:
         """What is known of blocks once those of ``closed`` end ``here``; most lines close none and leave all as it was."""
-        spans = F.transform(closed, lambda f: F.struct(F.abs(f["first"] + here - size).alias("away"), f["no"].alias("no"), f["first"].alias("first"), here.alias("end")))
+        spans = F.transform(closed, lambda f: F.struct(F.abs(f["first"] + here - acc["size"]).alias("away"), f["no"].alias("no"), f["first"].alias("first"), here.alias("end")))
         # Nearest first, then by header.
-        inner = F.array_min(F.array_append(F.filter(spans, lambda x: (x["first"] > 0) & (x["end"] < size)), acc["inner"]))
+        inner = F.array_min(F.array_append(F.filter(spans, lambda x: (x["first"] > 0) & (x["end"] < acc["size"])), acc["inner"]))
         new = {"inner": inner, "any": F.array_min(F.array_append(spans, acc["any"])), "spans": F.concat(acc["spans"], spans) if every else acc["spans"]}
         return {c: F.when(when, new[c]).otherwise(acc[c]) for c in new}
 
+    # What the fold asks of a line is found once for each, so that its steps are about numbers.
+    bare = F.transform(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), lambda line: F.struct(F.length(line).alias("size"), F.ltrim(line, F.lit(" \t")).alias("bare")))
+    blank = lambda x: x.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
+    head = lambda x: F.startswith(x, F.lit("def ")) | F.startswith(x, F.lit("async def "))
+    kind = lambda x: F.when(head(x), "def").when(F.startswith(x, F.lit("@")), "@").when(blank(x), "").otherwise("other")
+    lines = F.transform(bare, lambda x: F.struct(x["size"].alias("size"), (x["size"] - F.length(x["bare"])).alias("indent"), kind(x["bare"]).alias("kind")))
+
     def step(acc: Column, line: Column) -> Column:
-        bare = F.ltrim(line, F.lit(" \t"))
-        indent = F.length(line) - F.length(bare)
-        header = F.startswith(bare, F.lit("def ")) | F.startswith(bare, F.lit("async def "))
+        indent, header = line["indent"], line["kind"] == "def"
         first = F.when(acc["above"]["indent"] == indent, acc["above"]["first"]).otherwise(acc["at"])
         # The innermost open function is indented furthest.
-        closes = (F.size(acc["open"]) > 0) & (F.element_at(acc["open"], -1)["indent"] >= indent) & ~line.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
+        closes = (F.size(acc["open"]) > 0) & (F.element_at(acc["open"], -1)["indent"] >= indent) & (line["kind"] != "")
         kept = F.when(closes, F.filter(acc["open"], lambda f: f["indent"] < indent)).otherwise(acc["open"])
         opened = F.when(header, F.array_append(kept, F.struct(indent.alias("indent"), acc["no"].alias("no"), first.alias("first")))).otherwise(kept)
-        above = F.when(F.startswith(bare, F.lit("@")), F.struct(indent.alias("indent"), first.alias("first"))).otherwise(F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")))
+        above = F.when(line["kind"] == "@", F.struct(indent.alias("indent"), first.alias("first"))).otherwise(F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")))
         known = close(acc, acc["at"], closes, F.filter(acc["open"], lambda f: f["indent"] >= indent))
-        return state(at=acc["at"] + F.length(line), no=acc["no"] + header.cast("int"), open=opened, above=above, **known)
+        return state(size=acc["size"], at=acc["at"] + line["size"], no=acc["no"] + header.cast("int"), open=opened, above=above, **known)
 
     none = F.lit(None).cast(_SPAN)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().alias("open"), F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")).alias("above"), none.alias("inner"), none.alias("any"), F.array().alias("spans"))
-    end = lambda acc: state(at=acc["at"], no=acc["no"], open=acc["open"], above=acc["above"], **close(acc, size, F.size(acc["open"]) > 0, acc["open"]))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), zero.cast(_FOLD), step, end)
+    zero = F.struct(F.length(text).alias("size"), F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().alias("open"), F.struct(F.lit(-1).alias("indent"), F.lit(0).alias("first")).alias("above"), none.alias("inner"), none.alias("any"), F.array().alias("spans"))
+    end = lambda acc: state(size=acc["size"], at=acc["at"], no=acc["no"], open=acc["open"], above=acc["above"], **close(acc, acc["size"], F.size(acc["open"]) > 0, acc["open"]))
+    return F.aggregate(lines, zero.cast(_FOLD), step, end)
 
 
 def function_blocks(text: Column) -> Column:
