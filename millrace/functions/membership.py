@@ -141,7 +141,8 @@ def build_filter(texts: DataFrame, n: int, text_col: str = "text", most_bytes: i
     many = own.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
     if not many:
         return None
-    blocks = min(most_bytes // 8, 1 << max(0, many * KEY_BITS // 64 - 1).bit_length())
+    # Powers of two.
+    blocks = 1 << min((most_bytes // 8).bit_length() - 1, (many * KEY_BITS // 64).bit_length())
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(blocks, np.uint64)
