@@ -4,7 +4,7 @@ The time axis of each user is cut into shards. A shard turns its events into a h
 most ``gap`` seconds apart) it has after which batch. An island that no event outside the shard can ever reach is a
 version and done. The others, at most one at either border at a time, are the shard's boundary history. Stitching joins,
 batch by batch, the boundary islands of ``FAN`` neighbouring shards and gives the versions that closes and the boundary
-history of the joined shard, in the same form; so it is associative, and rounds of it halve the axis again and again until
+history of the joined shard, in the same form; so it is associative, and each round leaves a ``FAN``-th of the shards, until
 nothing is open. A history is cut by batches too, each cut being told the state that it begins with, so neither a user's events
 nor their batches meet in one task.
 
