@@ -342,9 +342,10 @@ def test_ties_are_settled_by_name_and_by_hash(spark):
     """Of languages equally likely the first by name; of features equally well supported those of the least hash."""
     twins = spark.createDataFrame([(1, "same words", "zz"), (2, "same words", "aa"), (3, "same words", "mm")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.predict(twins, language.train(twins)).collect()} == {"aa"}
-    rows = [(i, "bad idea" if i % 2 else "good idea", i % 2) for i in range(40)]
+    # Texts of equal length, so that the n-grams of either class have equal shares.
+    rows = [(i, "evil idea" if i % 2 else "good idea", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    grams = [{brute_id(g, toxicity.BITS) for g in brute_grams(f" {t} ", toxicity.SIZES)} for t in ("good idea", "bad idea")]
+    grams = [{brute_id(g, toxicity.BITS) for g in brute_grams(f" {t} ", toxicity.SIZES)} for t in ("good idea", "evil idea")]
     own = sorted(grams[0] ^ grams[1])
     model = toxicity.train(df.drop("toxic"), df.drop("text"), max_features=5)
     assert np.flatnonzero(model.used).tolist() == own[:5]
