@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace import config as C
 from millrace.functions import text as T
 
+from .best import best
+
 
 def parse_buckets(specs: list[str] | tuple[str, ...]) -> list[tuple[int, int, int]]:
     """``"lo-hi:quota"`` in MB to whole bytes."""
@@ -173,9 +175,8 @@ def reject_reason(cfg: C.RepoConfig) -> Column:
 
 
 def bucket_topk(repos: DataFrame, k: int, tie: Column) -> DataFrame:
-    """The ``k`` best of each bucket by score, then tie; ``rank`` from 1."""
-    order = Window.partitionBy("bucket").orderBy(F.desc("score"), F.desc(tie), "repo_name")
-    return repos.where(F.col("bucket").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The ``k`` best of each bucket by score, then tie, then name; ``rank`` from 1."""
+    return best(repos, "bucket", [(F.col("score"), False), (tie, False), (F.col("repo_name"), True)], k)
 
 
 def scan_stop(repos: DataFrame, k: int, n_buckets: int, order_col: str = "ordinal") -> DataFrame:
