@@ -11,6 +11,7 @@ line separator the end id. That is why the end id, 50,304, is one beyond the voc
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
 
     A null or empty text is the end id alone; repeated rows are documents each; an empty table gives no ids; other columns are
     ignored, whatever their names. Longer texts share a file with fewer others, in a folder of their size class, so a file
-    stays below 512 MB unless one text is larger. The end id is beyond the vocabulary, and its two bytes are one UTF-8 character.
+    stays below 512 MB unless one text is larger. Each task numbers its files of a class as it reads, so one scan writes all. The end id is beyond the vocabulary, and its two bytes are one UTF-8 character.
     """
     separator = int(end_id).to_bytes(2, "big")
     try:
@@ -48,22 +49,23 @@ def write_token_files(docs: DataFrame, out: str, text_col: str = "text", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
+        written = Counter()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                lines = []
-                for text in batch.column(0).slice(k, 1000):
+                lines, sizes, files = [], batch.column(1).slice(k, 1000), []
+                for text, size in zip(batch.column(0).slice(k, 1000), sizes.to_pylist()):
                     ids = np.array(encode(text.as_py()), np.int64)
                     if len(ids) and ids.max() >= end_id:
                         raise ValueError("the end id is in the vocabulary, or ids exceed 16 bits")
                     lines.append(ids.astype(ID_TYPE).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
+                    files.append(written[size] // max(1, file_documents >> (2 * size)))
+                    written[size] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), sizes, pa.array(files, pa.int32())], names=["line", "size", "file"])
 
     # Times four above SHORT_BYTES, as a whole number from 0.
     size = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.octet_length("text"), F.lit(1)) / F.lit(float(SHORT_BYTES))))).cast("int")
-    sized = docs.select(utf8(text_col).alias("text")).select("text", size.alias("size"))
-    for step in sorted(r[0] for r in sized.select("size").distinct().collect()) or [0]:
-        lines = sized.where(F.col("size") == step).select("text").mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
-        lines.write.option("lineSep", line_end).option("maxRecordsPerFile", max(1, file_documents >> (2 * step))).text(f"{out.rstrip('/')}/size={step}")
+    lines = docs.select(utf8(text_col).alias("text")).select("text", size.alias("size")).mapInArrow(run, "line binary, size int, file int")
+    lines.select(F.col("line").cast("string").alias("value"), "size", "file").write.partitionBy("size", "file").option("lineSep", line_end).text(out)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], end_id: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_tok
     that ends within an id raises.
     """
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    name = F.regexp_extract("path", r"((?:size=\d+/)?[^/]+)$", 1)
+    name = F.regexp_extract("path", r"((?:size=\d+/file=\d+/)?[^/]+)$", 1)
     contents = files.select(name.alias("file"), "content")
     scanned = contents.mapInArrow(lambda b: _scan(b, end_id, block_tokens), "file string, block long, tokens long, ends long, head long, tail long, inner array<long>")
     # Prefix scan: the block's first document, and what ran on into it since the last end id.
@@ -119,4 +121,4 @@ def op6_token_counts(spark, sf_dir):
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
     counted = count_tokens(spark, out)
     number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
-    return counted.select(number(r"size=(\d+)").alias("size"), number(r"part-(\d+)").alias("part"), number(r"-c(\d+)").alias("file"), "document", "n_tokens")
+    return counted.select(number(r"size=(\d+)").alias("size"), number(r"part-(\d+)").alias("part"), number(r"file=(\d+)").alias("file"), "document", "n_tokens")
