@@ -176,7 +176,7 @@ def reject_reason(cfg: C.RepoConfig) -> Column:
 
 def bucket_topk(repos: DataFrame, k: int, tie: Column) -> DataFrame:
     """The ``k`` best of each bucket by score, then tie, then name; ``rank`` from 1."""
-    return best(repos, "bucket", [(F.col("score"), False), (tie, False), (F.col("repo_name"), True)], k)
+    return best(repos, "bucket", [("score", False), (tie, False), ("repo_name", True)], k)
 
 
 def scan_stop(repos: DataFrame, k: int, n_buckets: int, order_col: str = "ordinal") -> DataFrame:

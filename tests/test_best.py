@@ -42,7 +42,7 @@ def test_small_batches_and_other_orders(spark, table):
     try:
         for k in (1, 4):
             want = by_window(table, "tie", [F.col("score"), F.desc("repo_name")], k)
-            assert rows(B.best(table, "tie", [(F.col("score"), True), (F.col("repo_name"), False)], k, ways=2)) == rows(want)
+            assert rows(B.best(table, "tie", [("score", True), (F.col("repo_name"), False)], k, ways=2)) == rows(want)
             want = by_window(table, "bucket", [F.desc("score"), F.desc("tie"), F.col("repo_name")], k)
             assert rows(repos.bucket_topk(table, k, F.col("tie"))) == rows(want)
     finally:
