@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.scratch import materialise
@@ -111,6 +111,34 @@ def draw_between(key: Column, salt: int, low: Column, high: Column) -> Column:
 RANGE_ROWS = 1_000_000
 
 
+def _by_ranges(df: DataFrame, keys: list[str], parts: int | None) -> tuple[DataFrame, Column, Column]:
+    """``df`` sorted by ranges, written and read back with ``__id``; and the range and the place in it that an id holds."""
+    if parts is None:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, df.count() // RANGE_ROWS))
+    # The upper bits of the id are the range, the lower ones the place in it.
+    placed = materialise(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    return placed, F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+
+
+def _before(spark: SparkSession, counts: list[tuple[int, int]]) -> DataFrame:
+    """``__part, __before``: what the ranges before each hold together, of pairs of a range and its count in order."""
+    upto = accumulate(n for _, n in counts)
+    return spark.createDataFrame([(k, at - n) for (k, n), at in zip(counts, upto)], "__part long, __before long")
+
+
+def counted(df: DataFrame, order_col: str, holds: Column, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` and ``name``: of how many rows up to and with this one, in order of a column, ``holds`` is true.
+
+    By ranges as in :func:`numbered`; a running sum goes over one range.
+    """
+    placed, part, _ = _by_ranges(df, [order_col], parts)
+    one = F.when(holds, 1).otherwise(0).cast("long")
+    before = _before(df.sparkSession, sorted(map(tuple, placed.groupBy(part).agg(F.sum(one)).collect())))
+    upto = F.sum(one).over(Window.partitionBy("__part").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = placed.withColumn("__part", part).withColumn("__upto", upto).join(F.broadcast(before), "__part")
+    return rows.select(*df.columns, (F.col("__before") + F.col("__upto")).alias(name))
+
+
 def numbered(df: DataFrame, by: list[str], order_col: str, name: str, parts: int | None = None) -> DataFrame:
     """``df`` and ``name``: the row's number from 0 within ``by`` in order of a column that is unique there.
 
@@ -119,15 +147,9 @@ def numbered(df: DataFrame, by: list[str], order_col: str, name: str, parts: int
     rows of the ranges before it, a sum of at most ``parts`` counts, give a row's number over all; less that of its group's first row it is
     the number wanted. Nothing is windowed by group.
     """
-    if parts is None:
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, df.count() // RANGE_ROWS))
-    keys = [*by, order_col]
-    # The upper bits of the id are the range, the lower ones the place in it.
-    placed = materialise(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()), "numbered")
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    placed, part, place = _by_ranges(df, [*by, order_col], parts)
     counts = sorted(map(tuple, placed.groupBy(part).count().collect()))
-    upto = accumulate(n for _, n in counts)
-    before = df.sparkSession.createDataFrame([(k, at - n) for (k, n), at in zip(counts, upto)], "__part long, __before long")
+    before = _before(df.sparkSession, counts)
     overall = lambda rows, place: rows.join(F.broadcast(before), part == F.col("__part")).withColumn("__at", F.col("__before") + place).drop("__part", "__before")
     rows = overall(placed, place)
     if not by:

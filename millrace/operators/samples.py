@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace import config as C
 from millrace.functions import text as T
+from millrace.sources.scratch import discard, materialise
 
 
 def in_length_band(text: Column, cfg: C.SampleConfig = C.SampleConfig()) -> Column:
@@ -36,50 +37,79 @@ def truncate_samples(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig()) -
     )
 
 
+#: Bytes of the neighbours' heads of all folders up to which every task gets them whole; beyond that they are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def _literally_below(sized: DataFrame, size: int) -> DataFrame:
+    """Per folder the first ``size`` files whose path begins with its name.
+
+    They follow each other in order of path, from the first that is not before the name. Files and folders are put in one order by
+    ranges, and each gets the number of files up to it; a folder asks for the next numbers. No task takes a repository whole.
+    """
+    file = sized.select(F.struct("repo_name", "path", F.lit(1).alias("kind")).alias("at"), "length", "cost")
+    folder = sized.select(F.struct("repo_name", F.col("folder").alias("path"), F.lit(0).alias("kind")).alias("at")).distinct()
+    counted = T.counted(file.unionByName(folder, allowMissingColumns=True), "at", F.col("at.kind") == 1, "number")
+    nth = counted.where("at.kind = 1").select("at.repo_name", "at.path", "length", "cost", "number")
+    asked = counted.where("at.kind = 0").select("at.repo_name", F.col("at.path").alias("folder"), F.explode(F.sequence(F.col("number") + 1, F.col("number") + size)).alias("number"))
+    return asked.join(nth, ["repo_name", "number"]).where(F.startswith("path", F.col("folder"))).drop("number")
+
+
+def _below(sized: DataFrame, size: int) -> DataFrame:
+    """Per folder the first ``size`` files below it; each task keeps no more of a folder before the shuffle."""
+    steps = F.split("folder", "/")
+    above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(
+        F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
+    )
+    first = Window.partitionBy("repo_name", "folder").orderBy("path")
+    below = sized.select("repo_name", F.explode(above).alias("folder"), "path", "length", "cost")
+    return below.withColumn("at", F.row_number().over(first)).where(F.col("at") <= size).drop("at")
+
+
+def _neighbours(files: DataFrame, cfg: C.SampleConfig, literal_prefix: bool) -> DataFrame:
+    """``repo_name, folder, near``: the first files below each folder in order of path, one more than wanted, as a file leaves itself out.
+
+    Lengths and costs come from one scan; all that orders and compares goes without texts. A second scan fetches the heads that may be shown:
+    one that alone exceeds the budget ends a list, so its text is null.
+    """
+    text = T.head_lines(F.col("content"), cfg.cross_lines)
+    there = files.where(F.col("repo_name").isNotNull() & F.col("path").isNotNull())
+    sized = there.select("repo_name", "path", T.dirname(F.col("path")).alias("folder"), T.count_tokens(text).alias("length"))
+    sized = materialise(sized.withColumn("cost", header_cost(F.col("path")) + F.col("length")), "sized_heads")
+    first = (_literally_below if literal_prefix else _below)(sized, cfg.cross_top_files + 1)
+    first = materialise(first, "first_below")
+    shown = first.where(F.col("cost") <= cfg.cross_budget).select("repo_name", "path").distinct()
+    texts = there.join(shown, ["repo_name", "path"]).select("repo_name", "path", text.alias("text"), T.count_tokens(text).alias("length")).dropDuplicates(["repo_name", "path", "length"])
+    item = F.struct("path", "length", "cost", "text")
+    lists = first.join(texts, ["repo_name", "path", "length"], "left").groupBy("repo_name", "folder").agg(F.sort_array(F.collect_list(item)).alias("near"))
+    lists = materialise(lists, "neighbours")
+    # Read back by now, and needed no more.
+    discard(sized)
+    discard(first)
+    return lists
+
+
+def _attach(files: DataFrame, cfg: C.SampleConfig, literal_prefix: bool) -> DataFrame:
+    """``files`` and ``__fits``: the neighbours of each that the budget holds, with rank and running cost; null for none."""
+    lists = _neighbours(files, cfg, literal_prefix).withColumnRenamed("folder", "__folder")
+    size = lists.agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["path"]) + F.coalesce(F.octet_length(x["text"]), F.lit(0))))).first()[0]
+    lists = F.broadcast(lists) if (size or 0) <= BROADCAST_BYTES else lists.hint("shuffle_hash")
+    joined = files.withColumn("__folder", T.dirname(F.col("path"))).join(lists, ["repo_name", "__folder"], "left")
+    others = joined.withColumn("__others", F.slice(F.filter("near", lambda x: x["path"] != F.col("path")), 1, cfg.cross_top_files))
+    running = lambda i: F.aggregate(F.slice("__others", 1, i + 1), F.lit(0).cast("long"), lambda n, y: n + y["cost"])
+    ranked = F.transform("__others", lambda x, i: F.struct((i + 1).alias("rank"), x["path"].alias("path"), x["text"].alias("text"), x["length"].alias("length"), running(i).alias("running")))
+    return others.select(*[F.col(c) for c in files.columns], F.filter(ranked, lambda x: x["running"] <= cfg.cross_budget).alias("__fits"))
+
+
 def cross_file_context(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(), literal_prefix: bool = False) -> DataFrame:
     """Per file, the heads of up to ``cross_top_files`` neighbours below its folder, in order of path, while they fit ``cross_budget`` tokens.
 
     A neighbour is another file of the repository whose path begins with the file's folder
-    (``literal_prefix``: with the folder's name, so ``foo_bar/x`` too is below ``foo``). Costs are at least two,
-    so the running sum grows and the first overflow ends the list. Files are compared within folders, not
-    repositories: a file meets those of its own folder and of folders below it; ``literal_prefix`` sweeps the sorted paths of a repository once.
+    (``literal_prefix``: with the folder's name, so ``foo_bar/x`` too is below ``foo``); a path stands once in a repository. Costs are at least two,
+    so the running sum grows and the first overflow ends the list. A folder's list is short, and the same for all its files.
     """
-    snippet = T.head_lines(F.col("content"), cfg.cross_lines)
-    heads = files.select("repo_name", "path", snippet.alias("text")).withColumns(
-        {"length": T.count_tokens(F.col("text")), "cost": header_cost(F.col("path")) + T.count_tokens(F.col("text"))}
-    )
-    folder = T.dirname(F.col("path"))
-    if literal_prefix:
-        # What begins with a folder's name lies together in order of path: the first of them are the neighbours wanted.
-        size = cfg.cross_top_files + 1
-        item = F.struct("path", "text", "length", "cost")
-        nexts = F.collect_list(item).over(Window.partitionBy("repo_name").orderBy("path").rowsBetween(0, size - 1))
-        lists = heads.select("repo_name", F.col("path").alias("at"), F.lit(1).alias("kind"), nexts.alias("nexts"))
-        folders = files.select("repo_name", folder.alias("at"), F.lit(0).alias("kind")).distinct().withColumn("nexts", F.lit(None).cast(lists.schema["nexts"].dataType))
-        # Read from the last path up, a folder comes just after the first path that is not before its name: the list seen last.
-        upwards = Window.partitionBy("repo_name").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-        first = lists.unionByName(folders).withColumn("found", F.last("nexts", ignorenulls=True).over(upwards)).where("kind = 0")
-        below = first.select("repo_name", F.col("at").alias("folder"), F.inline("found")).where(F.startswith("path", F.col("folder")))
-        asks = files.select("repo_name", F.col("path").alias("own"), folder.alias("folder"))
-        pairs = asks.join(below, ["repo_name", "folder"]).where(F.col("path") != F.col("own"))
-        order = Window.partitionBy("repo_name", "own").orderBy("path")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.cross_top_files)
-    else:
-        # A folder's list is short, and the same for all its files: one more than wanted, as a file leaves itself out.
-        steps = F.split(T.dirname(F.col("path")), "/")
-        above = F.when(T.dirname(F.col("path")) == "", F.array(F.lit(""))).otherwise(
-            F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
-        )
-        below = heads.withColumn("folder", F.explode(above))
-        best = Window.partitionBy("repo_name", "folder").orderBy("path")
-        short = below.withColumn("at", F.row_number().over(best)).where(F.col("at") <= cfg.cross_top_files + 1)
-        asks = files.select("repo_name", F.col("path").alias("own"), folder.alias("folder"))
-        pairs = asks.join(short, ["repo_name", "folder"]).where(F.col("path") != F.col("own"))
-        order = Window.partitionBy("repo_name", "own").orderBy("path")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.cross_top_files)
-    running = F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    fits = ranked.withColumn("running", running).where(F.col("running") <= cfg.cross_budget)
-    return fits.select("repo_name", F.col("own").alias("path"), F.col("rank"), F.col("path").alias("context_path"), F.col("text").alias("context_text"), F.col("length").alias("context_length"), "running")
+    fits = _attach(files.select("repo_name", "path", "content"), cfg, literal_prefix).select("repo_name", F.col("path").alias("own"), F.inline("__fits"))
+    return fits.select("repo_name", F.col("own").alias("path"), "rank", F.col("path").alias("context_path"), F.col("text").alias("context_text"), F.col("length").alias("context_length"), "running")
 
 
 def with_contexts(files: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from millrace import config as C
@@ -257,6 +258,30 @@ def test_neighbours_by_literal_prefix(spark):
             assert [x for _, x in sorted(got.get((r, p), []))] == want
 
 
+@pytest.mark.parametrize("literal", [False, True])
+def test_neighbours_are_ordered_without_their_texts(spark, literal):
+    """Texts of a repository met in one window before; the result equals that of all pairs, heads beyond the budget and null paths included."""
+    words = lambda p: 600 if p.endswith("3.py") else 90 if p.endswith("1.py") else 5
+    paths = [f"{a}{b}/f{i}.py" for a in ("x", "y") for b in ("", "z", "/sub") for i in range(4)] + ["x", "top.py", "x.py"]
+    rows = [("r", p, "\n".join(["word"] * words(p))) for p in paths] + [("r", None, "a"), (None, "x/f1.py", "b")]
+    df = spark.createDataFrame(rows, "repo_name string, path string, content string")
+    cfg = C.SampleConfig(cross_lines=1000)
+    out = samples.cross_file_context(df, cfg, literal)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    tokens = lambda x: len(re.findall(T.TOKEN, x))
+    want = set()
+    for p in paths:
+        folder = p.rpartition("/")[0]
+        start = folder if literal or not folder else folder + "/"
+        running = 0
+        for rank, x in enumerate(sorted(x for x in paths if x != p and x.startswith(start))[:5], 1):
+            running += tokens(x) + 2 + words(x)
+            if running <= 512:
+                want.add(("r", p, rank, x, "word\n" * words(x), words(x), running))
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_function_rounds(spark):
     code = "import os\n\ndef a():\n    return 1\n\ndef b():\n    return 2\n"
     df = spark.createDataFrame([(1, code), (2, "abc"), (3, "")], "id long, text string")
