@@ -182,8 +182,9 @@ def training_prompts(files: DataFrame, key: Column, cfg: C.FimConfig = C.FimConf
 
 def label_mask(ids: Column, middle_id: Column, ignore: int = -100) -> Column:
     """Ids after the first ``middle_id``; ``ignore`` up to and at it; all ids if there is none."""
-    at = F.array_position(ids, middle_id)
-    return F.transform(ids, lambda x, i: F.when(i < at, F.lit(ignore)).otherwise(x))
+    # Found once a text and not once a token: within a lambda it would be searched again for every id.
+    at = F.coalesce(F.array_position(ids, middle_id), F.lit(0)).cast("int")
+    return F.concat(F.array_repeat(F.lit(ignore), at), F.slice(ids, at + 1, F.size(ids)))
 
 
 def pad_batches(samples: DataFrame, order_col: str, cfg: C.FimConfig = C.FimConfig(), row_number: Column | None = None) -> DataFrame:
