@@ -10,10 +10,13 @@ from pyspark.sql import types as st
 
 from millrace.functions import similarity as S
 from millrace.functions import text as T
+from millrace.sources.scratch import small_batches
 
 
 def match_rates(pairs: DataFrame, by: list[str], truth: str = "groundtruth", prediction: str = "prediction", with_edit: bool = True) -> DataFrame:
     """Per group ``count``, ``em`` and ``es`` in percent."""
+    if with_edit:
+        small_batches(pairs.sparkSession)
     es = [F.avg(S.edit_similarity(F.col(truth), F.col(prediction))).alias("es")] if with_edit else []
     return pairs.groupBy(*by).agg(F.count("*").alias("count"), (100 * F.avg(S.exact_match(F.col(truth), F.col(prediction)))).alias("em"), *es)
 

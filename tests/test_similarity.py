@@ -34,6 +34,19 @@ def test_lengths_equal_those_of_single_pairs(monkeypatch, words, cells, long):
     assert S.common_lengths([]) == []
 
 
+def test_a_batch_is_held_in_rounds(monkeypatch):
+    """All texts of a batch were numbers at once before, so memory grew with the batch."""
+    rng = random.Random(5)
+    pairs = [(text(rng, rng.randrange(90), "abc"), text(rng, rng.randrange(900), "abcd")) for _ in range(60)] + [("", ""), ("", "a")]
+    want = [round(200 * one_pair(a, b) / (len(a) + len(b))) if a or b else 100 for a, b in pairs]
+    monkeypatch.setattr(S, "CHARS_AT_ONCE", 700)
+    seen, whole = [], S.common_lengths
+    monkeypatch.setattr(S, "common_lengths", lambda some: seen.append(some) or whole(some))
+    assert S.indel_ratios(pairs) == want and [p for some in seen for p in some] == pairs
+    assert len(seen) > 20 and all(len(some) == 1 or sum(len(a) + len(b) for a, b in some) <= 700 for some in seen)
+    assert S.indel_ratios([]) == []
+
+
 def test_long_texts_of_many_characters():
     """More table cells than a band may have: 40,000 characters, most of them different."""
     rng = random.Random(3)
