@@ -112,6 +112,12 @@ def cross_file_context(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(),
     return fits.select("repo_name", F.col("own").alias("path"), "rank", F.col("path").alias("context_path"), F.col("text").alias("context_text"), F.col("length").alias("context_length"), "running")
 
 
+def files_with_contexts(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig(), literal_prefix: bool = False) -> DataFrame:
+    """:func:`with_contexts` of a table's own :func:`cross_file_context`: contents meet their folder's list and are not shuffled where the lists are small."""
+    plain = F.transform("__fits", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"), x["length"].alias("length")))
+    return _attach(files, cfg, literal_prefix).withColumn("cfc_contexts", F.coalesce(plain, F.array())).drop("__fits")
+
+
 def with_contexts(files: DataFrame, contexts: DataFrame) -> DataFrame:
     """``files`` and ``cfc_contexts``, their context files in order (an empty array for none)."""
     item = F.struct("rank", F.col("context_path").alias("path"), F.col("context_text").alias("text"), F.col("context_length").alias("length"))

@@ -217,8 +217,7 @@ def cross_file_context_literal(spark, d):
 
 @query
 def intra_cross_ratio(spark, d):
-    files = _plain_files(spark, d)
-    out = samples.intra_cross_ratio(samples.with_contexts(files, samples.cross_file_context(files)))
+    out = samples.intra_cross_ratio(samples.files_with_contexts(_plain_files(spark, d)))
     return out.select("intra_tokens", "cross_tokens", _r("intra_percent"))
 
 

@@ -282,6 +282,21 @@ def test_neighbours_are_ordered_without_their_texts(spark, literal):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_contexts_are_attached_without_shuffling_contents(spark, monkeypatch, most):
+    """Broadcast or hashed, equal to contexts made row by row and gathered again; contents were shuffled and sorted for that before."""
+    monkeypatch.setattr(samples, "BROADCAST_BYTES", most)
+    paths = [f"{a}/f{i}.py" for a in ("x", "x/y", "z") for i in range(7)] + ["top.py", "lone/only.py"]
+    rows = [(r, p, f"text {p} " * (1 + i % 90)) for r in ("r", "q") for i, p in enumerate(paths)] + [(None, "x/f.py", "a"), ("r", None, "b"), ("s", "a.py", "alone")]
+    df = spark.createDataFrame(rows, "repo_name string, path string, content string")
+    got = samples.files_with_contexts(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most > 0) and "Window" not in plan and "Aggregate" not in plan
+    want = samples.with_contexts(df, samples.cross_file_context(df))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
 def test_function_rounds(spark):
     code = "import os\n\ndef a():\n    return 1\n\ndef b():\n    return 2\n"
     df = spark.createDataFrame([(1, code), (2, "abc"), (3, "")], "id long, text string")
