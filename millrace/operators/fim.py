@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import config as C
 from millrace.functions import text as T
 from millrace.functions.tokenizer import DefaultTokenizer
+from millrace.sources.scratch import discard, materialise
 
 QWEN = C.SENTINELS["qwen"]
 
@@ -191,15 +192,38 @@ def pad_batches(samples: DataFrame, order_col: str, cfg: C.FimConfig = C.FimConf
     """``input_ids`` and ``labels`` in batches of ``batch_size`` in order of ``order_col``, padded to the longest of the batch.
 
     Rows are numbered over the whole table range by range, not in one task; ``row_number`` (from 0)
-    may be given where the caller has one.
+    may be given where the caller has one. Only keys and sizes are sorted; each row then gets its batch by its key. Where a key stands twice,
+    and with ``row_number``, whole rows are sorted.
     """
-    numbered = with_row_number(samples, order_col) if row_number is None else samples.withColumn("row_number", row_number)
-    batched = numbered.withColumn("batch_id", F.floor(F.col("row_number") / cfg.batch_size).cast("long"))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
-    short = batched.withColumn("__short", longest - F.size("input_ids"))
+    to_batch = F.floor(F.col("row_number") / cfg.batch_size).cast("long")
+    by_batch = Window.partitionBy("batch_id")
+    plan = None if row_number is not None else _batch_plan(samples, order_col, to_batch)
+    if plan is not None:
+        batched = samples.join(plan, F.col(order_col).eqNullSafe(F.col("__key"))).drop("__key")
+    else:
+        numbered = with_row_number(samples, order_col) if row_number is None else samples.withColumn("row_number", row_number)
+        batched = numbered.withColumn("batch_id", to_batch).withColumn("__longest", F.max(F.size("input_ids")).over(by_batch)).drop("row_number")
+    short = batched.withColumn("__short", F.col("__longest") - F.size("input_ids"))
     pad = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), F.col("__short")))
-    mask = F.concat(F.transform("input_ids", lambda _: F.lit(1)), F.array_repeat(F.lit(0), F.col("__short")))
-    return short.withColumns({"attention_mask": mask, "input_ids": pad("input_ids", cfg.pad_id), "labels": pad("labels", cfg.label_ignore)}).drop("__short", "row_number")
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("input_ids")), F.array_repeat(F.lit(0), F.col("__short")))
+    return short.withColumns({"attention_mask": mask, "input_ids": pad("input_ids", cfg.pad_id), "labels": pad("labels", cfg.label_ignore)}).drop("__short", "__longest")
+
+
+#: Rows of a plan of batches (a key and two numbers each) up to which every task gets it whole; beyond that both sides are shuffled, and the plan is hashed.
+BROADCAST_ROWS = 500_000
+
+
+def _batch_plan(samples: DataFrame, order_col: str, to_batch: Column) -> DataFrame | None:
+    """``__key, batch_id, __longest`` of each row, or None if a key stands twice."""
+    sizes = materialise(samples.select(F.col(order_col).alias("__key"), F.size("input_ids").alias("__size")), "sizes")
+    if not sizes.groupBy("__key").count().where("count > 1").isEmpty():
+        discard(sizes)
+        return None
+    longest = F.max("__size").over(Window.partitionBy("batch_id"))
+    batches = with_row_number(sizes, "__key").withColumn("batch_id", to_batch)
+    plan = materialise(batches.select("__key", "batch_id", longest.alias("__longest")), "batches")
+    discard(sizes)
+    return F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan.hint("shuffle_hash")
 
 
 def with_row_number(df: DataFrame, order_col: str, parts: int | None = None) -> DataFrame:

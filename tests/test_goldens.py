@@ -88,6 +88,22 @@ def test_label_mask_takes_linear_time(spark):
     assert one(spark, fim.label_mask(F.col("x"), F.lit(2)), x=[1, None, 2]) == [-100, -100, -100]
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_batches_are_planned_without_their_ids(spark, monkeypatch, most):
+    """Whole rows were sorted and windowed before. A null key stays; where a key stands twice no row is lost or doubled."""
+    monkeypatch.setattr(fim, "BROADCAST_ROWS", most)
+    rows = [(None if i == 3 else i, [i] * (i % 5), [i] * (i % 5)) for i in range(10)]
+    kind = "id long, input_ids array<int>, labels array<int>"
+    got = fim.pad_batches(spark.createDataFrame(rows, kind), "id")
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    sizes = [max(len(r[1]) for r in order[k : k + 4]) for k in (0, 4, 8)]
+    want = {(r[0], k // 4, tuple(r[1]) + (0,) * (sizes[k // 4] - len(r[1]))) for k, r in enumerate(order)}
+    assert {(r["id"], r["batch_id"], tuple(r["input_ids"])) for r in got.collect()} == want
+    twice = fim.pad_batches(spark.createDataFrame(rows + rows[:1] * 2, kind), "id").collect()
+    assert len(twice) == 12 and sorted(r["batch_id"] for r in twice) == [0] * 4 + [1] * 4 + [2] * 4
+
+
 def test_row_numbers(spark):
     got = fim.with_row_number(spark.range(0, 1000, 7).repartition(5), "id", 8).orderBy("id").collect()
     assert [r["row_number"] for r in got] == list(range(len(got)))
