@@ -39,6 +39,8 @@ def truncate_samples(files: DataFrame, cfg: C.SampleConfig = C.SampleConfig()) -
 
 #: Bytes of the neighbours' heads of all folders up to which every task gets them whole; beyond that they are shuffled.
 BROADCAST_BYTES = 64 << 20
+#: Names of heads that may be shown up to which every task gets them whole; beyond that contents meet them by hash.
+BROADCAST_NAMES = 500_000
 
 
 def _literally_below(sized: DataFrame, size: int) -> DataFrame:
@@ -79,6 +81,8 @@ def _neighbours(files: DataFrame, cfg: C.SampleConfig, literal_prefix: bool) ->
     first = (_literally_below if literal_prefix else _below)(sized, cfg.cross_top_files + 1)
     first = materialise(first, "first_below")
     shown = first.where(F.col("cost") <= cfg.cross_budget).select("repo_name", "path").distinct()
+    # Names are held and contents pass by; a join by sorting would hold the contents of a partition.
+    shown = F.broadcast(shown) if first.count() <= BROADCAST_NAMES else shown.hint("shuffle_hash")
     texts = there.join(shown, ["repo_name", "path"]).select("repo_name", "path", text.alias("text"), T.count_tokens(text).alias("length")).dropDuplicates(["repo_name", "path", "length"])
     item = F.struct("path", "length", "cost", "text")
     lists = first.join(texts, ["repo_name", "path", "length"], "left").groupBy("repo_name", "folder").agg(F.sort_array(F.collect_list(item)).alias("near"))

@@ -21,9 +21,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+#: Labels up to which every task gets them whole (some 100 MB); beyond that they meet the documents by hash.
+BROADCAST_LABELS = 2_000_000
+
+
 def repo_files(spark: SparkSession, sf_dir: str, with_content: bool = True) -> DataFrame:
-    """A file per document; repositories are language and source, folders and suffixes go by the id."""
+    """A file per document; repositories are language and source, folders and suffixes go by the id.
+
+    Labels are held and texts pass by: a join by sorting would hold the texts of a partition.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels.hint("shuffle_hash")
     files = documents(spark, sf_dir).join(labels, "doc_id", "left")
     step = F.floor(F.col("doc_id") / 20)
     folder = F.when(step % 4 == 0, "src").when(step % 4 == 1, "tests").when(step % 4 == 2, "docs").otherwise("pkg")

@@ -10,6 +10,7 @@ from millrace.functions import text as T
 from millrace.functions.tokenizer import DefaultTokenizer, VocabularyTokenizer
 from millrace.operators import evaluation as E
 from millrace.operators import execution, fim, repos, samples, splitter
+from millrace.plans import catalog, views
 from millrace.sources import readers, writers
 from millrace.streaming import tokens
 from pyspark.sql import functions as F
@@ -297,6 +298,41 @@ def test_contexts_are_attached_without_shuffling_contents(spark, monkeypatch, mo
     assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_texts_are_not_sorted_to_meet_labels(spark, monkeypatch, tmp_path, most):
+    """Beyond Spark's limit for broadcasts, contents were sorted by id to meet labels, and by path to meet the names of heads; repeated and null labels count as in SQL."""
+    monkeypatch.setattr(views, "BROADCAST_LABELS", most)
+    monkeypatch.setattr(samples, "BROADCAST_NAMES", most)
+    docs = [(i, None if i == 9 else f"text {i}\n", "en", "web", 7) for i in range(0, 200, 3)] + [(None, "no id", "en", "web", 5)]
+    marks = [(i, 1, i // 6 % 2) for i in range(0, 150, 6)] + [(12, 0, 1), (12, 0, None), (None, 1, 1), (500, 1, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans = []
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keep = samples.materialise
+    monkeypatch.setattr(samples, "materialise", lambda df, name: plans.append(planned(df)) or keep(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files = views.repo_files(spark, str(tmp_path))
+        assert "SortMergeJoin" not in planned(files) and ("BroadcastHashJoin" if most else "ShuffledHashJoin") in planned(files)
+        got = sorted((r["doc_id"] or -1, r["content"], r["is_generated"]) for r in files.select("doc_id", "content", "is_generated").collect())
+        context = catalog.QUERIES["cross_file_context"](spark, str(tmp_path))
+        # The lists alone, which hold the heads that are shown, may be joined by sorting.
+        assert [p.count("SortMergeJoin") for p in plans] == [0, 0, 1]
+        shown = {(r["path"], r["rank"], r["context_path"], r["context_text"]) for r in context.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = sorted((i or -1, t or "", toxic == 1) for i, t, *_ in docs for toxic in [x for k, _, x in marks if k is not None and k == i] or [None])
+    assert got == want
+    path = lambda i: f"{['src', 'tests', 'docs', 'pkg'][i // 20 % 4]}/f{i}{'.md' if i // 20 % 5 == 0 else '.py'}"
+    head = {path(i): t or "\n" for i, t, *_ in docs if i is not None}
+    # Document 12, in src, has three rows, so its path is not unique there.
+    for p in (p for p in head if not p.startswith("src/")):
+        near = sorted(x for x in head if x != p and x.startswith(p.split("/")[0] + "/"))[:5]
+        assert {(n, x, t) for q, n, x, t in shown if q == p} == {(n, x, head[x]) for n, x in enumerate(near, 1)}
+
+
 def test_function_rounds(spark):
     code = "import os\n\ndef a():\n    return 1\n\ndef b():\n    return 2\n"
     df = spark.createDataFrame([(1, code), (2, "abc"), (3, "")], "id long, text string")
