@@ -212,10 +212,13 @@ class Trie:
     def __init__(self, grams: Grams, counts: np.ndarray, total: int, distinct: int) -> None:
         many, n2 = len(grams.words), len(grams.pairs)
         one, two, three = np.split(counts.astype(np.float64), [many, many + n2])
-        p1 = (one + 1) / (total + distinct + 1)
         v, w = grams.pairs // many, grams.pairs % many
-        p2 = (two + PAIR_WEIGHT * p1[w]) / (one[v] + PAIR_WEIGHT)
         lead = grams.triples // many
+        # No n-gram occurs more often than its parts. A sum breaks this only where two n-grams have one name; a triple without its pairs has no place below.
+        two = np.minimum(two, np.minimum(one[v], one[w]))
+        three = np.minimum(three, np.minimum(two[lead], two[grams.tail]))
+        p1 = (one + 1) / (total + distinct + 1)
+        p2 = (two + PAIR_WEIGHT * p1[w]) / (one[v] + PAIR_WEIGHT)
         p3 = (three + TRIPLE_WEIGHT * p2[grams.tail]) / (two[lead] + TRIPLE_WEIGHT)
         has2, has3 = np.flatnonzero(two), np.flatnonzero(three)
         place = np.full(n2, -1, np.int64)

@@ -114,3 +114,30 @@ def test_query_equals_brute_force(spark):
     check(found.collect(), brute(rows))
     held = found.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ngrams_of_one_name(monkeypatch, seed):
+    """Names too short for their n-grams: no error, no probability above 1, and n-grams that share no name keep their scores."""
+    monkeypatch.setattr(L, "NAME_BITS", 20)
+    rng = np.random.default_rng(seed)
+    texts = [np.minimum(rng.zipf(1.3, 60), 3000) for _ in range(70)]
+    numbers = np.unique(np.concatenate(texts))
+    tokens = np.concatenate([np.searchsorted(numbers, t) for t in texts]).astype(np.uint32)
+    grams = L.Grams.of(np.sort(L.letters_mix(numbers.astype(np.uint64))), tokens, np.full(70, 60), np.ones(70, int))
+    counts = grams.counts(np.repeat(np.arange(70) % 7 != 2, 60))
+    names, place = np.unique(grams.names(0), return_inverse=True)
+    sums = np.bincount(place, counts, len(names)).astype(np.int64)[place]
+    many, n2 = len(grams.words), len(grams.pairs)
+    words = counts[:many].sum(), (counts[:many] > 0).sum()
+    want, found = (L.Trie(grams, x, *words).score(grams) for x in (counts, sums))
+    one, two, three = np.split(counts == sums, [many, many + n2])
+    two &= one[grams.pairs // many] & one[grams.pairs % many]
+    three &= two[grams.triples // many] & two[grams.tail]
+    assert not two.all() and not three.all()
+    assert (found[0] <= 0).all() and (found[1] <= 0).all() and (found[0] == want[0])[two].all() and (found[1] == want[1])[three].all()
+    # What no training text has stays unknown, whatever another n-gram adds to its name.
+    one, two, three = np.split(counts.copy(), [many, many + n2])
+    three[(two[grams.triples // many] == 0) | (two[grams.tail] == 0)] = 9
+    two[(one[grams.pairs // many] == 0) | (one[grams.pairs % many] == 0)] = 9
+    assert all(map(np.array_equal, L.Trie(grams, np.concatenate([one, two, three]), *words).score(grams), want))
