@@ -38,6 +38,8 @@ MOST_SHARDS = 18
 PAIR_WEIGHT, TRIPLE_WEIGHT = 5000.0, 30.0
 #: Probabilities are kept as whole numbers of 1/GRID of minus their decimal logarithm.
 GRID = 2048
+#: Bytes of a row group of the parts, of a few megabytes a row, and of their sums.
+GROUP_BYTES = 8 << 20
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
 FOLDS, HELD_OUT = 7, 2
@@ -371,12 +373,12 @@ def model_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), utf8(text_col).alias("text"))
     schema = f"part long, uids array<long>, ids array<{kind}>, held array<boolean>, lead array<long>, size array<long>, words binary, tokens binary"
-    parts = materialise(rows.mapInArrow(lambda b: _parts(b, part_tokens), schema), "parts")
+    parts = materialise(rows.mapInArrow(lambda b: _parts(b, part_tokens), schema), "parts", GROUP_BYTES)
     # About two names a token, of four bytes.
     names = (parts.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 2
     shards = min(MOST_SHARDS, max(0, names // shard_names).bit_length())
     sums = parts.mapInArrow(_sent(shards), "shard int, part long, names binary, counts binary").groupBy("shard").applyInArrow(_summed, "part long, shard int, sums binary, tokens long, distinct long")
-    sums = materialise(sums, "sums")
+    sums = materialise(sums, "sums", GROUP_BYTES)
     total, distinct = (x or 0 for x in sums.where("part = -1").agg(F.sum("tokens"), F.sum("distinct")).first())
     arrow = parts.select("ids").limit(0).toArrow().schema.field("ids").type.value_type
     found = parts.groupBy("part").cogroup(sums.where("part >= 0").select("part", "shard", "sums").groupBy("part")).applyInArrow(_scored(total, distinct, shards, arrow), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

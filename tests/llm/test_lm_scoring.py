@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,19 @@ def test_ngrams_of_one_name(monkeypatch, seed):
     three[(two[grams.triples // many] == 0) | (two[grams.tail] == 0)] = 9
     two[(one[grams.pairs // many] == 0) | (one[grams.pairs % many] == 0)] = 9
     assert all(map(np.array_equal, L.Trie(grams, np.concatenate([one, two, three]), *words).score(grams), want))
+
+
+def test_row_groups_of_parts(spark, monkeypatch):
+    """However many parts a task writes, a reader unpacks a few at once."""
+    tables = {}
+    write = L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, name, *more: tables.setdefault(name, write(df, name, *more)))
+    monkeypatch.setattr(L, "GROUP_BYTES", 1 << 17, raising=False)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(10000)), lambda i: F.xxhash64("doc_id", i)))
+    df = spark.range(40).coalesce(1).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    assert L.model_scores(df, held_out_fold("doc_id", 7) == 2, part_tokens=10000).where("n_tokens = 10001").count() == 40
+    groups = []
+    for f in tables["parts"].inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:")).metadata
+        groups += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(groups) >= 40 and max(groups) <= 4
